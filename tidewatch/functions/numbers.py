@@ -69,6 +69,13 @@ def shortest_text(col: Column) -> Column:
     return F.when(F.abs(col) < 1e16, plain).otherwise(wide)
 
 
+def decimal_text(col: Column, digits: int) -> Column:
+    """Shortest text of a double that already holds at most ``digits`` decimals."""
+    plain = F.abs(col).cast(f"decimal(30,{digits})").cast("string")
+    text = F.regexp_replace(plain, r"(\.\d+?)0+$", "$1")
+    return F.when(col < 0, F.concat(F.lit("-"), text)).otherwise(text)
+
+
 def value_text(col: Column, data_type: str) -> Column:
     """A feature value as printed in a reason: null is ``missing``, doubles keep two decimals."""
     if data_type in ("double", "float"):
@@ -88,6 +95,11 @@ def fmt_number(col: Column, data_type: str = "double", digits: int = 2) -> Colum
     return F.when(F.isnan(number), F.lit("N/A")).otherwise(F.coalesce(text, F.lit("N/A")))
 
 
+def each_number(columns: list[Column], write) -> Column:
+    """One array of texts for many numbers: the expression is built once and bound per element."""
+    return F.transform(F.array(*[c.cast("double") for c in columns]), write)
+
+
 def percent_text(count: Column, total: Column) -> Column:
     """Share in whole percent, half-even (27 of 200 is 14, 1 of 200 is 0)."""
     return F.bround(F.lit(100.0) * count / total, 0).cast("int")

@@ -12,7 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 @dataclass(frozen=True)
 class Entry:
     build: Callable[[SparkSession, str], DataFrame]
-    oracle: str | None
+    body: str | None
+
+    @property
+    def oracle(self) -> str | None:
+        """The full statement; blocks are looked up only now, when all modules are loaded."""
+        return with_blocks(self.body) if self.body else None
 
 
 CATALOGUE: dict[str, Entry] = {}
@@ -43,7 +48,7 @@ def query(name: str, oracle: str | None = None):
     def add(build: Callable[[SparkSession, str], DataFrame]):
         if name in CATALOGUE:
             raise ValueError(f"query registered twice: {name}")
-        CATALOGUE[name] = Entry(build, with_blocks(oracle) if oracle else None)
+        CATALOGUE[name] = Entry(build, oracle)
         return build
 
     return add

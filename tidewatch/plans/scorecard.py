@@ -48,17 +48,16 @@ def _hot():
 def score(df: DataFrame) -> DataFrame:
     """Add contributions, probability, decision, tier and a second model's prediction."""
     parts = [
-        F.coalesce(F.lit(w) * ((F.col(c) - F.lit(m)) / F.lit(s)), F.lit(0.0))
+        f"coalesce(double('{w}') * ((`{c}` - double('{m}')) / double('{s}')), 0D)"
         for c, (m, s, w) in POINTS.items()
     ]
     parts += [
-        F.when(F.col(c) == v, F.lit(w * (1 - SHARE))).otherwise(F.lit(-w * SHARE)) for c, v, w in _hot()
+        f"if(`{c}` <=> '{v}', double('{w * (1 - SHARE)!r}'), double('{-w * SHARE!r}'))"
+        for c, v, w in _hot()
     ]
-    scored = df.withColumn("contributions", F.array(*parts))
-    total = F.lit(BIAS)
-    for i in range(len(ENCODED)):
-        total = total + F.col("contributions")[i]
-    scored = scored.withColumn("margin", total)
+    scored = df.withColumn("contributions", F.expr(f"array({', '.join(parts)})"))
+    terms = [f"double('{BIAS}')"] + [f"contributions[{i}]" for i in range(len(ENCODED))]
+    scored = scored.withColumn("margin", F.expr(" + ".join(terms)))
     probability = 1.0 / (1.0 + F.exp(-F.col("margin")))
     second = 1.0 / (1.0 + F.exp(-(0.8 * F.col("margin") + 0.3 * ((F.col(KEY) % 7) - 3))))
     scored = scored.withColumns({"probability": probability, "second": second})
