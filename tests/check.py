@@ -30,6 +30,6 @@ if __name__ == "__main__":
         except Exception as error:  # report and go on
             problems = [repr(error)[:1500]]
         failed += bool(problems)
-        print(f"{'FAIL' if problems else 'ok':4} {name:28} {time.time() - start:6.2f}s "
+        print(f"{'FAIL' if problems else 'ok':4} {name:28} {time.time() - start:6.2f}s (sql {getattr(differences, 'sql_seconds', 0):.2f}) "
               f"{'' if entry.oracle else '(rows only)'} {' / '.join(problems)}", flush=True)
     print("failed:", failed)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import math
 import os
+import time
 from decimal import Decimal
 
 import duckdb
@@ -35,10 +36,12 @@ def _rows(columns, rows):
 
 def differences(spark_df, con, sql: str) -> list[str]:
     out = []
+    start = time.time()
     cur = con.execute(sql)
     want_cols = [d[0] for d in cur.description]
     want_types = {d[0]: str(d[1]) for d in cur.description}
     want = cur.fetchall()
+    differences.sql_seconds = time.time() - start
     got_cols = spark_df.columns
     got = [tuple(r) for r in spark_df.collect()]
     if sorted(want_cols) != sorted(got_cols):

@@ -55,6 +55,10 @@ def _first_match(benchmarks: Column, reason: Column) -> Column:
     )
 
 
+def _benchmark_of(benchmarks: Column, feature: Column) -> Column:
+    return F.get(F.filter(benchmarks, lambda b: b["feature"] == feature), 0)
+
+
 def match_benchmarks(df: DataFrame, mode: str = "substring", out: str = "matched") -> DataFrame:
     """Benchmarks for the first three reasons, without repeats; the first three when none fits.
 
@@ -65,8 +69,7 @@ def match_benchmarks(df: DataFrame, mode: str = "substring", out: str = "matched
     if mode == "substring":
         hits = [_first_match(have, F.col(f"reason_{k}")) for k in (1, 2, 3)]
     else:
-        about = [F.get("reasons", k)["feature"] for k in range(3)]
-        hits = [F.get(F.filter(have, lambda b, a=a: b["feature"] == a), 0) for a in about]
+        hits = [_benchmark_of(have, F.get("reasons", k)["feature"]) for k in range(3)]
     found = F.array_distinct(F.array_compact(F.array(*hits)))
     return df.withColumn("_found", found).withColumn(
         out, F.when(F.size("_found") > 0, F.col("_found")).otherwise(F.slice(have, 1, 3))

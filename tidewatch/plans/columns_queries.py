@@ -14,7 +14,8 @@ from tidewatch.schema import FEATURES, KEY, NUMERIC_NAMES
 
 
 def scored(spark, folder):
-    return score(data.cleaned(spark, folder))
+    """Scored customers with their split, as a stored stage."""
+    return data.stage(spark, folder, "scored", lambda: score(data.with_split(spark, folder)))
 
 
 @query("churn_decision", "SELECT customer_id, churn_decision FROM x_scored")
@@ -79,7 +80,9 @@ def value_texts(spark, folder):
 def fmt_numbers(spark, folder):
     df = data.cleaned(spark, folder, [KEY, *NUMERIC_NAMES])
     numbers = [F.col(c) for c in NUMERIC_NAMES]
-    texts = {f"_{d}": each_number(numbers, lambda x, d=d: fmt_number(x, "double", d)) for d in (0, 2)}
+    whole = each_number(numbers, lambda x: fmt_number(x, "double", 0))
+    cents = each_number(numbers, lambda x: fmt_number(x, "double", 2))
+    texts = {"_0": whole, "_2": cents}
     return df.withColumns(texts).select(
         KEY, *[F.get(f"_{d}", i).alias(f"{c}_{d}") for i, c in enumerate(NUMERIC_NAMES) for d in (0, 2)]
     )

@@ -2,14 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from tidewatch.operators.cleaning import clean
 from tidewatch.operators.split import split_limits, stratified_split
 from tidewatch.plans.registry import block
 from tidewatch.schema import FEATURES, KEY, LABEL
+from tidewatch.session import store
 from tidewatch.sources.customers import customer_features
 
+_STORED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
+def stage(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A stage of the pipeline as a stored table, written once per session and input folder.
+
+    Scored customers, explained customers and replies are tables that later jobs read; storing
+    them also keeps the optimizer from copying their long expressions into every filter above.
+    """
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _STORED:
+        table = build()
+        _STORED[key] = (store(table, name), table.schema)
+    path, schema = _STORED[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def forget_stages() -> None:
+    """Drop the memory of stored stages, so the next query builds its own (for timing)."""
+    _STORED.clear()
+
 
 def features(spark: SparkSession, folder: str, columns=None) -> DataFrame:
     return customer_features(spark, folder, columns)

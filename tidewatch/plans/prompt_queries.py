@@ -11,7 +11,7 @@ from tidewatch.operators import prompts
 from tidewatch.operators.benchmarks import population_benchmarks
 from tidewatch.plans import data
 from tidewatch.plans.columns_queries import scored
-from tidewatch.plans.reason_queries import with_reason_columns
+from tidewatch.plans.reason_queries import explained
 from tidewatch.plans.registry import block, query
 from tidewatch.schema import CATEGORICAL_NAMES, KEY, NUMERIC_NAMES
 from tidewatch.sources.guards import violations
@@ -89,8 +89,8 @@ SELECT customer_id, CASE WHEN length(feature) > 25 THEN split_part(feature, '_',
 FROM (SELECT customer_id, unnest([f1, f2, f3]) AS feature FROM x_explained)
 """)
 def short_feature_name(spark, folder):
-    df = with_reason_columns(spark, folder)
-    named = df.select(KEY, F.explode(F.slice("reasons.feature", 1, 3)).alias("feature"))
+    df = explained(spark, folder)
+    named = df.select(KEY, F.explode_outer(F.slice("reasons.feature", 1, 3)).alias("feature"))
     return named.select(KEY, P.short_feature_name(F.col("feature")).alias("short"))
 
 
@@ -102,7 +102,7 @@ def attach_globals(spark, folder):
 
 def panel_input(spark, folder):
     """Explained customers with the second model's stored prediction joined by key."""
-    df = with_reason_columns(spark, folder)
+    df = explained(spark, folder)
     second = scored(spark, folder).select(
         KEY, "y_true", F.col("rf_pred").alias("y_pred"), F.col("rf_proba").alias("y_proba")
     )
@@ -137,8 +137,8 @@ def input_guards(spark, folder):
 
 
 def _matched(spark, folder, mode):
-    df = prompts.benchmark_texts(with_reason_columns(spark, folder), benchmarks(spark, folder), mode)
-    return df.select(KEY, F.posexplode("matched").alias("k", "b")).select(KEY, "k", "b.feature")
+    df = prompts.benchmark_texts(explained(spark, folder), benchmarks(spark, folder), mode)
+    return df.select(KEY, F.posexplode_outer("matched").alias("k", "b")).select(KEY, "k", "b.feature")
 
 
 @query("match_benchmarks", "SELECT customer_id, k, feature FROM x_matched")
@@ -153,7 +153,7 @@ def match_benchmarks_by_feature(spark, folder):
 
 @query("benchmark_lines", "SELECT customer_id, benchmark_lines FROM x_bench_lines")
 def benchmark_lines(spark, folder):
-    df = prompts.benchmark_texts(with_reason_columns(spark, folder), benchmarks(spark, folder))
+    df = prompts.benchmark_texts(explained(spark, folder), benchmarks(spark, folder))
     return df.select(KEY, "benchmark_lines")
 
 
@@ -196,7 +196,7 @@ def consensus_notice(spark, folder):
 
 @query("reason_lines", "SELECT customer_id, reason_lines FROM x_panel")
 def reason_lines(spark, folder):
-    df = with_reason_columns(spark, folder)
+    df = explained(spark, folder)
     return df.select(KEY, P.reason_lines([F.col(f"reason_{k}") for k in range(1, 6)]).alias("reason_lines"))
 
 
@@ -233,7 +233,7 @@ def build_prompt(spark, folder):
        + "' AS content FROM x_prompts UNION ALL SELECT customer_id, 1, 'user', prompt FROM x_prompts")
 def chat_messages(spark, folder):
     df = prompts_for(spark, folder).withColumn("messages", P.system_and_user(F.col("prompt")))
-    return df.select(KEY, F.posexplode("messages").alias("position", "m")).select(
+    return df.select(KEY, F.posexplode_outer("messages").alias("position", "m")).select(
         KEY, "position", "m.role", "m.content"
     )
 
@@ -241,5 +241,5 @@ def chat_messages(spark, folder):
 @query("chat_messages_blocks", "SELECT customer_id, 'user' AS role, 'text' AS type, prompt AS text FROM x_prompts")
 def chat_messages_blocks(spark, folder):
     df = prompts_for(spark, folder).withColumn("messages", P.user_blocks(F.col("prompt")))
-    one = df.select(KEY, F.explode("messages").alias("m"))
-    return one.select(KEY, "m.role", F.explode("m.content").alias("c")).select(KEY, "role", "c.type", "c.text")
+    one = df.select(KEY, F.explode_outer("messages").alias("m"))
+    return one.select(KEY, "m.role", F.explode_outer("m.content").alias("c")).select(KEY, "role", "c.type", "c.text")

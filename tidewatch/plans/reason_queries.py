@@ -34,6 +34,11 @@ def with_reason_columns(spark, folder):
     return with_reasons(spark, folder).transform(reasons.reason_columns)
 
 
+def explained(spark, folder):
+    """Customers with reasons, as a stored stage."""
+    return data.stage(spark, folder, "explained", lambda: with_reason_columns(spark, folder))
+
+
 def _rolled_sql(name: str, fold: str) -> None:
     terms = [f"c_{i} AS r_{i}" for i in range(len(NUMERIC_NAMES))]
     position = len(NUMERIC_NAMES)
@@ -109,16 +114,16 @@ def rollup_onehot(spark, folder):
 def _rolled_long(spark, folder, mode):
     df, names = with_rolled(spark, folder, mode)
     pairs = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("feature"), F.col("rolled").alias("v"))
-    return df.select(KEY, F.inline(pairs)).select(KEY, "feature", F.bround("v", 9).alias("contribution"))
+    return df.select(KEY, F.inline_outer(pairs)).select(KEY, "feature", F.col("v").alias("contribution"))
 
 
-@query("rollup_contributions", "SELECT customer_id, feature, round_even(v, 9) AS contribution FROM x_long")
+@query("rollup_contributions", "SELECT customer_id, feature, v AS contribution FROM x_long")
 def rollup_contributions(spark, folder):
     return _rolled_long(spark, folder, "abs")
 
 
 @query("rollup_signed", "\nUNION ALL ".join(
-    f"SELECT customer_id, '{c}' AS feature, round_even(r_{i}, 9) AS contribution FROM x_signed"
+    f"SELECT customer_id, '{c}' AS feature, r_{i} AS contribution FROM x_signed"
     for i, c in enumerate(FEATURES)))
 def rollup_signed(spark, folder):
     return _rolled_long(spark, folder, "signed")
@@ -127,7 +132,7 @@ def rollup_signed(spark, folder):
 @query("top5_reasons", "SELECT customer_id, k, feature, shap_value, feature_value, reason, reason_with_magnitude FROM x_reasons")
 def top5_reasons(spark, folder):
     df = with_reasons(spark, folder)
-    return df.select(KEY, F.posexplode("reasons").alias("k", "r")).select(
+    return df.select(KEY, F.posexplode_outer("reasons").alias("k", "r")).select(
         KEY, (F.col("k") + 1).alias("k"), "r.*"
     )
 
@@ -135,13 +140,13 @@ def top5_reasons(spark, folder):
 @query("reason_text", "SELECT customer_id, feature, reason FROM x_reasons")
 def reason_text(spark, folder):
     df = with_reasons(spark, folder)
-    return df.select(KEY, F.explode("reasons").alias("r")).select(KEY, "r.feature", "r.reason")
+    return df.select(KEY, F.explode_outer("reasons").alias("r")).select(KEY, "r.feature", "r.reason")
 
 
 @query("reason_with_magnitude", "SELECT customer_id, feature, reason_with_magnitude FROM x_reasons")
 def reason_with_magnitude(spark, folder):
     df = with_reasons(spark, folder)
-    return df.select(KEY, F.explode("reasons").alias("r")).select(KEY, "r.feature", "r.reason_with_magnitude")
+    return df.select(KEY, F.explode_outer("reasons").alias("r")).select(KEY, "r.feature", "r.reason_with_magnitude")
 
 
 @query("join_reasons", "SELECT customer_id, top_5_reasons FROM x_explained")
@@ -156,7 +161,7 @@ def reason_columns(spark, folder):
 
 @query("describe_feature", "SELECT customer_id, feature, description, direction FROM x_reasons")
 def describe_feature(spark, folder):
-    df = with_reasons(spark, folder).select(KEY, F.explode("reasons.feature").alias("feature"))
+    df = with_reasons(spark, folder).select(KEY, F.explode_outer("reasons.feature").alias("feature"))
     return reasons.describe_features(df, feature_dimension(spark))
 
 
@@ -192,7 +197,7 @@ def top_n_encoded_reasons(spark, folder):
     ]
     df = scored(spark, folder).withColumn("encoded_values", F.array(*values))
     df = reasons.top_encoded_reasons(df, ENCODED)
-    return df.select(KEY, F.inline("encoded_reasons"))
+    return df.select(KEY, F.inline_outer("encoded_reasons"))
 
 
 @query("wide_attributions", "SELECT customer_id, " + ", ".join(

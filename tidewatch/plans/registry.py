@@ -21,7 +21,7 @@ class Entry:
 
 
 CATALOGUE: dict[str, Entry] = {}
-# Named SQL building blocks, in definition order; a later one may use an earlier one.
+# Named SQL building blocks; one may use others.
 BLOCKS: dict[str, str] = {}
 
 
@@ -31,16 +31,16 @@ def block(name: str, sql: str) -> None:
 
 def with_blocks(body: str) -> str:
     """Prefix a statement with the blocks it uses, directly or through other blocks."""
-    needed: set[str] = set()
+    ordered: list[str] = []
 
     def visit(text: str) -> None:
         for name in BLOCKS:
-            if name not in needed and re.search(rf"\b{name}\b", text):
-                needed.add(name)
+            if name not in ordered and re.search(rf"\b{name}\b", text):
                 visit(BLOCKS[name])
+                ordered.append(name)
 
     visit(body)
-    parts = [f"{n} AS (\n{s}\n)" for n, s in BLOCKS.items() if n in needed]
+    parts = [f"{n} AS (\n{BLOCKS[n]}\n)" for n in ordered]
     return (f"WITH {', '.join(parts)}\n" if parts else "") + body.strip()
 
 

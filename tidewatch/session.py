@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(name: str = "tidewatch", cores: int | None = None) -> SparkSession:
@@ -55,8 +55,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
-def materialise(df, name: str):
-    """Write a table to the shared folder and read it back, so later steps do not recompute it."""
+def store(df: DataFrame, name: str) -> str:
+    """Write a table to the shared folder and return its path."""
     path = work_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back, so later steps do not recompute it."""
+    return df.sparkSession.read.schema(df.schema).parquet(store(df, name))
