@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -68,3 +69,16 @@ def strict_reader(none_text: str):
 def salvaged(text: Column, pattern: str) -> Column:
     part = F.regexp_extract(text, pattern, 1)
     return F.when(part == "", TRUNCATED).otherwise(F.concat(strip(part), F.lit(" " + TRUNCATED)))
+
+
+def acceptable(raw: str) -> bool:
+    """Whether a reply would parse or could be salvaged, for the retry loop around a model call."""
+    text = re.sub(r"<think>.*?</think>", "", raw.strip(), flags=re.DOTALL).strip()
+    text = re.sub(r"\A```(?:json)?\s*", "", text, flags=re.IGNORECASE).strip()
+    text = re.sub(r"```\Z", "", text).strip()
+    first, last = text.find("{"), text.rfind("}")
+    candidate = text[first : last + 1] if 0 <= first < last else None
+    valid, decision, explanation, advice = _read_strictly(candidate, "")
+    if valid:
+        return decision.strip().lower() in DECISIONS and bool(explanation.strip() and advice.strip())
+    return re.search(r'"decision"\s*:\s*"(churn|retain)"', text, re.IGNORECASE) is not None

@@ -1 +1,179 @@
-"""."""
+"""Trained models, attributions, generation and incremental runs."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from tidewatch.functions.clients import PanelEcho
+from tidewatch.functions.labels import churn_decision, risk_tier
+from tidewatch.functions.numbers import round_scaled
+from tidewatch.operators import attribution, metrics, models, reasons
+from tidewatch.operators.generate import generate_replies, requests
+from tidewatch.operators.prepare import feature_names, fit_preparation
+from tidewatch.operators.replies import apply_fallback, parse_replies
+from tidewatch.plans import data
+from tidewatch.plans.prompt_queries import prompts_for
+from tidewatch.plans.reason_queries import enriched_layout
+from tidewatch.plans.registry import query
+from tidewatch.schema import KEY, LABEL
+from tidewatch.session import checkpoint_root, work_path
+from tidewatch.sources.sinks import write_table
+from tidewatch.streaming.incremental import run_batch, run_stream
+
+_FITTED: dict[tuple[str, str], tuple[str, models.Fitted]] = {}
+
+
+def customers(spark, folder):
+    return data.stage(spark, folder, "customers", lambda: data.with_split(spark, folder))
+
+
+def preparation(spark, folder):
+    return fit_preparation(customers(spark, folder).filter(F.col("split") == "train"))
+
+
+def _prepared(spark, folder, fitted):
+    return data.stage(
+        spark, folder, "prepared", lambda: models.prepare(fitted, customers(spark, folder))
+    )
+
+
+def fitted_models(spark, folder) -> tuple[str, models.Fitted]:
+    """Saved models and their folder, trained once per session and input folder."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _FITTED:
+        checkpoint_root(spark)
+        ready = preparation(spark, folder)
+        table = _prepared(spark, folder, ready)
+        train, validation = (table.filter(F.col("split") == s) for s in ("train", "val"))
+        both = models.Fitted(ready, models.fit_forest(train), models.fit_boosted(train, validation))
+        path = models.save(both, work_path(spark, "models"))
+        _FITTED[key] = (path, models.load(path))
+    return _FITTED[key]
+
+
+def prepared_and_fitted(spark, folder):
+    fitted = fitted_models(spark, folder)[1]
+    return _prepared(spark, folder, fitted.preparation), fitted
+
+
+@query("assemble")
+def assemble(spark, folder):
+    ready = preparation(spark, folder)
+    df = models.prepare(ready, customers(spark, folder))
+    return df.select(KEY, "split", vector_to_array("features").alias("features"))
+
+
+def _results(spark, folder, model):
+    table, fitted = prepared_and_fitted(spark, folder)
+    predictions = models.held_out_predictions(table, fitted)
+    return metrics.results_table(metrics.results_long(predictions.filter(F.col("model") == model)))
+
+
+@query("train_random_forest")
+def train_random_forest(spark, folder):
+    return _results(spark, folder, "random_forest")
+
+
+@query("train_boosted_trees")
+def train_boosted_trees(spark, folder):
+    return _results(spark, folder, "boosted_trees")
+
+
+@query("score_customers")
+def score_customers(spark, folder):
+    table, fitted = prepared_and_fitted(spark, folder)
+    return models.held_out_predictions(table, fitted).select(KEY, "model", "split", "y_pred", "y_proba")
+
+
+@query("prediction_table")
+def prediction_table(spark, folder):
+    table, fitted = prepared_and_fitted(spark, folder)
+    test = table.filter(F.col("split") == "test")
+    return models.prediction_table(models.score_customers(test, fitted.boosted_trees))
+
+
+@query("feature_importance_top10")
+def feature_importance_top10(spark, folder):
+    _, fitted = prepared_and_fitted(spark, folder)
+    return models.feature_importances(spark, fitted.random_forest, feature_names(fitted.preparation))
+
+
+def explained_test(spark, folder):
+    """Test customers with scores, contributions and reasons of the boosted model."""
+    table, fitted = prepared_and_fitted(spark, folder)
+    test = models.score_customers(table.filter(F.col("split") == "test"), fitted.boosted_trees)
+    path = f"{fitted_models(spark, folder)[0]}/boosted_trees"
+    return attribution.tree_attributions(test, path), feature_names(fitted.preparation)
+
+
+@query("tree_attributions")
+def tree_attributions(spark, folder):
+    df, names = explained_test(spark, folder)
+    pairs = F.arrays_zip(
+        F.array(*[F.lit(n) for n in names]).alias("feature"), F.col("contributions").alias("contribution")
+    )
+    return df.select(KEY, "base", F.inline_outer(pairs))
+
+
+@query("enriched_customers")
+def enriched_customers(spark, folder):
+    df, names = explained_test(spark, folder)
+    df = data.stage(spark, folder, "attributed", lambda: df.drop("features"))
+    rolled, order = reasons.rollup_contributions(df, names)
+    out = reasons.top_reasons(rolled, order).transform(reasons.reason_columns)
+    out = reasons.wide_attributions(out, names).withColumns(
+        {
+            "y_true": F.col(LABEL), "risk_tier": risk_tier(F.col("y_proba")),
+            "churn_decision": churn_decision(F.col("y_pred")),
+            "y_proba": round_scaled(F.col("y_proba"), 4),
+        }
+    )
+    return out.select(*enriched_layout(names))
+
+
+def stored_prompts(spark, folder):
+    return data.stage(
+        spark, folder, "prompts",
+        lambda: prompts_for(spark, folder).select(KEY, "y_true", "churn_decision", "prompt"),
+    )
+
+
+_REQUESTS = "x_prompts, (SELECT unnest(['qwen', 'gemma']) AS model)"
+
+
+@query("generate_replies", f"""
+SELECT customer_id, model, lower(churn_decision) AS decision, 'The first panel member predicts ' || lower(churn_decision) || '.' AS explanation,
+       'Follow the panel.' AS recommendation, 'ok' AS status FROM {_REQUESTS}
+""")
+def generate(spark, folder):
+    replies = generate_replies(requests(stored_prompts(spark, folder)), PanelEcho)
+    return apply_fallback(parse_replies(replies)).select(
+        KEY, "model", "decision", "explanation", "recommendation", "status"
+    )
+
+
+@query("retry_generation", f"SELECT customer_id, model, CASE WHEN length(prompt) % 5 = 0 THEN 2 ELSE 1 END AS attempts FROM {_REQUESTS}")
+def retry_generation(spark, folder):
+    replies = generate_replies(requests(stored_prompts(spark, folder)), PanelEcho)
+    return replies.select(KEY, "model", "attempts")
+
+
+@query("incremental_scoring", f"SELECT customer_id, model, lower(churn_decision) AS decision FROM {_REQUESTS}")
+def incremental_scoring(spark, folder):
+    """Half the prompts arrive and are answered, then all of them: no customer is asked twice."""
+    prompts = stored_prompts(spark, folder)
+    sink = work_path(spark, "answers")
+    run_batch(prompts.filter(F.col(KEY) % 2 == 0), sink, PanelEcho)
+    return run_batch(prompts, sink, PanelEcho).select(KEY, "model", "decision")
+
+
+@query("incremental_stream", f"SELECT customer_id, model, lower(churn_decision) AS decision FROM {_REQUESTS}")
+def incremental_stream(spark, folder):
+    prompts = stored_prompts(spark, folder)
+    source = write_table(prompts, work_path(spark, "arrivals"))
+    answers = run_stream(
+        spark, source, prompts.schema, work_path(spark, "answers"), work_path(spark, "progress"),
+        PanelEcho, files_per_batch=4,
+    )
+    return answers.select(KEY, "model", "decision")
