@@ -20,24 +20,19 @@ def _means(train: DataFrame, features: list[str]) -> DataFrame:
     )
 
 
-def _pairs(features: list[str]):
-    return F.array(
+def population_benchmarks(train: DataFrame, features: list[str] = NUMERIC_NAMES) -> DataFrame:
+    """(position, feature, churned_mean, retained_mean), one row per feature."""
+    rows = F.array(
         *[
             F.struct(
                 F.lit(i).alias("position"), F.lit(c).alias("feature"),
-                round_exact(F.col(f"{c}_1"), 3).alias("churned_mean"),
-                round_exact(F.col(f"{c}_0"), 3).alias("retained_mean"),
+                F.col(f"{c}_1").alias("churned"), F.col(f"{c}_0").alias("retained"),
             )
             for i, c in enumerate(features)
         ]
     )
-
-
-def population_benchmarks(train: DataFrame, features: list[str] = NUMERIC_NAMES) -> DataFrame:
-    """(position, feature, churned_mean, retained_mean), one row per feature."""
-    return _means(train, features).select(F.inline(_pairs(features)))
-
-
-def benchmark_list(train: DataFrame, features: list[str] = NUMERIC_NAMES) -> DataFrame:
-    """The same as a single array, for use as a scalar subquery."""
-    return _means(train, features).select(_pairs(features).alias("benchmarks"))
+    return _means(train, features).select(F.inline(rows)).select(
+        "position", "feature",
+        round_exact(F.col("churned"), 3).alias("churned_mean"),
+        round_exact(F.col("retained"), 3).alias("retained_mean"),
+    )

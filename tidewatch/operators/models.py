@@ -40,6 +40,13 @@ def weighted(df: DataFrame, train: DataFrame, kind: str) -> DataFrame:
     return df.withColumn("weight", out)
 
 
+def spread(train: DataFrame) -> DataFrame:
+    """At least one partition per core: the tree learners pass over the rows many times."""
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    parts = train.rdd.getNumPartitions()
+    return train if parts >= cores else train.repartition(cores, KEY)
+
+
 def fit_forest(train: DataFrame, params: ForestParams = ForestParams()) -> RandomForestClassificationModel:
     """Random forest with balanced class weights on a prepared, stored training table."""
     forest = RandomForestClassifier(
@@ -48,7 +55,7 @@ def fit_forest(train: DataFrame, params: ForestParams = ForestParams()) -> Rando
         featureSubsetStrategy=params.feature_subset, seed=params.seed,
         maxMemoryInMB=params.max_memory_mb,
     )
-    return forest.fit(weighted(train, train, "balanced"))
+    return forest.fit(spread(weighted(train, train, "balanced")))
 
 
 def best_round(losses: list[float], patience: int) -> int | None:
@@ -75,7 +82,7 @@ def fit_boosted(
     the rounds to keep. Differences from other boosting libraries: no L2 term, and columns are
     sampled per node instead of per tree.
     """
-    weighted_train = weighted(train, train, "positive_weight")
+    weighted_train = spread(weighted(train, train, "positive_weight"))
     plain_validation = validation.withColumn("weight", F.lit(1.0))
 
     def fit(rounds: int) -> GBTClassificationModel:
