@@ -29,30 +29,31 @@ def fitted(spark):
     train, val = table.filter("customer_id < 400"), table.filter("customer_id >= 400")
     forest = models.fit_forest(train, ForestParams(trees=8, depth=5))
     boosted = models.fit_boosted(train, val, BoostParams(rounds=12, depth=4, patience=4))
-    path = models.save(models.Fitted(ready, forest, boosted), work_path(spark, "small"))
-    return models.load(path), table, path
+    paths = {k: models.save(m, work_path(spark, k)) for k, m in
+             {"preparation": ready, "random_forest": forest, "boosted_trees": boosted}.items()}
+    return {k: models.load(k, p) for k, p in paths.items()}, table, paths
 
 
 def test_names_and_block_order(fitted):
     model, table, _ = fitted
-    assert prepare.feature_names(model.preparation, ["Age", "Returns_Rate"]) == [
+    assert prepare.feature_names(model["preparation"], ["Age", "Returns_Rate"]) == [
         "Age", "Returns_Rate", "Gender_g0", "Gender_g1", "Gender_g2"]
     assert table.select(F.size(vector_to_array("features"))).first()[0] == 5
 
 
 def test_scores_and_importances(spark, fitted):
     model, table, _ = fitted
-    for each in (model.random_forest, model.boosted_trees):
+    for each in (model["random_forest"], model["boosted_trees"]):
         row = models.score_customers(table, each).agg(
             F.min("y_proba"), F.max("y_proba"), F.avg((F.col("y_pred") == F.col("Churned")).cast("int"))).first()
         assert 0 <= row[0] <= row[1] <= 1 and row[2] > 0.9
-    top = models.feature_importances(spark, model.random_forest, ["a", "b", "c", "d", "e"], top=3).collect()
+    top = models.feature_importances(spark, model["random_forest"], ["a", "b", "c", "d", "e"], top=3).collect()
     assert [r["rank"] for r in top] == [1, 2, 3] and top[0]["importance"] >= top[1]["importance"]
 
 
 def test_contributions_add_up_to_the_log_odds(fitted):
     model, table, path = fitted
-    scored = model.boosted_trees.transform(A.tree_attributions(table, f"{path}/boosted_trees"))
+    scored = model["boosted_trees"].transform(A.tree_attributions(table, path["boosted_trees"]))
     total = F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x) + F.col("base")
     p = vector_to_array("probability")[1]
     gap = scored.agg(F.max(F.abs(total - F.log(p / (1 - p))))).first()[0]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.numbers import ratio, round_exact
+from tidewatch.functions.text import strip
 
 
 def confusion_counts(df: DataFrame, keys: list[str], truth="y_true", pred="y_pred") -> DataFrame:
@@ -62,7 +63,8 @@ def roc_auc(
     )
     shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     bounds = by_score.groupBy(*keys).agg(F.percentile_approx("_s", shares, 1000).alias("_bounds"))
-    binned = by_score.join(bounds, keys).withColumn(
+    # One row per key group (a model and split), and below at most ``buckets`` rows per group.
+    binned = by_score.join(F.broadcast(bounds), keys).withColumn(
         "_bucket", F.size(F.filter("_bounds", lambda b: b < F.col("_s")))
     )
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -76,7 +78,7 @@ def roc_auc(
         Window.unboundedPreceding, -1
     )
     placed = binned.withColumn("_lower", F.coalesce(F.sum("_neg").over(inside), F.lit(0))).join(
-        offsets, [*keys, "_bucket"]
+        F.broadcast(offsets), [*keys, "_bucket"]
     )
     wins = F.col("_pos").cast("double") * (F.col("_below") + F.col("_lower") + F.col("_neg") / 2.0)
     out = placed.groupBy(*keys).agg(
@@ -142,8 +144,6 @@ def results_table(long: DataFrame) -> DataFrame:
 
 def reply_label(decision: Column) -> Column:
     """1 where the decision reads ``churn`` after trimming and lower-casing."""
-    from tidewatch.functions.text import strip
-
     return (F.lower(strip(decision)) == "churn").cast("int")
 
 

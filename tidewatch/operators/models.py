@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     GBTClassificationModel,
@@ -24,13 +22,6 @@ from tidewatch.settings import BoostParams, ForestParams
 MODELS = ["random_forest", "boosted_trees"]
 
 
-@dataclass(frozen=True)
-class Fitted:
-    preparation: PipelineModel
-    random_forest: RandomForestClassificationModel
-    boosted_trees: GBTClassificationModel
-
-
 def weighted(df: DataFrame, train: DataFrame, kind: str) -> DataFrame:
     """Add the class weight found on ``train`` (two values)."""
     rows = class_weights(train).collect()
@@ -40,11 +31,14 @@ def weighted(df: DataFrame, train: DataFrame, kind: str) -> DataFrame:
     return df.withColumn("weight", out)
 
 
-def spread(train: DataFrame) -> DataFrame:
-    """At least one partition per core: the tree learners pass over the rows many times."""
+def spread(train: DataFrame, rows_per_task: int = 4000) -> DataFrame:
+    """Use all cores where the rows are worth it: the tree learners pass over them many times."""
     cores = train.sparkSession.sparkContext.defaultParallelism
     parts = train.rdd.getNumPartitions()
-    return train if parts >= cores else train.repartition(cores, KEY)
+    if parts >= cores:
+        return train
+    wanted = min(cores, train.count() // rows_per_task)
+    return train.repartition(wanted, KEY) if wanted > parts else train
 
 
 def fit_forest(train: DataFrame, params: ForestParams = ForestParams()) -> RandomForestClassificationModel:
@@ -104,19 +98,22 @@ def fit_boosted(
         rounds = min(params.rounds, rounds * 2)
 
 
-def save(fitted: Fitted, path: str) -> str:
-    fitted.preparation.write().overwrite().save(f"{path}/preparation")
-    fitted.random_forest.write().overwrite().save(f"{path}/random_forest")
-    fitted.boosted_trees.write().overwrite().save(f"{path}/boosted_trees")
+_CLASSES = {
+    "preparation": PipelineModel,
+    "random_forest": RandomForestClassificationModel,
+    "boosted_trees": GBTClassificationModel,
+}
+
+
+def save(model, path: str) -> str:
+    """Persist a fitted preparation or ensemble."""
+    model.write().overwrite().save(path)
     return path
 
 
-def load(path: str) -> Fitted:
-    return Fitted(
-        PipelineModel.load(f"{path}/preparation"),
-        RandomForestClassificationModel.load(f"{path}/random_forest"),
-        GBTClassificationModel.load(f"{path}/boosted_trees"),
-    )
+def load(kind: str, path: str):
+    """Reload what ``save`` stored; ``kind`` is preparation, random_forest or boosted_trees."""
+    return _CLASSES[kind].load(path)
 
 
 def score_customers(prepared: DataFrame, model) -> DataFrame:
@@ -133,16 +130,12 @@ def prediction_table(scored: DataFrame) -> DataFrame:
     return scored.select(KEY, F.col(LABEL).alias("y_true"), "y_pred", "y_proba")
 
 
-def held_out_predictions(prepared: DataFrame, fitted: Fitted) -> DataFrame:
-    """(model, split, key, y_true, y_pred, y_proba) on validation and test for both models."""
+def held_out_predictions(prepared: DataFrame, name: str, model) -> DataFrame:
+    """(model, split, key, y_true, y_pred, y_proba) on validation and test."""
     held = prepared.filter(F.col("split") != "train").select(KEY, "split", LABEL, "features")
-    tables = [
-        score_customers(held, getattr(fitted, name)).select(
-            F.lit(name).alias("model"), "split", KEY, F.col(LABEL).alias("y_true"), "y_pred", "y_proba"
-        )
-        for name in MODELS
-    ]
-    return tables[0].unionByName(tables[1])
+    return score_customers(held, model).select(
+        F.lit(name).alias("model"), "split", KEY, F.col(LABEL).alias("y_true"), "y_pred", "y_proba"
+    )
 
 
 def feature_importances(

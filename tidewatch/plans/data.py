@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidewatch.operators.cleaning import clean
@@ -56,6 +57,15 @@ def with_split(spark: SparkSession, folder: str, columns=None) -> DataFrame:
     )
 
 
+def customers(spark: SparkSession, folder: str) -> DataFrame:
+    """Cleaned customers with their split, as a stored stage: fits read it several times."""
+    return stage(spark, folder, "customers", lambda: with_split(spark, folder))
+
+
+def training(spark: SparkSession, folder: str) -> DataFrame:
+    return customers(spark, folder).filter(F.col("split") == "train")
+
+
 block("x_lines", """
 SELECT l_orderkey, count(*) AS n_lines,
        count(*) FILTER (WHERE l_returnflag = 'R') AS n_returned,

@@ -21,53 +21,50 @@ from tidewatch.session import checkpoint_root, work_path
 from tidewatch.sources.sinks import write_table
 from tidewatch.streaming.incremental import run_batch, run_stream
 
-_FITTED: dict[tuple[str, str], tuple[str, models.Fitted]] = {}
+_FITTED: dict[tuple[str, str, str], tuple[str, object]] = {}
 
 
-def customers(spark, folder):
-    return data.stage(spark, folder, "customers", lambda: data.with_split(spark, folder))
-
-
-def preparation(spark, folder):
-    return fit_preparation(customers(spark, folder).filter(F.col("split") == "train"))
+def fitted(spark, folder, kind: str) -> tuple[str, object]:
+    """A saved and reloaded model with its path, trained once per session and input folder."""
+    key = (spark.sparkContext.applicationId, folder, kind)
+    if key not in _FITTED:
+        checkpoint_root(spark)
+        if kind == "preparation":
+            model = fit_preparation(data.training(spark, folder))
+        else:
+            train, val = (prepared(spark, folder).filter(F.col("split") == s) for s in ("train", "val"))
+            model = models.fit_forest(train) if kind == "random_forest" else models.fit_boosted(train, val)
+        path = models.save(model, work_path(spark, kind))
+        _FITTED[key] = (path, models.load(kind, path))
+    return _FITTED[key]
 
 
-def _prepared(spark, folder, fitted):
+def prepared(spark, folder):
+    """Customers with their feature vector, as a stored stage."""
+    ready = fitted(spark, folder, "preparation")[1]
     return data.stage(
-        spark, folder, "prepared", lambda: models.prepare(fitted, customers(spark, folder))
+        spark, folder, "prepared", lambda: models.prepare(ready, data.customers(spark, folder))
     )
 
 
-def fitted_models(spark, folder) -> tuple[str, models.Fitted]:
-    """Saved models and their folder, trained once per session and input folder."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _FITTED:
-        checkpoint_root(spark)
-        ready = preparation(spark, folder)
-        table = _prepared(spark, folder, ready)
-        train, validation = (table.filter(F.col("split") == s) for s in ("train", "val"))
-        both = models.Fitted(ready, models.fit_forest(train), models.fit_boosted(train, validation))
-        path = models.save(both, work_path(spark, "models"))
-        _FITTED[key] = (path, models.load(path))
-    return _FITTED[key]
+def names(spark, folder) -> list[str]:
+    return feature_names(fitted(spark, folder, "preparation")[1])
 
 
-def prepared_and_fitted(spark, folder):
-    fitted = fitted_models(spark, folder)[1]
-    return _prepared(spark, folder, fitted.preparation), fitted
+def predictions(spark, folder, kind: str):
+    model = fitted(spark, folder, kind)[1]
+    return models.held_out_predictions(prepared(spark, folder), kind, model)
 
 
 @query("assemble")
 def assemble(spark, folder):
-    ready = preparation(spark, folder)
-    df = models.prepare(ready, customers(spark, folder))
+    ready = fitted(spark, folder, "preparation")[1]
+    df = models.prepare(ready, data.customers(spark, folder))
     return df.select(KEY, "split", vector_to_array("features").alias("features"))
 
 
-def _results(spark, folder, model):
-    table, fitted = prepared_and_fitted(spark, folder)
-    predictions = models.held_out_predictions(table, fitted)
-    return metrics.results_table(metrics.results_long(predictions.filter(F.col("model") == model)))
+def _results(spark, folder, kind):
+    return metrics.results_table(metrics.results_long(predictions(spark, folder, kind)))
 
 
 @query("train_random_forest")
@@ -82,54 +79,55 @@ def train_boosted_trees(spark, folder):
 
 @query("score_customers")
 def score_customers(spark, folder):
-    table, fitted = prepared_and_fitted(spark, folder)
-    return models.held_out_predictions(table, fitted).select(KEY, "model", "split", "y_pred", "y_proba")
+    tables = [predictions(spark, folder, kind) for kind in models.MODELS]
+    return tables[0].unionByName(tables[1]).select(KEY, "model", "split", "y_pred", "y_proba")
 
 
 @query("prediction_table")
 def prediction_table(spark, folder):
-    table, fitted = prepared_and_fitted(spark, folder)
-    test = table.filter(F.col("split") == "test")
-    return models.prediction_table(models.score_customers(test, fitted.boosted_trees))
+    test = prepared(spark, folder).filter(F.col("split") == "test")
+    model = fitted(spark, folder, "boosted_trees")[1]
+    return models.prediction_table(models.score_customers(test, model))
 
 
 @query("feature_importance_top10")
 def feature_importance_top10(spark, folder):
-    _, fitted = prepared_and_fitted(spark, folder)
-    return models.feature_importances(spark, fitted.random_forest, feature_names(fitted.preparation))
+    model = fitted(spark, folder, "random_forest")[1]
+    return models.feature_importances(spark, model, names(spark, folder))
 
 
-def explained_test(spark, folder):
-    """Test customers with scores, contributions and reasons of the boosted model."""
-    table, fitted = prepared_and_fitted(spark, folder)
-    test = models.score_customers(table.filter(F.col("split") == "test"), fitted.boosted_trees)
-    path = f"{fitted_models(spark, folder)[0]}/boosted_trees"
-    return attribution.tree_attributions(test, path), feature_names(fitted.preparation)
+def attributed_test(spark, folder):
+    """Test customers with scores and contributions of the boosted model."""
+    path, model = fitted(spark, folder, "boosted_trees")
+    test = models.score_customers(prepared(spark, folder).filter(F.col("split") == "test"), model)
+    return attribution.tree_attributions(test, path)
 
 
 @query("tree_attributions")
 def tree_attributions(spark, folder):
-    df, names = explained_test(spark, folder)
     pairs = F.arrays_zip(
-        F.array(*[F.lit(n) for n in names]).alias("feature"), F.col("contributions").alias("contribution")
+        F.array(*[F.lit(n) for n in names(spark, folder)]).alias("feature"),
+        F.col("contributions").alias("contribution"),
     )
-    return df.select(KEY, "base", F.inline_outer(pairs))
+    return attributed_test(spark, folder).select(KEY, "base", F.inline_outer(pairs))
 
 
 @query("enriched_customers")
 def enriched_customers(spark, folder):
-    df, names = explained_test(spark, folder)
-    df = data.stage(spark, folder, "attributed", lambda: df.drop("features"))
-    rolled, order = reasons.rollup_contributions(df, names)
+    df = data.stage(
+        spark, folder, "attributed", lambda: attributed_test(spark, folder).drop("features")
+    )
+    encoded = names(spark, folder)
+    rolled, order = reasons.rollup_contributions(df, encoded)
     out = reasons.top_reasons(rolled, order).transform(reasons.reason_columns)
-    out = reasons.wide_attributions(out, names).withColumns(
+    out = reasons.wide_attributions(out, encoded).withColumns(
         {
             "y_true": F.col(LABEL), "risk_tier": risk_tier(F.col("y_proba")),
             "churn_decision": churn_decision(F.col("y_pred")),
             "y_proba": round_scaled(F.col("y_proba"), 4),
         }
     )
-    return out.select(*enriched_layout(names))
+    return out.select(*enriched_layout(encoded))
 
 
 def stored_prompts(spark, folder):

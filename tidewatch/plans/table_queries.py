@@ -138,8 +138,7 @@ data.block("x_modes", "\nUNION ALL ".join(
 
 @query("impute_median", "SELECT feature, round_even(median, 6) AS median FROM x_medians")
 def impute_median(spark, folder):
-    df = data.with_split(spark, folder, NUMERIC_NAMES)
-    medians = prepare.exact_medians(df.filter(F.col("split") == "train"), NUMERIC_NAMES)
+    medians = prepare.exact_medians(data.training(spark, folder), NUMERIC_NAMES)
     return medians.select("feature", F.bround("median", 6).alias("median"))
 
 
@@ -167,9 +166,8 @@ def _scaled_sql() -> str:
 
 @query("scale_standard", _scaled_sql())
 def scale_standard(spark, folder):
-    df = data.with_split(spark, folder, NUMERIC_NAMES)
-    fitted = prepare.fit_numeric(df.filter(F.col("split") == "train"), NUMERIC_NAMES)
-    return prepare.scale(df, fitted).select(
+    fitted = prepare.fit_numeric(data.training(spark, folder), NUMERIC_NAMES)
+    return prepare.scale(data.customers(spark, folder), fitted).select(
         KEY, *[(F.bround(c, 6) + F.lit(0.0)).alias(c) for c in NUMERIC_NAMES]
     )
 
@@ -185,9 +183,8 @@ FROM x_clean, (
   UNION SELECT DISTINCT 'Signup_Quarter', "Signup_Quarter" FROM x_train WHERE "Signup_Quarter" IS NOT NULL) p
 """)
 def onehot(spark, folder):
-    df = data.with_split(spark, folder, CATEGORICAL_NAMES)
-    fitted = prepare.fit_onehot(df.filter(F.col("split") == "train"), CATEGORICAL_NAMES)
-    return prepare.onehot_long(fitted, df)
+    fitted = prepare.fit_onehot(data.training(spark, folder), CATEGORICAL_NAMES)
+    return prepare.onehot_long(fitted, data.customers(spark, folder))
 
 
 @query("layout_columns", "SELECT customer_id, " + ", ".join(f'"{c}"' for c in FEATURES) + ', "Churned" FROM x_clean')
