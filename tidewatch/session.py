@@ -55,6 +55,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Remove a stored table that no later step reads."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def store(df: DataFrame, name: str) -> str:
     """Write a table to the shared folder and return its path."""
     path = work_path(df.sparkSession, name)
