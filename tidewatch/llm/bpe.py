@@ -149,9 +149,8 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         cut = [self.parts(t or "") for t in texts]
-        new = {c for parts in cut for c in parts if c.__class__ is str} - self.known.keys()
-        self.learn(new)
         known = self.known
+        self.learn({c for parts in cut for c in parts if c not in known and c.__class__ is str})
         for i in self.vocabulary.special.values():
             known[i] = (i,)
         flat = [np.fromiter(chain.from_iterable(map(known.__getitem__, parts)), dtype="int32") for parts in cut]

@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, embedding_dedup, line_dedup, mixing, neighbours, sharding, simhash
-from tidewatch.llm.rows import text_of
+from tidewatch.llm import bpe, embedding_dedup, line_dedup, mixing, neighbours, pii, quality, sharding, simhash, toxicity
+from tidewatch.llm.rows import fold, held_out, text_of
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -30,6 +30,20 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.plan(rows).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    rows = quality.stored_features(table(spark, folder, "documents").select("doc_id", "text"))
+    model = quality.learn(rows, table(spark, folder, "labels"), quality.learning_rows(5, 0))
+    scored = rows.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), quality.score_features(model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.found_spans(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", *[pii.kind_count(k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
+        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     written = spark.read.parquet(sharding.write_shards(docs, shards=40))
@@ -38,6 +52,14 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    learns = F.coalesce(fold("doc_id", 3) != F.lit(1), F.lit(False))
+    model = toxicity.learn(docs, table(spark, folder, "labels"), learns)
+    scored = docs.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), toxicity.score(model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return line_dedup.without_repeats(docs).select("doc_id", "text", "n_lines", "n_removed")
@@ -87,6 +109,7 @@ def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op4_sharding, op6_line_dedup, op7_embedding_dedup, op8_simhash, op9_bpe, op10_neighbours)
+    for f in (op1_mixing, op2_quality, op3_pii, op4_sharding, op5_toxicity, op6_line_dedup,
+              op7_embedding_dedup, op8_simhash, op9_bpe, op10_neighbours)
 }
 ORACLES = {"op6_line_dedup": OP6_SQL}

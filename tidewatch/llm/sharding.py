@@ -48,25 +48,23 @@ def shuffled(docs: DataFrame, seed: int = 7, bucket_bytes: int = BUCKET_BYTES) -
     total = docs.agg(F.sum(row_bytes())).first()[0] or 0
     buckets = max(1, -(-int(total) // bucket_bytes))
     scattered = docs.withColumn("__tw_id", identity).withColumn("__tw_bucket", F.pmod("__tw_id", F.lit(buckets)).cast("int"))
-    schema = T.StructType([*scattered.schema.fields, T.StructField("__tw_rank", T.LongType())])
+    schema = T.StructType([*scattered.schema.fields, T.StructField("__tw_place", T.LongType())])
 
-    def shuffle_bucket(rows: pd.DataFrame) -> pd.DataFrame:
+    def shuffle_bucket(rows: pd.DataFrame, offset: pd.DataFrame) -> pd.DataFrame:
         # The start order must not depend on how the rows arrived.
         rows = rows.sort_values(["__tw_id", "doc_id"], kind="stable", ignore_index=True)
         rank = np.empty(len(rows), dtype="int64")
         rank[fisher_yates(len(rows), seed, int(rows["__tw_bucket"].iat[0]))] = np.arange(len(rows))
-        return rows.assign(__tw_rank=rank)
+        return rows.assign(__tw_place=rank + int(offset["__tw_offset"].iat[0]))
 
     # Offsets: one row per bucket, so this ordered window sees total / bucket_bytes rows.
     counts = scattered.groupBy("__tw_bucket").agg(F.count(F.lit(1)).alias("__tw_n"))
     offsets = counts.selectExpr(
         "__tw_bucket", "sum(__tw_n) OVER (ORDER BY __tw_bucket) - __tw_n AS __tw_offset")
+    # The offsets meet their buckets in the same task, so the texts are shuffled once.
     return (
-        scattered.groupBy("__tw_bucket").applyInPandas(shuffle_bucket, schema)
-        .join(offsets, "__tw_bucket")
-        .withColumn("__tw_place", F.col("__tw_offset") + F.col("__tw_rank"))
-        .drop("__tw_id", "__tw_bucket", "__tw_rank", "__tw_offset")
-    )
+        scattered.groupBy("__tw_bucket").cogroup(offsets.groupBy("__tw_bucket"))
+        .applyInPandas(shuffle_bucket, schema).drop("__tw_id", "__tw_bucket"))
 
 
 def sharded(docs: DataFrame, shards: int = 40, seed: int = 7, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
