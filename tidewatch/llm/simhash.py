@@ -18,44 +18,60 @@ rows are links like all others. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.llm.links import block_pairs, components, forest, per_unit, upper_pairs
-from tidewatch.llm.rows import numbered, small_batches, text_key, text_of
+from tidewatch.llm.rows import small_batches, text_of
 from tidewatch.session import materialise
 
 RADIUS = 3
 SEED = 42
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """The fingerprint of one text as an unsigned 64-bit number."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+_LANES = np.uint64(0x0101010101010101)
+
+
+def shingle_hashes(tokens: list[bytes], words: int) -> np.ndarray:
+    """XXH64 of every run of ``words`` tokens, repeats included; of the whole sequence if it is shorter."""
     if not tokens:
-        return 0
+        return np.zeros(0, dtype="uint64")
     joined = b" ".join(tokens)
+    digest = xxhash.xxh64_intdigest
     if len(tokens) <= words:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype="uint64")
-    else:
-        ends = np.cumsum(np.fromiter(map(len, tokens), dtype="int64", count=len(tokens)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array(
-            [digest(joined[a:b], SEED) for a, b in zip(starts[: len(starts) - words + 1].tolist(), ends[words - 1:].tolist())],
-            dtype="uint64")
-    # Few rows at a time, so that the unpacked bits of a very long text stay small.
-    ones = np.zeros(64, dtype="int64")
-    for at in range(0, len(hashes), 65536):
-        part = hashes[at : at + 65536].astype(">u8").view("uint8").reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype="int64")
-    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+        return np.array([digest(joined, SEED)], dtype="uint64")
+    ends = np.cumsum(np.fromiter(map(len, tokens), dtype="int64", count=len(tokens)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    return np.array(
+        [digest(joined[a:b], SEED) for a, b in zip(starts[: len(starts) - words + 1].tolist(), ends[words - 1 :].tolist())],
+        dtype="uint64")
+
+
+def ones_of(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes have each bit set, from the highest bit down.
+
+    Eight bits, one of each byte, are added at once in byte lanes; 255 additions cannot overflow a lane.
+    """
+    padded = np.zeros(-(-len(hashes) // 255) * 255, dtype="uint64")
+    padded[: len(hashes)] = hashes
+    out = np.empty(64, dtype="int64")
+    for bit in range(8):
+        lanes = ((padded >> np.uint64(bit)) & _LANES).reshape(-1, 255).sum(axis=1, dtype="uint64")
+        out[63 - bit :: -8] = lanes.astype("<u8").view("uint8").reshape(-1, 8).sum(axis=0, dtype="int64")
+    return out
+
+
+def fingerprint(text: str | None, words: int) -> int:
+    """The fingerprint of one text as an unsigned 64-bit number."""
+    hashes = shingle_hashes((text or "").encode("utf-8", "surrogatepass").lower().split(), words)
+    return int.from_bytes(np.packbits(ones_of(hashes) * 2 > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -115,17 +131,113 @@ def near_copies(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFr
     return rows.join(classes, "__tw_fp").select("doc_id", "__tw_fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each group of near copies: the one with the smallest doc_id.
+# Documents similar in their shingles, beyond a few bits. A sketch of many SimHash words estimates similarity;
+# candidates come from balls around its chunks.
+
+#: 64-bit words of a sketch; 512 bits tell a similarity of 0.8 to about 0.03.
+SKETCH_WORDS = 8
+#: Share of bits in which documents at the least similarity differ (shingles of ``GRAIN`` words), and the share
+#: of such pairs that may be missed; both set the number of chunks.
+BIT_ERROR = 0.1
+MISSED = 0.02
+GRAIN = 3
+
+
+def mixed(hashes: np.ndarray, stream: int) -> np.ndarray:
+    """Independent 64-bit hashes from others: a fixed bijective mixer with a different start for each stream."""
+    z = hashes + np.uint64((stream * 0x9E3779B97F4A7C15) % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def chunk_plan(documents: int) -> tuple[int, int]:
+    """(bits of a chunk, chunks): wide enough that chance meetings stay rare, enough chunks to miss few."""
+    width = max(20, int(np.ceil(np.log2(max(documents, 1)))) + 7)
+    within_two = sum(math.comb(width, d) * BIT_ERROR**d * (1 - BIT_ERROR) ** (width - d) for d in range(3))
+    return width, math.ceil(math.log(MISSED) / math.log(1 - within_two))
+
+
+def sketch(text: str | None, words: int, width: int, chunks: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """(key of the normalised text, number of distinct shingles, sketch words, chunks)."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    key = xxhash.xxh64_intdigest(b" ".join(tokens), SEED)
+    near = shingle_hashes(tokens, GRAIN)
+    count = -(-width * chunks // 64)
+    bits = np.concatenate([ones_of(mixed(near, 100 + k)) * 2 > len(near) for k in range(count)])[: width * chunks]
+    own = np.unique(shingle_hashes(tokens, words))
+    made = np.concatenate([ones_of(mixed(own, k)) * 2 > len(own) for k in range(SKETCH_WORDS)])
+    values = bits.reshape(chunks, width) @ (np.int64(1) << np.arange(width))
+    return key, len(own), np.packbits(made).view("int64"), values
+
+
+def sketches(docs: DataFrame, words: int, width: int, chunks: int) -> DataFrame:
+    """(h1, h2: the row's key, doc_id, node, size, sketch, chunks) for every row of ``docs``."""
+    small_batches(docs.sparkSession)
+    keys = docs.select(*row_keys(), "doc_id", text_of().alias("text"))
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def lists(rows: list[np.ndarray], length: int) -> pa.Array:
+        flat = np.concatenate([np.zeros(0, "int64"), *rows])
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, length, dtype="int32")), pa.array(flat))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [sketch(t, words, width, chunks) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(np.array([m[0] for m in made], dtype="uint64").view("int64")),
+                 pa.array([m[1] for m in made], pa.int32()), lists([m[2] for m in made], SKETCH_WORDS), lists([m[3] for m in made], chunks)],
+                names=["h1", "h2", "doc_id", "node", "size", "sketch", "chunks"])
+
+    return keys.mapInArrow(run, f"h1 long, h2 long, doc_id {kind}, node long, size int, sketch array<long>, chunks array<long>")
+
+
+def row_keys() -> list[Column]:
+    """128 bits that name a row by doc_id and text."""
+    return [F.xxhash64(F.lit(n), F.col("doc_id").isNull(), F.col("doc_id"), text_of()).alias(f"h{n}") for n in (1, 2)]
+
 
-    Ties (repeated ids) and ids that are null are settled by the text's hash, then by a row number.
+def _similar(group: dict[str, np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray] | None:
+    node, size = group["node"], group["size"].astype("float64")
+    bits = group["sketch"].view("uint64")
+    apart = sum(np.bitwise_count(bits[:, k, None] ^ bits[None, :, k]).astype("int32") for k in range(bits.shape[1]))
+    shared = np.cos(np.pi * apart / (64 * bits.shape[1])) * np.sqrt(size[:, None] * size[None, :])
+    linked = (shared >= least * (size[:, None] + size[None, :] - shared)) & (shared > 0) & upper_pairs(group)
+    if not linked.any():
+        return None
+    a, b = forest(linked | linked.T)
+    return node[a], node[b]
+
+
+def linked_sketches(nodes: DataFrame, width: int, least: float) -> DataFrame:
+    """Edges (a, b) that connect the nodes (node, size, sketch, chunks) with an estimated Jaccard of ``least``."""
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k).cast("long") for k in range(width)])
+    members = (
+        nodes.select("node", F.posexplode("chunks").alias("t", "value"))
+        .withColumn("flip", F.explode(flips))
+        .select(F.expr("shiftleft(cast(t as long), 56) | (value ^ flip)").alias("key"), "node"))
+    units = block_pairs(members, ["key"], "node").join(nodes.select("node", "size", "sketch"), "node")
+    return per_unit(units, ["key"], lambda group: _similar(group, least), "a long, b long")
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of similar documents: the one with the smallest doc_id.
+
+    Similarity is the Jaccard of the sets of ``words``-word shingles, estimated from sketches. Every chunk of a
+    second sketch emits its ball of radius 1, so chunks up to two bits apart meet in the middle; what meets is
+    compared by sketch. Texts equal after normalisation (lower case, white space) are one node from the start.
+    Null ids come last; further ties are settled by the row's key. Of rows equal in doc_id and text one stays.
     """
-    stored = numbered(docs, "__tw_row")
-    ids = stored.select(F.col("__tw_row").alias("doc_id"), "text")
-    groups = near_copies(ids, words, radius).select(F.col("doc_id").alias("__tw_row"), F.col("component_id").alias("__tw_c"))
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), text_key(), F.col("__tw_row"))
+    width, chunks = chunk_plan(docs.count())
+    rows = materialise(sketches(docs, words, width, chunks), "sketches")
+    nodes = materialise(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "sketch", "chunks")]), "nodes")
+    roots = components(linked_sketches(nodes, width, similarity))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("h1"), F.col("h2"))
+    # First per node, with copies combined map-side; only then per group.
+    per_node = rows.groupBy("node").agg(F.min_by(F.struct("h1", "h2"), order).alias("row"), F.min(order).alias("order"))
     first = (
-        stored.select("__tw_row", order.alias("__tw_order")).join(groups, "__tw_row")
-        .groupBy("__tw_c").agg(F.min_by("__tw_row", "__tw_order").alias("__tw_row")).select("__tw_row")
-    )
-    return stored.join(first, "__tw_row", "left_semi").drop("__tw_row")
+        per_node.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("group"))
+        .agg(F.min_by("row", "order").alias("row")).select("row.h1", "row.h2"))
+    keyed = docs.select("*", *[k.alias(f"__tw_{n}") for k, n in zip(row_keys(), ("h1", "h2"))])
+    kept = keyed.join(first, (F.col("__tw_h1") == F.col("h1")) & (F.col("__tw_h2") == F.col("h2")), "left_semi")
+    return kept.dropDuplicates(["__tw_h1", "__tw_h2"]).drop("__tw_h1", "__tw_h2")

@@ -45,6 +45,8 @@ REPORTS = frozenset(
     "said says wrote called quoted reported claimed sagte sagt schrieb nannte dit disait écrit écrivait dijo dice escribió llamó".split())
 
 LEXICON = 20_000
+#: Labelled ids that are learned from at most, the first by a hash; a bounded sample once there are more.
+LEARNING_ROWS = 200_000
 #: Least lower bound of the log-odds for an insult, round by round, and least toxic learning documents.
 BOUNDS = (4.5, 3.0, 2.0, 1.0)
 LEAST_DOCS = 3
@@ -206,11 +208,15 @@ def learn_grammar(docs: DataFrame) -> Grammar:
 
 
 def learn(docs: DataFrame, labels: DataFrame, learns: Column, steps: int = 20) -> Model:
-    """Learn the lexicon and the curve from the rows of ``docs`` where ``learns`` holds and that have a label."""
+    """Learn the lexicon and the curve from rows of ``docs`` where ``learns`` holds and that have a label.
+
+    At most ``LEARNING_ROWS`` labelled ids are used.
+    """
     small_batches(docs.sparkSession)
-    known = agreed_labels(labels, "toxic").filter(learns)
+    known = agreed_labels(labels, "toxic").filter(learns).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LEARNING_ROWS)
+    # The broadcast is bounded by LEARNING_ROWS; texts stay where they are.
     rows = materialise(
-        docs.select("doc_id", text_of().alias("text")).join(known, "doc_id").select("text", F.col("__tw_label").alias("label")),
+        docs.select("doc_id", text_of().alias("text")).join(F.broadcast(known), "doc_id").select("text", F.col("__tw_label").alias("label")),
         "labelled_texts")
     grammar = learn_grammar(rows)
 

@@ -19,7 +19,8 @@ def as_rows(column) -> np.ndarray:
     values = column.to_pylist() if isinstance(column, pa.Array) else list(column)
     widths = set(map(len, values))
     if len(widths) == 1:
-        return np.array(values, dtype="float64")
+        whole = isinstance(values[0], np.ndarray) and values[0].dtype.kind == "i"
+        return np.array(values, dtype="int64" if whole else "float64")
     width = max(widths, default=0)
     out = np.zeros((len(values), width))
     for i, v in enumerate(values):
