@@ -342,3 +342,21 @@ def test_text_digests_match_contract(spark):
     found = queries.op3_pii(spark, FOLDER).filter("n_email > 0").first()
     full = spark.read.parquet(f"{FOLDER}/documents.parquet").filter(F.col("doc_id") == found.doc_id).first().text
     assert found.base_sha256 == hashlib.sha256(plain_spans(full).encode()).hexdigest()
+
+
+def test_keep_one_by_similarity(spark):
+    """Of similar five-word shingle sets one document stays; what is far below the threshold stays."""
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    docs, near, far = [], [], []
+    for g in range(60):
+        base = [rng.choice(vocabulary) for _ in range(150)]
+        docs.append(" ".join(base))
+        near.append(len(docs))
+        docs.append(" ".join(base[:70] + ["changed"] + base[71:]))  # Jaccard 0.93
+        far.append(len(docs))
+        docs.append(" ".join("other" if k % 9 == 4 else w for k, w in enumerate(base)))  # Jaccard below 0.3
+    near.append(len(docs))
+    docs.append(docs[0].upper().replace(" ", "\n"))
+    got = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    assert not got & set(near) and got >= set(far) and len(got) == 120
