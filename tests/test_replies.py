@@ -3,13 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.functions.clients import PanelEcho
 from tidewatch.functions.replies import ERROR_MARK, FALLBACK_ADVICE, acceptable
 from tidewatch.operators.generate import generate_replies, requests
 from tidewatch.operators.replies import apply_fallback, not_yet_answered, parse_replies
+from tidewatch.plans.echo_client import BreaksDown, PanelEcho
 from tidewatch.session import work_path
 from tidewatch.settings import GenerationParams
-from tidewatch.streaming.incremental import answer_missing, read_answers, run_batch
+from tidewatch.streaming.incremental import answer_missing, read_answers, run_batch, run_stream
 
 E20, R10 = "This explanation is long enough", "Call them today"
 OK = f'{{"decision": "churn", "explanation": "{E20}", "recommendation": "{R10}"}}'
@@ -76,17 +76,48 @@ def prompts(spark, n):
 
 
 class Broken:
-    def generate(self, model, messages):
-        return "nothing useful"
+    def generate(self, model, requests):
+        return ["nothing useful"] * len(requests)
+
+
+class Raises:
+    def generate(self, model, requests):
+        raise ConnectionError("no server")
+
+
+class Counts(PanelEcho):
+    """Fails one prompt of each batch at first; batches are never larger than asked for."""
+
+    def generate(self, model, requests):
+        assert len(requests) <= 5
+        return super().generate(model, requests)
 
 
 def test_generation_and_retries(spark):
-    out = generate_replies(requests(prompts(spark, 40)), PanelEcho, partitions=4)
+    out = generate_replies(requests(prompts(spark, 40)), Counts, GenerationParams(batch_size=5), partitions=4)
     rows = out.collect()
     assert len(rows) == 80
     assert all(r["attempts"] == (2 if len(r["prompt"]) % 5 == 0 else 1) for r in rows)
     failed = generate_replies(requests(prompts(spark, 3), GenerationParams(models=("qwen",), limit=2)), Broken)
     assert [(r["attempts"], r["raw_reply"]) for r in failed.collect()] == [(4, "nothing useful")] * 2
+    raised = generate_replies(requests(prompts(spark, 3)), Raises).collect()
+    assert len(raised) == 6 and all(r["raw_reply"].startswith("client error") and r["attempts"] == 4 for r in raised)
+    with pytest.raises(Exception, match="no server"):
+        generate_replies(requests(prompts(spark, 3)), Raises, GenerationParams(on_error="raise")).collect()
+
+
+def test_retry_loop_and_parser_accept_the_same_replies(spark):
+    good = '{"decision": "churn", "explanation": "because of many returns", "recommendation": "call the customer"}'
+    texts = [
+        good, good.replace('"churn"', '" CHURN "'), "```json\n" + good + "\n```", "<think>a\nb</think>" + good, "text " + good + " after",
+        good + " trailing }", good.replace('"', "'"), good.replace("many", "ma\nny"), good[:60], good[:100], good.replace("churn", "maybe"),
+        good.replace("because of many returns", ""), '{"decision": "churn"}', good.replace('"call the customer"', "null"), "nothing", "",
+        '{"decision": " churn ", "explanation": "cut', '{"decision": "retain", "explanation": "short'
+    ]
+    df = spark.createDataFrame([(i, "m", t, "RETAIN") for i, t in enumerate(texts)], "customer_id long, model string, raw_reply string, churn_decision string")
+    status = {r.customer_id: r.status for r in parse_replies(df).collect()}
+    for i, text in enumerate(texts):
+        assert acceptable(text) == (status[i] != "error"), (text, status[i])
 
 
 def test_anti_join_for_each_fill(spark):
@@ -100,10 +131,42 @@ def test_resumed_run_equals_one_run(spark):
     everything = prompts(spark, 30)
     sink = work_path(spark, "answers")
     run_batch(everything.filter("customer_id < 11"), sink, PanelEcho, GenerationParams(models=("qwen",)))
-    answer_missing(everything, sink, "again", PanelEcho)
-    answer_missing(everything, sink, "again", PanelEcho)  # a repeated batch replaces itself
+    for _ in range(2):  # a repeated batch replaces itself
+        earlier = read_answers(spark, sink).filter("batch <> 'again'")
+        answer_missing(requests(everything), earlier, sink, "again", PanelEcho)
     resumed = read_answers(spark, sink)
     once = run_batch(everything, work_path(spark, "once"), PanelEcho)
     keys = ["customer_id", "model", "decision"]
     assert resumed.count() == 60
     assert resumed.select(keys).exceptAll(once.select(keys)).count() == 0
+
+
+def test_finished_buckets_survive_a_breakdown(spark):
+    everything = prompts(spark, 40)
+    sink = work_path(spark, "answers")
+    params = GenerationParams(models=("qwen",), on_error="raise", buckets=8)
+    with pytest.raises(Exception, match="server is gone"):
+        run_batch(everything, sink, BreaksDown, params)
+    before = read_answers(spark, sink).collect()
+    after = run_batch(everything, sink, PanelEcho, params)
+    assert after.count() == 40 and after.select("customer_id").distinct().count() == 40
+    assert set(before) <= set(after.collect())
+
+
+def test_limit_counts_once_per_run(spark):
+    sink = work_path(spark, "answers")
+    assert run_batch(prompts(spark, 40), sink, PanelEcho, GenerationParams(models=("qwen",), limit=7)).count() == 7
+    with pytest.raises(ValueError):
+        run_stream(spark, sink, prompts(spark, 1).schema, sink, "c", PanelEcho, GenerationParams(limit=2))
+
+
+def test_two_streams_share_a_sink(spark):
+    everything = prompts(spark, 10)
+    sink = work_path(spark, "answers")
+    for name, part in (("a", "customer_id < 6"), ("b", "customer_id >= 4")):
+        source = work_path(spark, f"arrivals_{name}")
+        everything.filter(part).repartition(3).write.parquet(source)
+        for _ in range(2):  # started again, a stream finds nothing new
+            run_stream(spark, source, everything.schema, sink, f"{sink}_progress_{name}", PanelEcho, files_per_batch=1)
+    got = read_answers(spark, sink)
+    assert got.count() == 20 and got.select("customer_id", "model").distinct().count() == 20

@@ -1,42 +1,14 @@
-"""Text-model clients. A client is injected; the one here only reads the prompt back."""
+"""The text-model client that a job is given. No model ships with the package."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from typing import Protocol
 
 
 class TextClient(Protocol):
-    def generate(self, model: str, messages: list[dict]) -> str:
-        """One reply to a list of role/content messages."""
+    def generate(self, model: str, requests: list[list[dict]]) -> list[str]:
+        """One reply to each request of a batch; a request is a list of role/content messages."""
 
 
 ClientFactory = Callable[[], TextClient]
-
-
-class PanelEcho:
-    """Deterministic client for tests and dry runs: repeats the first panel decision.
-
-    Every prompt whose length is a multiple of five gets an unusable first reply, so retries occur.
-    """
-
-    def __init__(self) -> None:
-        self._failed: set[tuple[str, str]] = set()
-
-    def generate(self, model: str, messages: list[dict]) -> str:
-        content = messages[-1]["content"]
-        prompt = content if isinstance(content, str) else content[0]["text"]
-        if len(prompt) % 5 == 0 and (model, prompt) not in self._failed:
-            self._failed.add((model, prompt))
-            return "Let me think about this customer."
-        self._failed.discard((model, prompt))
-        line = next((x for x in prompt.splitlines() if x.strip().startswith("Prediction")), ":")
-        decision = line.rsplit(":", 1)[1].strip().lower()
-        return json.dumps(
-            {
-                "decision": decision,
-                "explanation": f"The first panel member predicts {decision}.",
-                "recommendation": "Follow the panel.",
-            }
-        )

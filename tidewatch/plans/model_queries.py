@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tidewatch.functions.clients import PanelEcho
 from tidewatch.functions.labels import churn_decision, risk_tier
 from tidewatch.functions.numbers import round_scaled
 from tidewatch.operators import attribution, metrics, models, reasons
 from tidewatch.operators.generate import generate_replies, requests
-from tidewatch.operators.prepare import feature_names, fit_preparation
+from tidewatch.operators.prepare import feature_names, fit_preparation, transform_prepared
 from tidewatch.operators.replies import apply_fallback, parse_replies
 from tidewatch.plans import data
+from tidewatch.plans.echo_client import BreaksDown, PanelEcho
 from tidewatch.plans.prompt_queries import prompts_for
 from tidewatch.plans.reason_queries import enriched_layout
 from tidewatch.plans.registry import query
 from tidewatch.schema import KEY, LABEL
 from tidewatch.session import checkpoint_root, work_path
+from tidewatch.settings import GenerationParams
 from tidewatch.sources.sinks import write_table
 from tidewatch.streaming.incremental import run_batch, run_stream
 
@@ -43,7 +44,7 @@ def prepared(spark, folder):
     """Customers with their feature vector, as a stored stage."""
     ready = fitted(spark, folder, "preparation")[1]
     return data.stage(
-        spark, folder, "prepared", lambda: models.prepare(ready, data.customers(spark, folder))
+        spark, folder, "prepared", lambda: transform_prepared(ready, data.customers(spark, folder))
     )
 
 
@@ -59,7 +60,7 @@ def predictions(spark, folder, kind: str):
 @query("assemble")
 def assemble(spark, folder):
     ready = fitted(spark, folder, "preparation")[1]
-    df = models.prepare(ready, data.customers(spark, folder))
+    df = transform_prepared(ready, data.customers(spark, folder))
     return df.select(KEY, "split", vector_to_array("features").alias("features"))
 
 
@@ -159,9 +160,14 @@ def retry_generation(spark, folder):
 
 @query("incremental_scoring", f"SELECT customer_id, model, lower(churn_decision) AS decision FROM {_REQUESTS}")
 def incremental_scoring(spark, folder):
-    """Half the prompts arrive and are answered, then all of them: no customer is asked twice."""
+    """A run breaks down, half the prompts are answered, then all of them: no customer is asked twice."""
     prompts = stored_prompts(spark, folder)
     sink = work_path(spark, "answers")
+    try:
+        run_batch(prompts.filter(F.col(KEY) % 20 == 0), sink, BreaksDown, GenerationParams(on_error="raise"))
+    except Exception as error:
+        if "the server is gone" not in str(error):
+            raise
     run_batch(prompts.filter(F.col(KEY) % 2 == 0), sink, PanelEcho)
     return run_batch(prompts, sink, PanelEcho).select(KEY, "model", "decision")
 

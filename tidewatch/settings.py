@@ -22,6 +22,8 @@ class ForestParams:
     feature_subset: str = "sqrt"
     seed: int = 42
     max_memory_mb: int = 1024
+    # Partitions of the training rows; part of the seed.
+    partitions: int = 16
 
 
 @dataclass(frozen=True)
@@ -33,6 +35,7 @@ class BoostParams:
     column_sample: float = 0.8
     patience: int = 20
     seed: int = 42
+    partitions: int = 16
 
 
 @dataclass(frozen=True)
@@ -47,4 +50,11 @@ class PanelParams:
 class GenerationParams:
     models: tuple[str, ...] = ("qwen", "gemma")
     attempts: int = 4
+    # First customers of a batch run, for a dry run.
     limit: int | None = None
+    # Prompts per call of the client.
+    batch_size: int = 32
+    # What a client's exception does: "reply" makes it an unusable reply, "raise" stops the job.
+    on_error: str = "reply"
+    # Slices of a run that are committed one by one; fixed for the life of a sink.
+    buckets: int = 8

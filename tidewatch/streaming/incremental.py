@@ -1,15 +1,17 @@
 """Answering prompts bit by bit, and going on after an interruption.
 
-Replies are kept long, keyed by (customer, model). A run asks only for keys without an answer and
-adds a folder to the sink; nothing already answered is rewritten. A folder belongs to one batch and
-is overwritten as a whole when that batch is repeated.
+Replies are kept long, keyed by (customer, model), in folders ``bucket=…/batch=…``: the bucket is a hash
+of the customer, the batch names the run that wrote it. A run asks only for keys without an answer and
+looks for them in the buckets it touches; nothing already answered is rewritten. A batch run goes
+bucket by bucket and commits each one when it is finished, so an interruption loses one bucket's work.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -27,45 +29,75 @@ ANSWER_SCHEMA = (
 _COLUMNS = [c.split()[0] for c in ANSWER_SCHEMA.split(", ")]
 
 
+def bucket_of(buckets: int) -> Column:
+    return F.pmod(F.xxhash64(KEY), F.lit(buckets)).cast("int")
+
+
 def read_answers(spark: SparkSession, sink: str) -> DataFrame:
+    schema = ANSWER_SCHEMA + ", bucket int, batch string"
     if not path_exists(spark, sink):
-        return spark.createDataFrame([], ANSWER_SCHEMA + ", batch string")
-    return spark.read.schema(ANSWER_SCHEMA + ", batch string").parquet(sink)
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(sink)
 
 
 def answer_missing(
-    prompts: DataFrame, sink: str, batch: str, client_factory: ClientFactory,
+    wanted: DataFrame, earlier: DataFrame, sink: str, batch: str, client_factory: ClientFactory,
     params: GenerationParams = GenerationParams(),
 ) -> None:
-    """Answer the prompts that have no answer yet and store them as one batch of the sink."""
-    earlier = read_answers(prompts.sparkSession, sink).filter(F.col("batch") != batch)
-    todo = not_yet_answered(requests(prompts, params), earlier, [KEY, "model"])
-    replies = generate_replies(todo, client_factory, params)
-    answers = apply_fallback(parse_replies(replies)).select(*_COLUMNS)
-    answers.write.mode("overwrite").parquet(f"{sink}/batch={batch}")
+    """Answer the requests that ``earlier`` holds no answer to and store them under the batch's name.
+
+    Only the folders of this batch are replaced, so a repeated batch overwrites itself.
+    """
+    todo = not_yet_answered(wanted, earlier, [KEY, "model"])
+    answers = apply_fallback(parse_replies(generate_replies(todo, client_factory, params))).select(*_COLUMNS)
+    (
+        answers.withColumns({"bucket": bucket_of(params.buckets), "batch": F.lit(batch)})
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("bucket", "batch").parquet(sink)
+    )
 
 
 def run_batch(
     prompts: DataFrame, sink: str, client_factory: ClientFactory,
     params: GenerationParams = GenerationParams(),
 ) -> DataFrame:
-    """One batch run; call it again to go on after a failure."""
-    answer_missing(prompts, sink, f"run-{uuid.uuid4().hex}", client_factory, params)
+    """One batch run over stored prompts; call it again to go on after a failure.
+
+    ``limit`` counts customers once for the run. Buckets are answered and committed one by one.
+    """
+    batch = f"run-{uuid.uuid4().hex}"
+    wanted = requests(prompts, params).withColumn("_bucket", bucket_of(params.buckets))
+    for bucket in range(params.buckets):
+        earlier = read_answers(prompts.sparkSession, sink).filter(F.col("bucket") == bucket)
+        part = wanted.filter(F.col("_bucket") == bucket).drop("_bucket")
+        answer_missing(part, earlier, sink, batch, client_factory, params)
     return read_answers(prompts.sparkSession, sink)
 
 
 def run_stream(
     spark: SparkSession, prompt_path: str, schema: StructType, sink: str, checkpoint: str,
     client_factory: ClientFactory, params: GenerationParams = GenerationParams(),
-    files_per_batch: int = 100,
+    files_per_batch: int = 100, name: str | None = None,
 ) -> DataFrame:
-    """Answer all prompt files that have arrived, in micro-batches, then stop."""
+    """Answer all prompt files that have arrived, in micro-batches, then stop.
+
+    Micro-batches are numbered per checkpoint, so their folders carry the stream's name: ``name``, or
+    a hash of the checkpoint path. Several streams may share a sink. A limit has no meaning here, since
+    it would cut every micro-batch.
+    """
+    if params.limit is not None:
+        raise ValueError("limit counts customers of a batch run; filter the prompts of a stream instead")
+    stream = name or hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
     source = (
         spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(prompt_path)
     )
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        answer_missing(batch, sink, f"stream-{batch_id}", client_factory, params)
+        own = f"stream-{stream}-{batch_id}"
+        wanted = requests(batch, params)
+        touched = [r[0] for r in batch.select(bucket_of(params.buckets)).distinct().collect()]  # at most `buckets`
+        earlier = read_answers(spark, sink).filter(F.col("bucket").isin(touched) & (F.col("batch") != own))
+        answer_missing(wanted, earlier, sink, own, client_factory, params)
 
     started = (
         source.writeStream.foreachBatch(on_batch)
