@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import attribution as A
 from tidewatch.operators import models, prepare
+from tidewatch.operators.prepare import transform_prepared
 from tidewatch.session import checkpoint_root, work_path
 from tidewatch.settings import BoostParams, ForestParams
 
@@ -25,7 +26,7 @@ def fitted(spark):
         F.concat(F.lit("g"), (F.col("id") % 3).cast("string")).alias("Gender"),
     ).withColumn("Churned", ((F.col("Age") + F.coalesce("Returns_Rate", F.lit(0.0)) > 1) & (F.col("Gender") != "g0")).cast("int"))
     ready = prepare.fit_preparation(df.filter("customer_id < 400"), ["Age", "Returns_Rate"], ["Gender"])
-    table = models.prepare(ready, df)
+    table = transform_prepared(ready, df)
     train, val = table.filter("customer_id < 400"), table.filter("customer_id >= 400")
     forest = models.fit_forest(train, ForestParams(trees=8, depth=5))
     boosted = models.fit_boosted(train, val, BoostParams(rounds=12, depth=4, patience=4))
@@ -111,3 +112,23 @@ def test_attributions_equal_brute_force_shapley_values():
                     for k in range(n_features) for s in combinations(others, k))
                 assert phi[i] == pytest.approx(want, abs=1e-12)
             assert phi.sum() + A.expected_value([tree]) == pytest.approx(expectation(nodes, row, set(range(n_features))), abs=1e-12)
+
+
+def test_seeded_trees_do_not_depend_on_files_or_partitions(fitted):
+    _, table, _ = fitted
+    train = table.filter("customer_id < 400").select("customer_id", "Churned", "features")
+    shapes = {
+        models.fit_forest(df, ForestParams(trees=3, depth=4, partitions=4)).toDebugString.split("\n", 1)[1]
+        for df in (train, train.repartition(1), train.repartition(7, "Churned"))
+    }
+    assert len(shapes) == 1
+
+
+def test_first_trees_of_a_longer_run_are_the_shorter_run(fitted):
+    _, table, _ = fitted
+    train = table.filter("customer_id < 400")
+    long, short = (models.fit_boosted(train, train, BoostParams(rounds=n, depth=3, patience=99)) for n in (6, 3))
+    kept = models.first_trees(long, 3)
+    assert kept.getNumTrees == 3 and kept.treeWeights == short.treeWeights
+    assert [t.toDebugString.split("\n", 1)[1] for t in kept.trees] == [t.toDebugString.split("\n", 1)[1] for t in short.trees]
+    assert kept.featureImportances.size == long.featureImportances.size

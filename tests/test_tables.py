@@ -1,11 +1,16 @@
 """Split, preparation, metrics, guards, side files."""
 
+import random
+
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from tidewatch.functions.numbers import fixed_text, round_exact
 from tidewatch.operators import metrics, prepare, split
 from tidewatch.operators.patterns import seeded_sample
 from tidewatch.operators.prompts import benchmark_texts, importance_text
+from tidewatch.operators.replies import wide_replies
 from tidewatch.schema import NUMERIC_NAMES
 from tidewatch.session import work_path
 from tidewatch.settings import SplitParams
@@ -106,15 +111,54 @@ def test_reply_metrics_without_positive_or_valid_rows(spark):
 def test_guards(spark, tmp_path):
     left = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "customer_id bigint, y_true int")
     right = spark.createDataFrame([(1, 0), (2, 0), (4, 1)], "customer_id bigint, y_true int")
-    assert tuple(guards.violations(left, right).first()) == (1, 1, 1)
+    assert tuple(guards.violations(left, right).first()) == (1, 1, 1, 0, 0, 0)
+    twice = left.union(left.filter("customer_id = 1"))
+    assert tuple(guards.violations(left, twice).first()) == (0, 0, 0, 0, 1, -1)
+    assert tuple(guards.violations(twice, left).first()) == (0, 0, 0, 1, 0, 1)
+    for a, b in ((left, twice), (twice, left)):
+        with pytest.raises(ValueError, match="repeated"):
+            guards.aligned_join(a, b)
     guards.require_aligned(left, left)
     with pytest.raises(ValueError):
         guards.require_aligned(left, right)
     with pytest.raises(FileNotFoundError):
         guards.require_path(spark, str(tmp_path / "none"))
     assert guards.aligned_join(left, left.withColumn("z", F.lit(1))).count() == 3
-    with pytest.raises(Exception, match="key missing|labels differ"):
-        guards.aligned_join(left, right).collect()
+    with pytest.raises(ValueError, match="not from the same customers"):
+        guards.aligned_join(left, right)
+
+
+def test_wide_replies_refuse_conflicts(spark):
+    schema = "customer_id long, y_true int, model string, decision string, explanation string, recommendation string, time_sec double"
+    row = lambda k, y, m: (k, y, m, "churn", "e", "r", 1.0)
+    good = spark.createDataFrame([row(1, 0, "qwen"), row(1, 0, "gemma"), row(2, 1, "qwen")], schema)
+    assert wide_replies(good, ["qwen", "gemma"]).count() == 2
+    for more, what in ((row(2, 0, "gemma"), "labels differ"), (row(1, 0, "qwen"), "two replies")):
+        with pytest.raises(Exception, match=what):
+            wide_replies(good.union(spark.createDataFrame([more], schema)), ["qwen", "gemma"]).collect()
+
+
+def test_rounding_at_any_magnitude(spark):
+    rng = random.Random(4)
+    values = [12345678901234.125, 12345678901234.375, 4503599627370495.5, 1125899906842624.125, 9007199254740993.0, 1e17, -12345678901234.125]
+    values += [sign * rng.uniform(1, 9.99) * 10.0**e for e in range(9, 17) for sign in (1, -1) for _ in range(40)]
+    values += [float(rng.randrange(2**51)) + 0.5 for _ in range(20)] + [k + 0.999 for k in (11258999068426.0, 1125899906842623.0)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (0, 1, 2, 3):
+        rows = df.select("v", round_exact(F.col("v"), digits).alias("r"), fixed_text(F.col("v"), digits).alias("t")).collect()
+        for row in rows:
+            assert row.r == round(row.v, digits), (row.v, digits)
+            assert row.t == f"{row.v:.{digits}f}", (row.v, digits)
+
+
+def test_columns_without_values_can_be_fitted(spark):
+    df = spark.createDataFrame(
+        [(1, 1.0, None, "a", None), (2, None, None, None, None), (3, 3.0, None, "b", None)],
+        "customer_id long, Age double, Returns_Rate double, Gender string, Country string")
+    model = prepare.fit_preparation(df, ["Age", "Returns_Rate"], ["Gender", "Country"])
+    assert prepare.feature_names(model, ["Age", "Returns_Rate"]) == ["Age", "Returns_Rate", "Gender_a", "Gender_b", "Country_missing"]
+    out = prepare.transform_prepared(model, df).select(vector_to_array("features").alias("x")).collect()
+    assert all(r.x[1] == 0.0 and r.x[4] == 1.0 for r in out)
 
 
 def test_side_files_round_trip(spark, tmp_path):

@@ -31,11 +31,41 @@ def _scaled_integer(x: Column, digits: int) -> Column:
     return F.rint(product + nudge)
 
 
+def _large_rounded(x: Column, digits: int) -> tuple[Column, Column]:
+    """Integer part and rounded fraction (in units of 10**-digits) of |x|, for |x| from 2**50/10**digits to 2**52.
+
+    Both parts are exact doubles, and 10**digits is even, so the fraction's own half-even rounding is that
+    of the whole number.
+    """
+    size = F.abs(x)
+    whole = F.floor(size).cast("long")
+    part = _scaled_integer(size - F.floor(size), digits).cast("long")
+    carry = part >= 10**digits
+    return whole + carry.cast("long"), F.when(carry, F.lit(0)).otherwise(part).cast("long")
+
+
+def _magnitude(x: Column, digits: int) -> tuple[Column, Column]:
+    """Whether |x| needs its parts rounded apart, and whether it has no fraction at all."""
+    return F.abs(x) * (10.0**digits) >= 2.0**50, F.abs(x) >= 2.0**52
+
+
+def _large_text(x: Column, digits: int) -> Column:
+    whole, part = _large_rounded(x, digits)
+    return F.concat(whole.cast("string"), F.lit("."), F.lpad(part.cast("string"), digits, "0"))
+
+
 def round_exact(col: Column, digits: int) -> Column:
-    """Half-even rounding on the exact binary value; valid for |x|*10**digits below 2**50."""
+    """Half-even rounding on the exact binary value, at any magnitude."""
     x = col.cast("double")
-    huge = F.abs(x) * (10.0**digits) >= 2.0**50
-    return F.when(huge | F.isnan(x), x).otherwise(_scaled_integer(x, digits) / (10.0**digits) + F.lit(0.0))
+    if digits == 0:
+        return F.rint(x) + F.lit(0.0)
+    large, integral = _magnitude(x, digits)
+    apart = _large_text(x, digits).cast("double")
+    return (
+        F.when(integral | F.isnan(x), x)
+        .when(large, F.when(x < 0, -apart).otherwise(apart))
+        .otherwise(_scaled_integer(x, digits) / (10.0**digits) + F.lit(0.0))
+    )
 
 
 def round_scaled(col: Column, digits: int) -> Column:
@@ -49,6 +79,9 @@ def fixed_text(col: Column, digits: int) -> Column:
     x = col.cast("double")
     rounded = round_exact(x, digits)
     text = F.format_string(f"%.{digits}f", F.abs(rounded))
+    if digits:
+        large, integral = _magnitude(x, digits)
+        text = F.when(large & ~integral, _large_text(x, digits)).otherwise(text)
     return F.when(x.isNull(), F.lit(None)).when(x < 0, F.concat(F.lit("-"), text)).otherwise(text)
 
 

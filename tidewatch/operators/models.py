@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.numbers import round_exact
-from tidewatch.operators.prepare import transform_prepared
 from tidewatch.operators.split import class_weights
 from tidewatch.schema import KEY, LABEL
+from tidewatch.session import work_path
 from tidewatch.settings import BoostParams, ForestParams
 
 MODELS = ["random_forest", "boosted_trees"]
@@ -31,14 +31,13 @@ def weighted(df: DataFrame, train: DataFrame, kind: str) -> DataFrame:
     return df.withColumn("weight", out)
 
 
-def spread(train: DataFrame, rows_per_task: int = 4000) -> DataFrame:
-    """Use all cores where the rows are worth it: the tree learners pass over them many times."""
-    cores = train.sparkSession.sparkContext.defaultParallelism
-    parts = train.rdd.getNumPartitions()
-    if parts >= cores:
-        return train
-    wanted = min(cores, train.count() // rows_per_task)
-    return train.repartition(wanted, KEY) if wanted > parts else train
+def spread(train: DataFrame, partitions: int) -> DataFrame:
+    """Deal the rows to a fixed number of partitions, ordered by key.
+
+    The tree learners seed their row sampling per partition, so this number is part of the seed: the same
+    rows give the same trees whatever the files, the cores or the size. Set it to a few times the cores.
+    """
+    return train.repartition(partitions, KEY).sortWithinPartitions(KEY)
 
 
 def fit_forest(train: DataFrame, params: ForestParams = ForestParams()) -> RandomForestClassificationModel:
@@ -49,7 +48,7 @@ def fit_forest(train: DataFrame, params: ForestParams = ForestParams()) -> Rando
         featureSubsetStrategy=params.feature_subset, seed=params.seed,
         maxMemoryInMB=params.max_memory_mb,
     )
-    return forest.fit(spread(weighted(train, train, "balanced")))
+    return forest.fit(spread(weighted(train, train, "balanced"), params.partitions))
 
 
 def best_round(losses: list[float], patience: int) -> int | None:
@@ -71,31 +70,41 @@ def fit_boosted(
 ) -> GBTClassificationModel:
     """Boosted trees that stop after ``patience`` rounds without better validation log-loss.
 
-    Boosting is sequential and seeded, so a shorter run gives the first trees of a longer one.
-    The number of rounds is doubled until the stopping rule is met, then the model is fitted with
-    the rounds to keep. Differences from other boosting libraries: no L2 term, and columns are
-    sampled per node instead of per tree.
+    Boosting is sequential and seeded, so the model that is kept consists of the first trees of a longer
+    run: a short run of ``5 * patience`` rounds, or, if the rule is not met within it, one of all rounds.
+    Differences from other boosting libraries: no L2 term, and columns are sampled per node instead of per
+    tree.
     """
-    weighted_train = spread(weighted(train, train, "positive_weight"))
+    weighted_train = spread(weighted(train, train, "positive_weight"), params.partitions)
     plain_validation = validation.withColumn("weight", F.lit(1.0))
-
-    def fit(rounds: int) -> GBTClassificationModel:
-        return GBTClassifier(
+    for rounds in sorted({min(params.rounds, 5 * params.patience), params.rounds}):
+        model = GBTClassifier(
             featuresCol="features", labelCol=LABEL, weightCol="weight", maxIter=rounds,
             maxDepth=params.depth, stepSize=params.rate, subsamplingRate=params.row_sample,
             featureSubsetStrategy=str(params.column_sample), seed=params.seed,
         ).fit(weighted_train)
-
-    rounds = min(params.rounds, params.patience + 5)
-    while True:
-        model = fit(rounds)
         losses = model.evaluateEachIteration(plain_validation)
         keep = best_round(losses, params.patience)
-        if keep is None and rounds == params.rounds:
-            keep = losses.index(min(losses)) + 1
         if keep is not None:
-            return model if keep == rounds else fit(keep)
-        rounds = min(params.rounds, rounds * 2)
+            return first_trees(model, keep)
+    return first_trees(model, losses.index(min(losses)) + 1)
+
+
+def first_trees(model: GBTClassificationModel, keep: int) -> GBTClassificationModel:
+    """The model made of the first ``keep`` trees."""
+    if keep >= model.getNumTrees:
+        return model
+    spark = SparkSession.active()
+    path = work_path(spark, "all_trees")
+    save(model, path)
+    kept = work_path(spark, "first_trees")
+    for part in ("data", "treesMetadata"):
+        rows = spark.read.parquet(f"{path}/{part}")  # the tree's number comes first
+        rows.filter(F.col(rows.columns[0]) < keep).write.parquet(f"{kept}/{part}")
+    lines = spark.read.text(f"{path}/metadata").withColumn(
+        "value", F.regexp_replace("value", r'"numTrees":\d+', f'"numTrees":{keep}'))
+    lines.coalesce(1).write.text(f"{kept}/metadata")
+    return load("boosted_trees", kept)
 
 
 _CLASSES = {
@@ -151,6 +160,3 @@ def feature_importances(
     df = spark.createDataFrame(rows, "rank int, feature string, importance double")
     return df.withColumn("importance", round_exact(F.col("importance"), 4))
 
-
-def prepare(fitted_preparation: PipelineModel, df: DataFrame) -> DataFrame:
-    return transform_prepared(fitted_preparation, df)

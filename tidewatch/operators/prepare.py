@@ -54,6 +54,7 @@ def exact_medians(
             for c in known
         ]
     )
+    # The values of a bracket are few; a hash of the value would not keep their order, so one window per column.
     order = Window.partitionBy("feature").orderBy("value")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = (
@@ -98,8 +99,11 @@ def modes(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def fit_numeric(train: DataFrame, columns: list[str]) -> NumericFit:
-    """Medians, and mean and population deviation after imputing; a constant column divides by 1."""
-    medians = {r["feature"]: r["median"] for r in exact_medians(train, columns).collect()}
+    """Medians, and mean and population deviation after imputing; a constant column divides by 1.
+
+    A column without any value is imputed with 0, so that the vector keeps its width.
+    """
+    medians = {r["feature"]: r["median"] or 0.0 for r in exact_medians(train, columns).collect()}
     filled = {c: F.coalesce(F.col(c), F.lit(medians[c])) for c in columns}
     row = train.agg(
         *[F.avg(x).alias(f"m_{c}") for c, x in filled.items()],
@@ -107,7 +111,7 @@ def fit_numeric(train: DataFrame, columns: list[str]) -> NumericFit:
     ).first()
     return NumericFit(
         medians,
-        {c: row[f"m_{c}"] for c in columns},
+        {c: row[f"m_{c}"] or 0.0 for c in columns},
         {c: row[f"s_{c}"] or 1.0 for c in columns},
     )
 
@@ -121,6 +125,9 @@ def scale(df: DataFrame, fit: NumericFit) -> DataFrame:
     )
 
 
+NO_CATEGORY = "missing"
+
+
 def _sql_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -140,8 +147,9 @@ def _encoder_stages(filled: list[str]) -> list:
 
 
 def _mode_transformer(train: DataFrame, columns: list[str]) -> SQLTransformer:
-    found = {r["feature"]: r["mode"] for r in modes(train, columns).collect()}
-    parts = [f"coalesce(`{c}`, {_sql_text(found[c])}) AS `{c}_filled`" for c in columns]
+    # A column without any value becomes one category of its own.
+    found = {r["feature"]: r["mode"] or NO_CATEGORY for r in modes(train, columns).collect()}
+    parts = [f"coalesce(`{c}`, {_sql_text(found.get(c, NO_CATEGORY))}) AS `{c}_filled`" for c in columns]
     return SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")
 
 

@@ -112,7 +112,7 @@ def build_prompts(
     whole = each_number([F.col(c) for c in shown], lambda x: fmt_number(x, "double", 0))
     cents = each_number([F.col(c) for c in shown], lambda x: fmt_number(x, "double", 2))
     shares = each_number(
-        [F.coalesce("y_proba", F.lit(0.0)) * 100, F.col("rf_proba") * 100],
+        [F.col("y_proba") * 100, F.col("rf_proba") * 100],
         lambda x: fmt_number(x, "double", 1),
     )
     first = F.upper(F.coalesce("churn_decision", F.lit("N/A")))

@@ -99,12 +99,23 @@ def merge_model_replies(first: DataFrame, second: DataFrame, model: str) -> Data
 
 
 def wide_replies(replies: DataFrame, models: list[str]) -> DataFrame:
-    """All models side by side from the long table, in one shuffle on the key."""
-    return replies.groupBy(KEY, "y_true").agg(
+    """All models side by side from the long table, in one shuffle on the key.
+
+    The job fails on a customer whose rows disagree about the label or who has two replies of one model.
+    """
+    repeated = F.exists(
+        F.array(*[F.count_if(F.col("model") == m) for m in models]), lambda n: n > 1)
+    conflict = F.min(F.struct("y_true")) != F.max(F.struct("y_true"))
+    problem = F.when(repeated, F.lit("two replies of one model: ")).when(conflict, F.lit("labels differ: "))
+    checked = F.when(problem.isNull(), F.lit(True)).otherwise(
+        F.raise_error(F.concat(problem, F.col(KEY).cast("string"))).cast("boolean"))
+    wide = replies.groupBy(KEY).agg(
+        checked.alias("_ok"), F.max("y_true").alias("y_true"),
         *[
             F.max(F.when(F.col("model") == m, F.col(c))).alias(f"{m}_{c}") for m in models for c in PARTS
         ]
     )
+    return wide.filter("_ok").drop("_ok")
 
 
 def disagreements(wide: DataFrame, a: str, b: str) -> DataFrame:

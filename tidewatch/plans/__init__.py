@@ -4,6 +4,7 @@
 def load_catalogue():
     """All registered queries by name."""
     from tidewatch.plans import (  # noqa: F401
+        check_queries,
         columns_queries,
         data,
         metric_queries,

@@ -109,30 +109,54 @@ def panel_input(spark, folder):
     return prompts.join_second_model(df.drop("rf_pred", "rf_proba"), second)
 
 
-@query("join_rf_predictions", "SELECT customer_id, y_true, y_pred, y_proba, rf_pred, rf_proba FROM x_scored")
+@query("join_rf_predictions", """
+SELECT s.customer_id, s.y_true, s.y_pred, s.y_proba, CAST(n_late = 0 AS INTEGER) AS rf_pred, CASE WHEN n_late = 0 THEN 0.75::DOUBLE ELSE 0.25::DOUBLE END AS rf_proba
+FROM x_scored s JOIN (SELECT c_custkey, count(*) FILTER (WHERE o_orderdate >= TIMESTAMP '2000-07-01') AS n_late
+                      FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1) ON c_custkey = s.customer_id
+""")
 def join_rf_predictions(spark, folder):
-    first = scored(spark, folder).select(KEY, "y_true", "y_pred", "y_proba")
-    second = scored(spark, folder).select(
-        KEY, "y_true", F.col("rf_pred").alias("y_pred"), F.col("rf_proba").alias("y_proba")
+    """The scorecard joined with a second table computed apart: no order since July predicts churn."""
+    from tidewatch.sources.tables import read_table
+
+    late = read_table(spark, folder, "orders").filter(
+        F.col("o_orderdate") >= F.lit("2000-07-01").cast("timestamp_ntz")
+    ).select(F.col("o_custkey").alias(KEY)).distinct().withColumn("late", F.lit(1))
+    second = data.labelled(spark, folder).withColumnRenamed("Churned", "y_true").join(late, KEY, "left").select(
+        KEY, "y_true", F.col("late").isNull().cast("int").alias("y_pred"),
+        F.when(F.col("late").isNull(), 0.75).otherwise(0.25).alias("y_proba")
     )
-    return prompts.join_second_model(first, second)
+    return prompts.join_second_model(scored(spark, folder).select(KEY, "y_true", "y_pred", "y_proba"), second)
+
+
+@query("fmt_number_large", """
+SELECT customer_id, f, CASE WHEN v IS NULL THEN 'N/A' ELSE printf('%.2f', v) END AS text
+FROM (SELECT customer_id, f, "Lifetime_Value" * f AS v FROM x_features, (SELECT unnest([1e7, 1e8, 1e9, 3e9]::DOUBLE[]) AS f))
+""")
+def fmt_number_large(spark, folder):
+    """Sums scaled up to where a double holds few decimals: rounding stays exact."""
+    factors = F.explode(F.array(*[F.lit(f) for f in (1e7, 1e8, 1e9, 3e9)]))
+    df = data.features(spark, folder, [KEY, "Lifetime_Value"]).select(KEY, "Lifetime_Value", factors.alias("f"))
+    return df.select(KEY, "f", fmt_number(F.col("Lifetime_Value") * F.col("f")).alias("text"))
 
 
 @query("input_guards", """
 SELECT count(*) FILTER (WHERE b.customer_id IS NULL) AS only_left, count(*) FILTER (WHERE a.customer_id IS NULL) AS only_right,
-       count(*) FILTER (WHERE a.customer_id IS NOT NULL AND b.customer_id IS NOT NULL AND a.y IS DISTINCT FROM b.y) AS label_mismatch
+       count(*) FILTER (WHERE a.customer_id IS NOT NULL AND b.customer_id IS NOT NULL AND (a.y IS DISTINCT FROM b.low OR a.y IS DISTINCT FROM b.high)) AS label_mismatch,
+       CAST(0 AS BIGINT) AS repeated_left, count(*) FILTER (WHERE b.n > 1) AS repeated_right,
+       CAST(count(a.customer_id) - coalesce(sum(b.n), 0) AS BIGINT) AS surplus_rows
 FROM (SELECT c_custkey AS customer_id, y_true AS y FROM customer JOIN x_scored ON customer_id = c_custkey) a
-FULL JOIN (SELECT o_custkey AS customer_id, max(CASE WHEN o_orderdate >= TIMESTAMP '2000-10-01' THEN 0 ELSE 1 END) AS y
-           FROM orders GROUP BY 1) b ON a.customer_id = b.customer_id
+FULL JOIN (SELECT customer_id, count(*) AS n, min(y) AS low, max(y) AS high FROM (
+             SELECT o_custkey AS customer_id, CASE WHEN o_orderdate >= TIMESTAMP '2000-10-01' THEN 0 ELSE 1 END AS y, count(*) AS c
+             FROM orders GROUP BY 1, 2) GROUP BY 1) b ON a.customer_id = b.customer_id
 """)
 def input_guards(spark, folder):
-    """Customers against a label taken from their orders alone, so all three counts can occur."""
+    """Customers against labels taken from their orders alone, one for each side of the cut-off: every count can occur."""
     from tidewatch.sources.tables import read_table
 
     late = F.col("o_orderdate") >= F.lit("2000-10-01").cast("timestamp_ntz")
-    by_orders = read_table(spark, folder, "orders").groupBy(F.col("o_custkey").alias(KEY)).agg(
-        F.max(F.when(late, 0).otherwise(1)).alias("y_true")
-    )
+    by_orders = read_table(spark, folder, "orders").select(
+        F.col("o_custkey").alias(KEY), F.when(late, 0).otherwise(1).alias("y_true")
+    ).distinct()
     return violations(data.labelled(spark, folder).withColumnRenamed("Churned", "y_true"), by_orders)
 
 

@@ -128,9 +128,17 @@ def fallback_reply(spark, folder):
     return df.select(KEY, "model", "decision", "explanation", "recommendation", "time_sec")
 
 
-@query("valid_reply_mask", "SELECT customer_id, model FROM x_answered WHERE decision IS NOT NULL AND NOT starts_with(decision, '[parse_error]')")
+@query("valid_reply_mask", """
+SELECT customer_id, model FROM (
+  SELECT customer_id, model, CASE WHEN decision IS NULL AND customer_id % 2 = 0 THEN '[parse_error] ' || left(raw_reply, 20) ELSE decision END AS d
+  FROM x_parsed) WHERE d IS NOT NULL AND NOT starts_with(d, '[parse_error]')
+""")
 def valid_reply_mask(spark, folder):
-    return answered(spark, folder).filter(metrics.valid_reply(F.col("decision"))).select(KEY, "model")
+    """Parsed replies before the fallback: failed ones are null or, as older tables hold them, marked."""
+    marked = F.when(
+        F.col("decision").isNull() & (F.col(KEY) % 2 == 0), F.concat(F.lit("[parse_error] "), F.left("raw_reply", F.lit(20)))
+    ).otherwise(F.col("decision"))
+    return parsed(spark, folder).filter(metrics.valid_reply(marked)).select(KEY, "model")
 
 
 @query("decision_to_label", "SELECT customer_id, model, CAST(lower(trim(decision)) = 'churn' AS INTEGER) AS y_pred FROM x_answered")
