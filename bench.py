@@ -41,12 +41,12 @@ def main() -> None:
         times[name] = round(time.perf_counter() - start, 3)
 
     for name in HEADLINE:
-        forget_stages()
-        timed(name)
-    forget_stages()
-    for name in MODEL_STEPS if os.environ.get("BENCH_MODELS") == "1" else []:
+        forget_stages(spark)
         timed(name)
+    forget_stages(spark)
     scale = os.path.basename(folder.rstrip("/")).removeprefix("sf")
+    for name in MODEL_STEPS if os.environ.get("BENCH_MODELS", str(int(scale == "0.01"))) == "1" else []:
+        timed(name)
     print(
         json.dumps(
             {

@@ -13,7 +13,7 @@ from tidewatch.operators import attribution as A
 from tidewatch.operators import models, prepare
 from tidewatch.operators.prepare import transform_prepared
 from tidewatch.session import checkpoint_root, work_path
-from tidewatch.settings import BoostParams, ForestParams
+from tidewatch.settings import AttributionParams, BoostParams, ForestParams
 
 
 @pytest.fixture(scope="module")
@@ -132,3 +132,11 @@ def test_first_trees_of_a_longer_run_are_the_shorter_run(fitted):
     assert kept.getNumTrees == 3 and kept.treeWeights == short.treeWeights
     assert [t.toDebugString.split("\n", 1)[1] for t in kept.trees] == [t.toDebugString.split("\n", 1)[1] for t in short.trees]
     assert kept.featureImportances.size == long.featureImportances.size
+
+
+def test_groups_of_trees_add_up(fitted):
+    _, table, path = fitted
+    whole, parts = (
+        A.tree_attributions(table, path["boosted_trees"], AttributionParams(table_bytes=n)).select("customer_id", "contributions").collect()
+        for n in (1 << 30, 1))
+    assert all(np.allclose(a.contributions, b.contributions) for a, b in zip(sorted(whole), sorted(parts)))

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewatch.schema import NUMERIC_NAMES
+
 # The prompt format. Names in braces are filled per customer.
 PROMPT = (
     "You are a senior customer retention analyst reviewing the output of a "
@@ -70,20 +72,16 @@ SYSTEM_MESSAGE = (
 WHOLE_NUMBERS = {
     "Age", "Login_Frequency", "Days_Since_Last_Purchase", "Customer_Service_Calls", "Total_Purchases",
 }
-PROMPT_NUMBERS = [
-    "Age", "Membership_Years", "Lifetime_Value", "Credit_Balance", "Login_Frequency",
-    "Session_Duration_Avg", "Cart_Abandonment_Rate", "Days_Since_Last_Purchase",
-    "Customer_Service_Calls", "Email_Open_Rate", "Social_Media_Engagement_Score", "Returns_Rate",
-    "Total_Purchases", "Average_Order_Value", "Mobile_App_Usage", "Discount_Usage_Rate",
-]
-
-
 def pieces(template: str) -> list[tuple[bool, str]]:
     """The template as (is a name, text) in order."""
     parts = re.split(r"\{([A-Za-z_]+)\}", template)
     return [(i % 2 == 1, p) for i, p in enumerate(parts) if p]
 
 
+# The numbers a prompt shows, in its order.
+PROMPT_NUMBERS = [name for named, name in pieces(PROMPT) if named and name in NUMERIC_NAMES]
+
+
 def fill(template: str, values: dict[str, Column]) -> Column:
     return F.concat(*[values[p] if named else F.lit(p) for named, p in pieces(template)])
 

@@ -122,11 +122,26 @@ def matches(text: Column, pattern: str, least: int = 1) -> Column:
     return F.regexp_count(text, F.lit(pattern)) >= least
 
 
+Pattern = tuple[str, str, str, int]
+
+
+def pattern_list(table: DataFrame) -> list[Pattern]:
+    """Patterns from a small table (theme, label, regex, and optionally least: matches needed, default 1)."""
+    least = F.coalesce("least", F.lit(1)) if "least" in table.columns else F.lit(1)
+    rows = table.select("theme", "label", "regex", least.alias("least")).orderBy("theme", "label").collect()
+    return [(r.theme, r.label, r.regex, r.least) for r in rows]
+
+
 def theme_rates(
-    df: DataFrame, text: str, theme: str, keys: list[str], keep_zero: bool = True
+    df: DataFrame, text: str, theme: str, keys: list[str], keep_zero: bool = True,
+    dictionary: list[Pattern] | DataFrame | None = None,
 ) -> DataFrame:
-    """(keys, theme, label, hits, n, pct): rows with a match, per pattern of a theme."""
-    chosen = patterns(theme)
+    """(keys, theme, label, hits, n, pct): rows with a match, per pattern of a theme.
+
+    ``dictionary`` replaces the built-in patterns: a list of (theme, label, regex, least) or a table of them.
+    """
+    known = pattern_list(dictionary) if isinstance(dictionary, DataFrame) else dictionary
+    chosen = patterns(theme) if known is None else [p for p in known if p[0] == theme]
     lowered = df.select(*keys, F.lower(F.col(text)).alias("_t"))
     counts = lowered.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),

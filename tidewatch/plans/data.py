@@ -12,19 +12,19 @@ from tidewatch.operators.cleaning import clean
 from tidewatch.operators.split import split_limits, stratified_split
 from tidewatch.plans.registry import block
 from tidewatch.schema import FEATURES, KEY, LABEL
-from tidewatch.session import store
+from tidewatch.session import drop_table, input_state, store
 from tidewatch.sources.customers import customer_features
 
-_STORED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+_STORED: dict[tuple[str, str, str, str], tuple[str, StructType]] = {}
 
 
 def stage(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A stage of the pipeline as a stored table, written once per session and input folder.
+    """A stage of the pipeline as a stored table, written once per session and state of the input folder.
 
-    Scored customers, explained customers and replies are tables that later jobs read; storing
-    them also keeps the optimizer from copying their long expressions into every filter above.
+    For tables that several jobs read: customers with their split, explained customers, parsed replies. New,
+    changed or removed input files give a new stage.
     """
-    key = (spark.sparkContext.applicationId, folder, name)
+    key = (spark.sparkContext.applicationId, folder, input_state(spark, folder), name)
     if key not in _STORED:
         table = build()
         _STORED[key] = (store(table, name), table.schema)
@@ -32,8 +32,11 @@ def stage(spark: SparkSession, folder: str, name: str, build: Callable[[], DataF
     return spark.read.schema(schema).parquet(path)
 
 
-def forget_stages() -> None:
-    """Drop the memory of stored stages, so the next query builds its own (for timing)."""
+def forget_stages(spark: SparkSession | None = None) -> None:
+    """Drop the memory of stored stages, and with a session their folders too."""
+    if spark is not None:
+        for path, _ in _STORED.values():
+            drop_table(spark, path.rsplit("/", 1)[0])
     _STORED.clear()
 
 
@@ -46,7 +49,8 @@ def cleaned(spark: SparkSession, folder: str, columns=None) -> DataFrame:
 
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
-    return customer_features(spark, folder, [KEY, LABEL])
+    """Keys and labels, as a stored stage of two columns: the split's limits read it twice."""
+    return stage(spark, folder, "labels", lambda: customer_features(spark, folder, [KEY, LABEL]))
 
 
 def with_split(spark: SparkSession, folder: str, columns=None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.functions.numbers import round_scaled, value_text
+from tidewatch.functions.numbers import value_text
 from tidewatch.operators import reasons
 from tidewatch.plans import data
 from tidewatch.plans.columns_queries import scored
@@ -223,5 +223,3 @@ def enriched_layout(encoded: list[str]) -> list[str]:
         *[f"shap_{n}" for n in encoded], "top_5_reasons", *[f"reason_{k}" for k in range(1, 6)],
     ]
 
-
-__all__ = ["enriched_layout", "round_scaled", "with_reason_columns", "with_reasons"]

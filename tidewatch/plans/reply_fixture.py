@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.plans.registry import block
 
+# Opening phrases as the published reports print them, so that the phrase statistics meet them.
 _DEC = "CASE WHEN model = 'qwen' THEN lower(churn_decision) WHEN rf_pred = 1 THEN 'churn' ELSE 'retain' END"
 _EXPLANATION = """CASE (customer_id + shift) % 7
  WHEN 0 THEN 'Both XGBoost and Random Forest models unanimously predict ' || dec || ' with high confidence. However, the ' || about || ' stands out against the population benchmarks.'

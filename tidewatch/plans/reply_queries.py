@@ -18,8 +18,8 @@ _WHITE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
 def raw(spark, folder):
-    """Raw replies, as the stored table a generation job leaves."""
-    return data.stage(spark, folder, "raw_replies", lambda: raw_replies(explained(spark, folder)))
+    """Raw replies, composed row by row from the stored explained customers."""
+    return raw_replies(explained(spark, folder))
 
 
 def parsed(spark, folder):

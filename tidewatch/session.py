@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -55,6 +57,32 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def input_state(spark: SparkSession, folder: str) -> str:
+    """A digest of the files below a folder: their paths, sizes and times."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
+    found = []
+    while files.hasNext():
+        status = files.next()
+        found.append(f"{status.getPath()} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors of a session whose workers cannot import it by themselves.
+
+    Needed only where the package is not installed on the machines. Done once per session.
+    """
+    name = "tidewatch"
+    sent = getattr(spark.sparkContext, "_tidewatch_sent", False)
+    if sent:
+        return
+    folder = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="ship-"), name), "zip", os.path.dirname(folder), name)
+    spark.sparkContext.addPyFile(archive)  # Spark serves the file to every executor
+    spark.sparkContext._tidewatch_sent = True
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Remove a stored table that no later step reads."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)

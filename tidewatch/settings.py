@@ -58,3 +58,11 @@ class GenerationParams:
     on_error: str = "reply"
     # Slices of a run that are committed one by one; fixed for the life of a sink.
     buckets: int = 8
+
+
+@dataclass(frozen=True)
+class AttributionParams:
+    # Memory of the outcome tables a worker holds at once; larger models are worked through in groups of trees.
+    table_bytes: int = 1 << 30
+    # Rows explained at once.
+    chunk: int = 1000
