@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tests.compare import connect, differences
 from tests.llm import cases
 from tests.llm.test_texts import plain_dedup, words
 from tidewatch.llm import quality, queries, toxicity
@@ -125,5 +126,10 @@ def test_pipeline_stages(spark):
     assert {"doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"} == set(before.columns)
 
 
+@pytest.mark.parametrize("name", list(queries.ORACLES))
+def test_same_rows_as_sql(spark, name):
+    assert differences(queries.QUERIES[name](spark, FOLDER), connect(FOLDER), queries.ORACLES[name]) == []
+
+
 def test_every_operator_has_a_query():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]

@@ -84,6 +84,19 @@ def op7_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, folder, "embeddings"), 0.98)
 
 
+_USABLE = """embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+ AND len(list_filter(embedding, lambda x: x <> 0)) > 0"""
+OP7_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND {_USABLE}),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS r FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.r)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM (SELECT a AS vec_id, min(r) AS component_id FROM reach GROUP BY a)
+LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id)
+"""
+
+
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_copies(table(spark, folder, "documents"), words=3, radius=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("__tw_fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -107,9 +120,17 @@ def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+OP10_SQL = f"""
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE {_USABLE})
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)) WHERE n <= 20
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (op1_mixing, op2_quality, op3_pii, op4_sharding, op5_toxicity, op6_line_dedup,
               op7_embedding_dedup, op8_simhash, op9_bpe, op10_neighbours)
 }
-ORACLES = {"op6_line_dedup": OP6_SQL}
+ORACLES = {"op6_line_dedup": OP6_SQL, "op7_embedding_dedup": OP7_SQL, "op10_neighbours": OP10_SQL}
