@@ -55,16 +55,17 @@ def shingle_hashes(tokens: list[bytes], words: int) -> np.ndarray:
 
 
 def ones_of(hashes: np.ndarray) -> np.ndarray:
-    """How many hashes have each bit set, from the highest bit down.
+    """How many hashes of each row (..., n) have each bit set, from the highest bit down (..., 64).
 
     Eight bits, one of each byte, are added at once in byte lanes; 255 additions cannot overflow a lane.
     """
-    padded = np.zeros(-(-len(hashes) // 255) * 255, dtype="uint64")
-    padded[: len(hashes)] = hashes
-    out = np.empty(64, dtype="int64")
+    *rows, n = hashes.shape
+    padded = np.zeros((*rows, -(-n // 255) * 255), dtype="uint64")
+    padded[..., :n] = hashes
+    out = np.empty((*rows, 64), dtype="int64")
     for bit in range(8):
-        lanes = ((padded >> np.uint64(bit)) & _LANES).reshape(-1, 255).sum(axis=1, dtype="uint64")
-        out[63 - bit :: -8] = lanes.astype("<u8").view("uint8").reshape(-1, 8).sum(axis=0, dtype="int64")
+        lanes = ((padded >> np.uint64(bit)) & _LANES).reshape(*rows, -1, 255).sum(axis=-1, dtype="uint64")
+        out[..., 63 - bit :: -8] = lanes.astype("<u8").view("uint8").reshape(*rows, -1, 8).sum(axis=-2, dtype="int64")
     return out
 
 
@@ -143,14 +144,35 @@ MISSED = 0.02
 GRAIN = 3
 
 
-def mixed(hashes: np.ndarray, stream: int) -> np.ndarray:
-    """Independent 64-bit hashes from others: a fixed bijective mixer with a different start for each stream."""
-    z = hashes + np.uint64((stream * 0x9E3779B97F4A7C15) % 2**64)
+def combined(word_hashes: np.ndarray, words: int) -> np.ndarray:
+    """A hash for every run of ``words`` words, from the words' hashes in order; of all words if there are fewer."""
+    n = len(word_hashes)
+    words = min(words, n)
+    out = np.zeros(n - words + 1 if n else 0, dtype="uint64")
+    for k in range(words):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + word_hashes[k : n - words + 1 + k]
+    return out
+
+
+#: Hashes that are mixed at once, so that a very long text needs little memory.
+PART = 65536
+
+
+def mixed(hashes: np.ndarray, streams: range) -> np.ndarray:
+    """Independent 64-bit hashes from others, a row for each stream: a fixed bijective mixer with own starts."""
+    starts = np.array([(k * 0x9E3779B97F4A7C15) % 2**64 for k in streams], dtype="uint64")
+    z = hashes[None, :] + starts[:, None]
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return z ^ (z >> np.uint64(31))
 
 
+def majority_bits(hashes: np.ndarray, streams: range) -> np.ndarray:
+    """The bits set in over half of the mixed hashes, stream after stream."""
+    ones = sum(ones_of(mixed(hashes[a : a + PART], streams)) for a in range(0, max(len(hashes), 1), PART))
+    return (ones * 2 > len(hashes)).ravel()
+
+
 def chunk_plan(documents: int) -> tuple[int, int]:
     """(bits of a chunk, chunks): wide enough that chance meetings stay rare, enough chunks to miss few."""
     width = max(20, int(np.ceil(np.log2(max(documents, 1)))) + 7)
@@ -162,11 +184,12 @@ def sketch(text: str | None, words: int, width: int, chunks: int) -> tuple[int,
     """(key of the normalised text, number of distinct shingles, sketch words, chunks)."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     key = xxhash.xxh64_intdigest(b" ".join(tokens), SEED)
-    near = shingle_hashes(tokens, GRAIN)
+    each = np.fromiter(map(xxhash.xxh64_intdigest, tokens), dtype="uint64", count=len(tokens))
+    near = combined(each, GRAIN)
     count = -(-width * chunks // 64)
-    bits = np.concatenate([ones_of(mixed(near, 100 + k)) * 2 > len(near) for k in range(count)])[: width * chunks]
-    own = np.unique(shingle_hashes(tokens, words))
-    made = np.concatenate([ones_of(mixed(own, k)) * 2 > len(own) for k in range(SKETCH_WORDS)])
+    bits = majority_bits(near, range(100, 100 + count))[: width * chunks]
+    own = np.unique(combined(each, words))
+    made = majority_bits(own, range(SKETCH_WORDS))
     values = bits.reshape(chunks, width) @ (np.int64(1) << np.arange(width))
     return key, len(own), np.packbits(made).view("int64"), values
 
