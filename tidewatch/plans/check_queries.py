@@ -75,7 +75,7 @@ def classification_report_short(spark, folder):
 _CATEGORIES = " UNION ALL ".join(
     f"""SELECT {i} AS f, '{c}' AS feature, "{c}" AS value FROM x_train WHERE "{c}" IS NOT NULL GROUP BY "{c}\""""
     for i, c in enumerate(CATEGORICAL_NAMES))
-block("x_encoded", f"""
+block("x_encoded_names", f"""
 SELECT CAST({len(NUMERIC_NAMES)} + row_number() OVER (ORDER BY f, value) - 1 AS INTEGER) AS position, feature, value
 FROM ({_CATEGORIES})
 """)
@@ -90,7 +90,7 @@ SELECT customer_id, position, round_even(value, 6) + 0.0 AS value FROM (
   SELECT customer_id, unnest(range({len(NUMERIC_NAMES)}))::INTEGER AS position, unnest([{_SCALED}]) AS value FROM x_filled, x_scale
   UNION ALL
   SELECT customer_id, position, CASE WHEN CASE feature {_OWN} END = value THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
-  FROM (SELECT customer_id, {_FILLED} FROM x_clean), x_encoded)
+  FROM (SELECT customer_id, {_FILLED} FROM x_clean), x_encoded_names)
 """)
 def assembled_vector(spark, folder):
     """The assembled vector of every customer, element by element."""
@@ -102,7 +102,7 @@ def assembled_vector(spark, folder):
 
 @query("encoded_names", f"""
 SELECT unnest(range({len(NUMERIC_NAMES)}))::INTEGER AS position, unnest({NUMERIC_NAMES}) AS name
-UNION ALL SELECT position, feature || '_' || value FROM x_encoded
+UNION ALL SELECT position, feature || '_' || value FROM x_encoded_names
 """)
 def encoded_names(spark, folder):
     rows = list(enumerate(model_queries.names(spark, folder)))

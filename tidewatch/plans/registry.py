@@ -26,6 +26,8 @@ BLOCKS: dict[str, str] = {}
 
 
 def block(name: str, sql: str) -> None:
+    if name in BLOCKS:
+        raise ValueError(f"block defined twice: {name}")
     BLOCKS[name] = sql.strip()
 
 
