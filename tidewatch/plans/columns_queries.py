@@ -18,6 +18,14 @@ def scored(spark, folder):
     return score(data.customers(spark, folder))
 
 
+def scored_table(spark, folder):
+    """Scored customers as a stored stage, for queries that take the contributions apart.
+
+    Lazy, the optimizer would copy the expression of the array into each of its fifty uses.
+    """
+    return data.stage(spark, folder, "scored", lambda: scored(spark, folder))
+
+
 @query("churn_decision", "SELECT customer_id, churn_decision FROM x_scored")
 def churn_decision(spark, folder):
     return scored(spark, folder).select(KEY, "churn_decision")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.functions.numbers import value_text
+from tidewatch.functions.numbers import each_number, value_text
 from tidewatch.operators import reasons
 from tidewatch.plans import data
-from tidewatch.plans.columns_queries import scored
+from tidewatch.plans.columns_queries import scored_table
 from tidewatch.plans.registry import block, query
 from tidewatch.plans.scorecard import CATEGORIES, ENCODED
 from tidewatch.schema import (
@@ -22,7 +22,7 @@ from tidewatch.schema import (
 
 
 def with_rolled(spark, folder, mode="abs"):
-    return reasons.rollup_contributions(scored(spark, folder), ENCODED, mode=mode)
+    return reasons.rollup_contributions(scored_table(spark, folder), ENCODED, mode=mode)
 
 
 def with_reasons(spark, folder):
@@ -192,10 +192,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY abs(v) DESC
 @query("top_n_encoded_reasons", _encoded_sql())
 def top_n_encoded_reasons(spark, folder):
     hot = [(c, v) for c in CATEGORICAL_NAMES for v in CATEGORIES[c]]
-    values = [value_text(F.col(c), "double") for c in NUMERIC_NAMES] + [
-        F.when(F.col(c) == v, "1.0").otherwise("0.0") for c, v in hot
-    ]
-    df = scored(spark, folder).withColumn("encoded_values", F.array(*values))
+    numbers = each_number([F.col(c) for c in NUMERIC_NAMES], lambda x: value_text(x, "double"))
+    flags = F.array(*[F.when(F.col(c) == v, "1.0").otherwise("0.0") for c, v in hot])
+    df = scored_table(spark, folder).withColumn("encoded_values", F.concat(numbers, flags))
     df = reasons.top_encoded_reasons(df, ENCODED)
     return df.select(KEY, F.inline_outer("encoded_reasons"))
 
@@ -203,7 +202,7 @@ def top_n_encoded_reasons(spark, folder):
 @query("wide_attributions", "SELECT customer_id, " + ", ".join(
     f'round_even(c_{i} * 10000, 0) / 10000 + 0.0 AS "shap_{n}"' for i, n in enumerate(ENCODED)) + " FROM x_scored")
 def wide_attributions(spark, folder):
-    df = reasons.wide_attributions(scored(spark, folder), ENCODED)
+    df = reasons.wide_attributions(scored_table(spark, folder), ENCODED)
     return df.select(KEY, *[f"shap_{n}" for n in ENCODED])
 
 
