@@ -150,14 +150,22 @@ def plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = M
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 11) -> DataFrame:
-    """The mixed corpus: every document of ``docs`` as often as it is taken, all columns kept."""
+    """The mixed corpus: every document of ``docs`` as often as it is taken, all columns kept.
+
+    Row numbers run without gaps within each stored partition, so what is taken is one array of small
+    numbers per partition: about a byte per document. The texts meet it by its partition's number.
+    """
     stored = numbered(docs, "__tw_row")
     rows = stored.select("doc_id", "source", word_count().alias("size"), "__tw_row")
-    taken = plan(rows, weights, share, most, seed).filter("copies > 0").select("__tw_row", F.col("copies").cast("int").alias("__tw_c"))
+    place = F.struct("__tw_row", F.col("copies").cast("tinyint").alias("copies"))
+    taken = materialise(
+        plan(rows, weights, share, most, seed)
+        .groupBy(F.shiftright("__tw_row", 33).alias("__tw_part"))
+        .agg(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["copies"]).alias("__tw_c")), "taken")
+    copies = F.expr("get(__tw_c, cast(__tw_row & 8589934591 AS int))")
     return (
-        stored.join(taken, "__tw_row")
+        stored.withColumn("__tw_part", F.shiftright("__tw_row", 33)).join(taken, "__tw_part")
+        .withColumn("__tw_c", copies.cast("int")).filter("__tw_c > 0")
         .withColumn("__tw_k", F.explode(F.sequence(F.lit(1), F.col("__tw_c"))))
-        .drop("__tw_row", "__tw_c", "__tw_k")
+        .drop("__tw_row", "__tw_part", "__tw_c", "__tw_k")
     )
-
-

@@ -173,9 +173,13 @@ def majority_bits(hashes: np.ndarray, streams: range) -> np.ndarray:
     return (ones * 2 > len(hashes)).ravel()
 
 
+#: Documents that the chunks are laid out for at least, so that tables below it all get the same plan.
+PLANNED_DOCUMENTS = 1 << 18
+
+
 def chunk_plan(documents: int) -> tuple[int, int]:
     """(bits of a chunk, chunks): wide enough that chance meetings stay rare, enough chunks to miss few."""
-    width = max(20, int(np.ceil(np.log2(max(documents, 1)))) + 7)
+    width = int(np.ceil(np.log2(max(documents, PLANNED_DOCUMENTS)))) + 7
     within_two = sum(math.comb(width, d) * BIT_ERROR**d * (1 - BIT_ERROR) ** (width - d) for d in range(3))
     return width, math.ceil(math.log(MISSED) / math.log(1 - within_two))
 
@@ -260,7 +264,12 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     per_node = rows.groupBy("node").agg(F.min_by(F.struct("h1", "h2"), order).alias("row"), F.min(order).alias("order"))
     first = (
         per_node.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("group"))
-        .agg(F.min_by("row", "order").alias("row")).select("row.h1", "row.h2"))
+        .agg(F.min_by("row", "order").alias("row")).select("row.h1", "row.h2", F.lit(True).alias("first")))
+    # What goes is usually little: the texts are joined with that alone, and shuffled only if it is large.
+    counted = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).join(first, ["h1", "h2"], "left")
+    unusual = materialise(counted.filter("first IS NULL OR n > 1").select("h1", "h2", F.col("first").isNotNull().alias("stays")), "unusual")
     keyed = docs.select("*", *[k.alias(f"__tw_{n}") for k, n in zip(row_keys(), ("h1", "h2"))])
-    kept = keyed.join(first, (F.col("__tw_h1") == F.col("h1")) & (F.col("__tw_h2") == F.col("h2")), "left_semi")
-    return kept.dropDuplicates(["__tw_h1", "__tw_h2"]).drop("__tw_h1", "__tw_h2")
+    same = (F.col("__tw_h1") == F.col("h1")) & (F.col("__tw_h2") == F.col("h2"))
+    once = keyed.join(unusual, same, "left_anti")
+    repeated = keyed.join(unusual.filter("stays"), same, "left_semi").dropDuplicates(["__tw_h1", "__tw_h2"])
+    return once.unionByName(repeated).drop("__tw_h1", "__tw_h2")
