@@ -179,7 +179,7 @@ PLANNED_DOCUMENTS = 1 << 18
 
 def chunk_plan(documents: int) -> tuple[int, int]:
     """(bits of a chunk, chunks): wide enough that chance meetings stay rare, enough chunks to miss few."""
-    width = int(np.ceil(np.log2(max(documents, PLANNED_DOCUMENTS)))) + 7
+    width = int(np.ceil(np.log2(max(documents, PLANNED_DOCUMENTS)))) + 10
     within_two = sum(math.comb(width, d) * BIT_ERROR**d * (1 - BIT_ERROR) ** (width - d) for d in range(3))
     return width, math.ceil(math.log(MISSED) / math.log(1 - within_two))
 
