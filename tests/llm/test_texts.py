@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -360,3 +361,25 @@ def test_keep_one_by_similarity(spark):
     docs.append(docs[0].upper().replace(" ", "\n"))
     got = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
     assert not got & set(near) and got >= set(far) and len(got) == 120
+
+
+def contiguous_pairs(rng, lengths, shares):
+    """Texts and copies with one passage rewritten: (text, copy, Jaccard of the sets of five-word shingles)."""
+    def shingles(w):
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    for n in lengths:
+        for share in shares:
+            base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            at, size = rng.randrange(n // 4), max(1, round(n * (1 - share) / (1 + share)) - 4)
+            copy = base[:at] + [f"v{rng.randrange(10**6)}" for _ in range(size)] + base[at + size :]
+            a, b = shingles(base), shingles(copy)
+            yield " ".join(base), " ".join(copy), len(a & b) / len(a | b)
+
+
+def test_candidates_with_rewritten_passages_all_meet():
+    rng = random.Random(12)
+    counts = np.zeros(simhash.COUNTERS)
+    pairs = [p for p in contiguous_pairs(rng, [60, 150, 400], [0.8 + 0.005 * k for k in range(21)] * 10) if p[2] >= 0.8]
+    met = [bool(np.intersect1d(*(simhash.sketch(t, 5, Fraction(4, 5), counts)[3] for t in p[:2])).size) for p in pairs]
+    assert len(pairs) > 300 and all(met)

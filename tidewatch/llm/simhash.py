@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.llm.links import block_pairs, components, forest, per_unit, upper_pairs
-from tidewatch.llm.rows import small_batches, text_of
+from tidewatch.llm.rows import small_batches, sum_vectors, text_of
 from tidewatch.session import materialise
 
 RADIUS = 3
@@ -132,16 +133,14 @@ def near_copies(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFr
     return rows.join(classes, "__tw_fp").select("doc_id", "__tw_fp", "component_id")
 
 
-# Documents similar in their shingles, beyond a few bits. A sketch of many SimHash words estimates similarity;
-# candidates come from balls around its chunks.
+# Documents similar in their shingles, beyond a few bits. Candidates come from prefixes of the shingle sets: sets with
+# a Jaccard of ``least`` share a shingle among the first of either in any common order, so no pair is missed. Rare
+# shingles come first. A sketch of many SimHash words estimates similarity.
 
 #: 64-bit words of a sketch; 512 bits tell a similarity of 0.8 to about 0.03.
 SKETCH_WORDS = 8
-#: Share of bits in which documents at the least similarity differ (shingles of ``GRAIN`` words), and the share
-#: of such pairs that may be missed; both set the number of chunks.
-BIT_ERROR = 0.1
-MISSED = 0.02
-GRAIN = 3
+#: Numbers that count shingles by hash, to tell common ones; the driver sees these, however large the table is.
+COUNTERS = 1 << 18
 
 
 def combined(word_hashes: np.ndarray, words: int) -> np.ndarray:
@@ -173,50 +172,67 @@ def majority_bits(hashes: np.ndarray, streams: range) -> np.ndarray:
     return (ones * 2 > len(hashes)).ravel()
 
 
-#: Documents that the chunks are laid out for at least, so that tables below it all get the same plan.
-PLANNED_DOCUMENTS = 1 << 18
+def word_hashes(text: str | None) -> tuple[int, np.ndarray]:
+    """(key of the normalised text, hashes of its words in order)."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    each = np.fromiter(map(xxhash.xxh64_intdigest, tokens), dtype="uint64", count=len(tokens))
+    return xxhash.xxh64_intdigest(b" ".join(tokens), SEED), each
 
 
-def chunk_plan(documents: int) -> tuple[int, int]:
-    """(bits of a chunk, chunks): wide enough that chance meetings stay rare, enough chunks to miss few."""
-    width = int(np.ceil(np.log2(max(documents, PLANNED_DOCUMENTS)))) + 10
-    within_two = sum(math.comb(width, d) * BIT_ERROR**d * (1 - BIT_ERROR) ** (width - d) for d in range(3))
-    return width, math.ceil(math.log(MISSED) / math.log(1 - within_two))
+def shingle_set(each: np.ndarray, words: int) -> np.ndarray:
+    """The distinct hashes of runs of ``words`` words."""
+    return np.unique(mixed(combined(each, words), range(50, 51))[0])
 
 
-def sketch(text: str | None, words: int, width: int, chunks: int) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """(key of the normalised text, number of distinct shingles, sketch words, chunks)."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    key = xxhash.xxh64_intdigest(b" ".join(tokens), SEED)
-    each = np.fromiter(map(xxhash.xxh64_intdigest, tokens), dtype="uint64", count=len(tokens))
-    near = combined(each, GRAIN)
-    count = -(-width * chunks // 64)
-    bits = majority_bits(near, range(100, 100 + count))[: width * chunks]
-    own = np.unique(combined(each, words))
+def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
+    """How many documents' shingles fall on each of ``COUNTERS`` remainders; a common shingle lifts its own."""
+    small_batches(docs.sparkSession)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros(COUNTERS, dtype="int64")
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                np.add.at(out, shingle_set(word_hashes(text)[1], words) % np.uint64(COUNTERS), 1)
+        return out
+
+    return sum_vectors(docs.select(text_of().alias("text")), partial, COUNTERS)
+
+
+def prefix(own: np.ndarray, least: Fraction, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, rare ones before common ones: as many as it takes for no pair to be missed."""
+    n = len(own)
+    taken = n - math.ceil(least * n) + 1 if n else 0
+    return own[np.lexsort((own, counts[own % np.uint64(COUNTERS)]))[:taken]]
+
+
+def sketch(text: str | None, words: int, least: Fraction, counts: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """(key of the normalised text, number of distinct shingles, sketch words, prefix)."""
+    key, each = word_hashes(text)
+    own = shingle_set(each, words)
     made = majority_bits(own, range(SKETCH_WORDS))
-    values = bits.reshape(chunks, width) @ (np.int64(1) << np.arange(width))
-    return key, len(own), np.packbits(made).view("int64"), values
+    return key, len(own), np.packbits(made).view("int64"), prefix(own, least, counts).view("int64")
 
 
-def sketches(docs: DataFrame, words: int, width: int, chunks: int) -> DataFrame:
-    """(h1, h2: the row's key, doc_id, node, size, sketch, chunks) for every row of ``docs``."""
+def sketches(docs: DataFrame, words: int, least: Fraction) -> DataFrame:
+    """(h1, h2: the row's key, doc_id, node, size, sketch, prefix) for every row of ``docs``."""
+    counts = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
     small_batches(docs.sparkSession)
     keys = docs.select(*row_keys(), "doc_id", text_of().alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
 
-    def lists(rows: list[np.ndarray], length: int) -> pa.Array:
-        flat = np.concatenate([np.zeros(0, "int64"), *rows])
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, length, dtype="int32")), pa.array(flat))
+    def lists(rows: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0, *map(len, rows)])
+        return pa.ListArray.from_arrays(pa.array(ends.astype("int32")), pa.array(np.concatenate([np.zeros(0, "int64"), *rows])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [sketch(t, words, width, chunks) for t in batch.column("text").to_pylist()]
+            made = [sketch(t, words, least, counts.value) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(np.array([m[0] for m in made], dtype="uint64").view("int64")),
-                 pa.array([m[1] for m in made], pa.int32()), lists([m[2] for m in made], SKETCH_WORDS), lists([m[3] for m in made], chunks)],
-                names=["h1", "h2", "doc_id", "node", "size", "sketch", "chunks"])
+                 pa.array([m[1] for m in made], pa.int32()), lists([m[2] for m in made]), lists([m[3] for m in made])],
+                names=["h1", "h2", "doc_id", "node", "size", "sketch", "prefix"])
 
-    return keys.mapInArrow(run, f"h1 long, h2 long, doc_id {kind}, node long, size int, sketch array<long>, chunks array<long>")
+    return keys.mapInArrow(run, f"h1 long, h2 long, doc_id {kind}, node long, size int, sketch array<long>, prefix array<long>")
 
 
 def row_keys() -> list[Column]:
@@ -236,13 +252,9 @@ def _similar(group: dict[str, np.ndarray], least: float) -> tuple[np.ndarray, np
     return node[a], node[b]
 
 
-def linked_sketches(nodes: DataFrame, width: int, least: float) -> DataFrame:
-    """Edges (a, b) that connect the nodes (node, size, sketch, chunks) with an estimated Jaccard of ``least``."""
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k).cast("long") for k in range(width)])
-    members = (
-        nodes.select("node", F.posexplode("chunks").alias("t", "value"))
-        .withColumn("flip", F.explode(flips))
-        .select(F.expr("shiftleft(cast(t as long), 56) | (value ^ flip)").alias("key"), "node"))
+def linked_sketches(nodes: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) that connect the nodes (node, size, sketch, prefix) with an estimated Jaccard of ``least``."""
+    members = nodes.select(F.explode("prefix").alias("key"), "node")
     units = block_pairs(members, ["key"], "node").join(nodes.select("node", "size", "sketch"), "node")
     return per_unit(units, ["key"], lambda group: _similar(group, least), "a long, b long")
 
@@ -250,15 +262,13 @@ def linked_sketches(nodes: DataFrame, width: int, least: float) -> DataFrame:
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of similar documents: the one with the smallest doc_id.
 
-    Similarity is the Jaccard of the sets of ``words``-word shingles, estimated from sketches. Every chunk of a
-    second sketch emits its ball of radius 1, so chunks up to two bits apart meet in the middle; what meets is
-    compared by sketch. Texts equal after normalisation (lower case, white space) are one node from the start.
+    Similarity is the Jaccard of the sets of ``words``-word shingles, estimated from sketches. All similar pairs meet
+    in the prefixes of their sets; what meets is compared by sketch. Texts equal after normalisation (lower case, white space) are one node from the start.
     Null ids come last; further ties are settled by the row's key. Of rows equal in doc_id and text one stays.
     """
-    width, chunks = chunk_plan(docs.count())
-    rows = materialise(sketches(docs, words, width, chunks), "sketches")
-    nodes = materialise(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "sketch", "chunks")]), "nodes")
-    roots = components(linked_sketches(nodes, width, similarity))
+    rows = materialise(sketches(docs, words, Fraction(similarity).limit_denominator(10**6)), "sketches")
+    nodes = materialise(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "sketch", "prefix")]), "nodes")
+    roots = components(linked_sketches(nodes, similarity))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("h1"), F.col("h2"))
     # First per node, with copies combined map-side; only then per group.
     per_node = rows.groupBy("node").agg(F.min_by(F.struct("h1", "h2"), order).alias("row"), F.min(order).alias("order"))
