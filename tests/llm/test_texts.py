@@ -383,3 +383,19 @@ def test_candidates_with_rewritten_passages_all_meet():
     pairs = [p for p in contiguous_pairs(rng, [60, 150, 400], [0.8 + 0.005 * k for k in range(21)] * 10) if p[2] >= 0.8]
     met = [bool(np.intersect1d(*(simhash.sketch(t, 5, Fraction(4, 5), counts)[3] for t in p[:2])).size) for p in pairs]
     assert len(pairs) > 300 and all(met)
+
+
+def test_keep_one_is_exact_near_the_threshold(spark):
+    """Short and long pairs around 0.8: a copy goes if the exact Jaccard of the sets reaches 0.8, and only then."""
+    rng = random.Random(21)
+    short = [(9, 8), (9, 7), (10, 9), (12, 11), (16, 14)]  # words, and how many of them the copy keeps
+    docs, want = [], set()
+    for n, kept in [*short * 6, *[(n, round(n * share)) for n in (60, 300) for share in (0.86, 0.88, 0.885, 0.895, 0.9, 0.91) for _ in range(5)]]:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        copy = base[:kept] + [f"v{rng.randrange(10**6)}" for _ in range(n - kept)]
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (base, copy))
+        want.add(len(docs))
+        docs += [(len(docs), " ".join(base)), (len(docs) + 1, " ".join(copy))]
+        if 5 * len(a & b) < 4 * len(a | b):
+            want.add(len(docs) - 1)
+    assert {r.doc_id for r in simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == want

@@ -135,10 +135,12 @@ def near_copies(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFr
 
 # Documents similar in their shingles, beyond a few bits. Candidates come from prefixes of the shingle sets: sets with
 # a Jaccard of ``least`` share a shingle among the first of either in any common order, so no pair is missed. Rare
-# shingles come first. A sketch of many SimHash words estimates similarity.
+# shingles come first. A sketch of many SimHash words tells which of them may be similar; groups of those are compared
+# by their exact sets.
 
-#: 64-bit words of a sketch; 512 bits tell a similarity of 0.8 to about 0.03.
+#: 64-bit words of a sketch, and the standard deviations that similar sets may lie beyond the expected distance.
 SKETCH_WORDS = 8
+DEVIATIONS = 6
 #: Numbers that count shingles by hash, to tell common ones; the driver sees these, however large the table is.
 COUNTERS = 1 << 18
 
@@ -240,38 +242,96 @@ def row_keys() -> list[Column]:
     return [F.xxhash64(F.lit(n), F.col("doc_id").isNull(), F.col("doc_id"), text_of()).alias(f"h{n}") for n in (1, 2)]
 
 
-def _similar(group: dict[str, np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray] | None:
-    node, size = group["node"], group["size"].astype("float64")
+def bits_apart(least: Fraction) -> int:
+    """How many bits sketches of sets with a Jaccard of ``least`` may differ in. The angle between the sets gives the
+    share of bits; sets of few shingles differ in up to a quarter more."""
+    share = min(1.25 * math.acos(float(2 * least / (1 + least))) / math.pi, 0.5)
+    bits = 64 * SKETCH_WORDS
+    return math.ceil(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share)))
+
+
+def _maybe_similar(group: dict[str, np.ndarray], least: Fraction) -> tuple[np.ndarray, np.ndarray] | None:
+    node, size = group["node"], group["size"].astype("int64")
     bits = group["sketch"].view("uint64")
     apart = sum(np.bitwise_count(bits[:, k, None] ^ bits[None, :, k]).astype("int32") for k in range(bits.shape[1]))
-    shared = np.cos(np.pi * apart / (64 * bits.shape[1])) * np.sqrt(size[:, None] * size[None, :])
-    linked = (shared >= least * (size[:, None] + size[None, :] - shared)) & (shared > 0) & upper_pairs(group)
+    sizes = np.minimum(size[:, None], size[None, :]) * least.denominator >= np.maximum(size[:, None], size[None, :]) * least.numerator
+    linked = (apart <= bits_apart(least)) & sizes & upper_pairs(group)
     if not linked.any():
         return None
     a, b = forest(linked | linked.T)
     return node[a], node[b]
 
 
-def linked_sketches(nodes: DataFrame, least: float) -> DataFrame:
-    """Edges (a, b) that connect the nodes (node, size, sketch, prefix) with an estimated Jaccard of ``least``."""
+def _similar(group: dict[str, np.ndarray], least: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the pairs whose sets of shingles have a Jaccard of ``least``."""
+    node, sets = group["node"], [np.frombuffer(x, "int64") for x in group["shingles"]]
+    size = np.array([len(x) for x in sets])
+    ends = np.cumsum(size)
+    distinct, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    here = np.zeros(len(distinct), dtype="int32")
+    left = np.ones(len(node), dtype=bool)
+    a: list[int] = []
+    b: list[int] = []
+    while left.any():
+        queue = [int(left.argmax())]
+        left[queue[0]] = False
+        while queue and left.any():
+            at = queue.pop()
+            own = ids[ends[at] - size[at] : ends[at]]
+            here[own] = 1
+            shared = np.add.reduceat(here[ids], ends - size)
+            here[own] = 0
+            found = np.flatnonzero(left & (shared * least.denominator >= (size + size[at] - shared) * least.numerator)).tolist()
+            left[found] = False
+            a.extend([at] * len(found))
+            b.extend(found)
+            queue.extend(found)
+    return node[np.array(a, dtype="int64")], node[np.array(b, dtype="int64")]
+
+
+def linked_sketches(nodes: DataFrame, least: Fraction) -> DataFrame:
+    """Edges (a, b) that connect at least all nodes (node, size, sketch, prefix) with a Jaccard of ``least``."""
     members = nodes.select(F.explode("prefix").alias("key"), "node")
     units = block_pairs(members, ["key"], "node").join(nodes.select("node", "size", "sketch"), "node")
-    return per_unit(units, ["key"], lambda group: _similar(group, least), "a long, b long")
+    return per_unit(units, ["key"], lambda group: _maybe_similar(group, least), "a long, b long")
+
+
+def stored_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(node, shingles as bytes) of the rows (node, text), one row for each node, stored."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shingle_set(word_hashes(t)[1], words).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.binary())], names=["node", "shingles"])
+
+    small_batches(texts.sparkSession)
+    return materialise(texts.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"]), "shingle_sets")
+
+
+def linked_sets(groups: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
+    """Edges (a, b) that connect the nodes with a Jaccard of ``least``, none below, inside the groups (node, root)."""
+    units = block_pairs(groups.select("root", "node"), ["root"], "node").join(sets, "node")
+    return per_unit(units, ["root"], lambda group: _similar(group, least), "a long, b long")
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of similar documents: the one with the smallest doc_id.
 
-    Similarity is the Jaccard of the sets of ``words``-word shingles, estimated from sketches. All similar pairs meet
-    in the prefixes of their sets; what meets is compared by sketch. Texts equal after normalisation (lower case, white space) are one node from the start.
+    Similarity is the Jaccard of the sets of ``words``-word shingles. All similar pairs meet in the prefixes of their
+    sets; sketches sort out what is far from similar, and the groups that are left are compared by their exact sets. Texts equal after normalisation (lower case, white space) are one node from the start.
     Null ids come last; further ties are settled by the row's key. Of rows equal in doc_id and text one stays.
     """
-    rows = materialise(sketches(docs, words, Fraction(similarity).limit_denominator(10**6)), "sketches")
+    least = Fraction(similarity).limit_denominator(10**6)
+    rows = materialise(sketches(docs, words, least), "sketches")
     nodes = materialise(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "sketch", "prefix")]), "nodes")
-    roots = components(linked_sketches(nodes, similarity))
+    groups = materialise(components(linked_sketches(nodes, least)), "groups")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("h1"), F.col("h2"))
     # First per node, with copies combined map-side; only then per group.
     per_node = rows.groupBy("node").agg(F.min_by(F.struct("h1", "h2"), order).alias("row"), F.min(order).alias("order"))
+    # Only texts in a group are read again for their sets.
+    compared = materialise(per_node.join(groups, "node").select("row.h1", "row.h2", "node"), "compared")
+    texts = docs.select(*row_keys(), text_of().alias("text"))
+    sets = stored_sets(texts.join(compared, ["h1", "h2"]).select("node", "text"), words)
+    roots = components(linked_sets(groups, sets, least))
     first = (
         per_node.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("group"))
         .agg(F.min_by("row", "order").alias("row")).select("row.h1", "row.h2", F.lit(True).alias("first")))
