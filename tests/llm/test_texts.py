@@ -399,3 +399,13 @@ def test_keep_one_is_exact_near_the_threshold(spark):
         if 5 * len(a & b) < 4 * len(a | b):
             want.add(len(docs) - 1)
     assert {r.doc_id for r in simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == want
+
+
+def test_repeated_passages_do_not_hide_copies():
+    """A copy that repeats a passage more often has the same set of shingles but for the seams."""
+    rng = random.Random(13)
+    counts = np.zeros(simhash.COUNTERS)
+    for _ in range(100):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+        a, b = (simhash.sketch(" ".join(base + base[100:144] * k), 5, Fraction(4, 5), counts) for k in (1, 5))
+        assert np.intersect1d(a[3], b[3]).size and np.bitwise_count(a[2] ^ b[2]).sum() <= simhash.bits_apart(Fraction(4, 5))
