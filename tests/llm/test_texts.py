@@ -409,3 +409,14 @@ def test_repeated_passages_do_not_hide_copies():
         base = [f"w{rng.randrange(10**6)}" for _ in range(204)]
         a, b = (simhash.sketch(" ".join(base + base[100:144] * k), 5, Fraction(4, 5), counts) for k in (1, 5))
         assert np.intersect1d(a[3], b[3]).size and np.bitwise_count(a[2] ^ b[2]).sum() <= simhash.bits_apart(Fraction(4, 5))
+
+
+def test_candidates_do_not_depend_on_the_size_of_the_table():
+    """A document has as many keys in any table, and pairs meet whatever the order that a table gives its shingles."""
+    rng = random.Random(14)
+    for text, copy, similarity in contiguous_pairs(rng, [60, 200], [0.8 + 0.01 * k for k in range(10)]):
+        for documents in (1, 1 << 12, 1 << 24):
+            counts = np.random.default_rng(documents).poisson(documents, simhash.COUNTERS)
+            a, b = (simhash.sketch(t, 5, Fraction(4, 5), counts) for t in (text, copy))
+            assert len(a[3]) == a[1] - -(-4 * a[1] // 5) + 1
+            assert similarity < 0.8 or np.intersect1d(a[3], b[3]).size
