@@ -420,3 +420,16 @@ def test_candidates_do_not_depend_on_the_size_of_the_table():
             a, b = (simhash.sketch(t, 5, Fraction(4, 5), counts) for t in (text, copy))
             assert len(a[3]) == a[1] - -(-4 * a[1] // 5) + 1
             assert similarity < 0.8 or np.intersect1d(a[3], b[3]).size
+
+
+def test_terms_far_from_an_entity_are_marked(spark):
+    """Terms anywhere in the document count, and every occurrence in documents with the entity is marked."""
+    rng = random.Random(5)
+    filler = "the of and to in is that for on with as by at from".split()
+    some = lambda n: " ".join(rng.choice(filler) for _ in range(n))
+    docs = [(i, some(60)) for i in range(100)]
+    docs += [(100 + i, f"Zephyrine {some(30)} ann@home.org {some(30)} zephyrine") for i in range(5)]
+    found = {r.doc_id: r for r in pii.found_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, text in docs[100:]:
+        assert [x for x in found[i].spans.split(",") if x.startswith("term")] == ["term:0:9", f"term:{len(text) - 9}:{len(text)}"]
+    assert all("term" not in found[i].spans for i in range(100))

@@ -8,15 +8,15 @@ Corpus counts say how strongly a term reveals an entity: with p the share of doc
 
     PMI(t, e) = log p(t, e) / (p(t) p(e)),   IC(e) = -log p(e),   disclosure = PMI / IC  (at most 1)
 
-where (t, e) counts documents that have the term among the ``REACH`` words before or after the entity. A
-term that meets an entity in at least ``LEAST_CONTEXTS`` different surroundings (copies count once) and whose
-disclosure reaches ``GENERALISE`` is generalised there, from ``REMOVE`` on it is removed. Common words occur
-everywhere, so their PMI is near zero.
+where (t, e) counts documents that have the term anywhere beside the entity. A term that meets an entity in at
+least ``LEAST_CONTEXTS`` differently worded documents (copies count once) and whose disclosure reaches
+``GENERALISE`` is generalised wherever it stands in documents with the entity, from ``REMOVE`` on it is removed.
+Common words occur everywhere, so their PMI is near zero.
 
-One pass over the texts gives spans, surroundings and, per task, document counts of all its words (flushed
-when large, so memory is bounded); the counts are added up by shuffles with map-side combining. A hot entity
-is pre-aggregated per surrounding; the join of surroundings with revealing terms may be skewed, which
-adaptive execution splits.
+One pass over the texts gives spans, the terms of documents with an entity and, per task, document counts of all
+words (flushed when large, so memory is bounded); the counts are added up by shuffles with map-side combining.
+Disclosure reaches ``GENERALISE`` = 1/2 only where n_t <= sqrt(n n_e), so terms more common than that are left
+out before and right after terms meet entities; nothing that could be marked is lost by it.
 
 Nulls: a null text counts as empty. Rows are known by doc_id and text; rows equal in both get the same
 result and count once per row. An empty table gives an empty result. Texts are read whole.
@@ -25,6 +25,7 @@ result and count once per row. An empty table gives an empty result. Texts are r
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -49,8 +50,7 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGITS = re.compile(r"[^0-9]")
 
-#: Words looked at on either side of an entity.
-REACH = 8
+#: Differently worded documents in which a term has to meet an entity.
 LEAST_CONTEXTS = 3
 GENERALISE = 0.5
 REMOVE = 0.8
@@ -132,48 +132,36 @@ def merged(spans: list[Span]) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-def surroundings(text: str, spans: list[Span]) -> list[tuple[int, int, int, int, int]]:
-    """(entity, term, surrounding, start, end) for each term near an entity; terms are not parts of entities."""
-    out = []
+def terms_beside(text: str, spans: list[Span]) -> tuple[list[int], int, list[tuple[int, int, int]]]:
+    """Entities, the wording without them, and (term, start, end) of each term; terms are not parts of entities."""
     starts, ends = merged(spans)
 
     def free(m: re.Match) -> bool:
         at = bisect_left(starts, m.end()) - 1
         return (at < 0 or ends[at] <= m.start()) and not m.group().isdigit()
 
-    for kind, a, b in spans:
-        # A window of characters that usually holds REACH words on either side; it grows where it does not.
-        width = 40 * REACH
-        while True:
-            lo, hi = max(0, a - width), min(len(text), b + width)
-            before = [m for m in TERM.finditer(text, lo, a) if m.start() > lo or lo == 0]
-            after = [m for m in TERM.finditer(text, b, hi) if m.end() < hi or hi == len(text)]
-            if (lo == 0 or len(before) >= REACH) and (hi == len(text) or len(after) >= REACH):
-                break
-            width *= 4
-        near = [m for m in before[-REACH:] + after[:REACH] if free(m)]
-        if near:
-            around = key_of(" ".join(m.group().lower() for m in near))
-            owner = key_of(entity(kind, text[a:b]))
-            out += [(owner, key_of(m.group().lower()), around, m.start(), m.end()) for m in near]
-    return out
+    terms = [m for m in TERM.finditer(text) if free(m)]
+    keys = {w: key_of(w) for w in {m.group().lower() for m in terms}}
+    around = key_of(" ".join(m.group().lower() for m in terms))
+    return (sorted({key_of(entity(k, text[a:b])) for k, a, b in spans}), around,
+            [(keys[m.group().lower()], m.start(), m.end()) for m in terms])
 
 
-FOUND = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("c", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
+TERMS = pa.list_(pa.struct([("t", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """One pass over the texts (doc_id, text), stored: a row per document, and partial word counts (w, n)."""
     small_batches(docs.sparkSession)
-    texts = docs.select("doc_id", text_key().alias("tw_key"), text_of().alias("text"))
+    texts = docs.select("doc_id", text_key().alias("tw_key"), row_key().alias("r"), text_of().alias("text"))
     schema = (
-        f"doc_id {dict(docs.dtypes)['doc_id']}, tw_key long, base string, "
-        "found array<struct<e: long, t: long, c: long, a: int, b: int>>, w long, n long")
+        f"doc_id {dict(docs.dtypes)['doc_id']}, tw_key long, r long, base string, "
+        "es array<long>, c long, found array<struct<t: long, a: int, b: int>>, w long, n long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
         kinds: list[pa.DataType] = []
-        names = ["doc_id", "tw_key", "base", "found", "w", "n"]
+        names = ["doc_id", "tw_key", "r", "base", "es", "c", "found", "w", "n"]
 
         def flushed() -> pa.RecordBatch:
             size = len(counts)
@@ -184,16 +172,20 @@ def scan(docs: DataFrame) -> DataFrame:
             return out
 
         for batch in batches:
-            kinds = [batch.schema.field("doc_id").type, pa.int64(), pa.string(), FOUND]
-            base, found = [], []
+            kinds = [batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.int64(), TERMS]
+            base, entities, around, found = [], [], [], []
             for text in batch.column("text").to_pylist():
                 spans = base_spans(text)
                 base.append(shown(spans))
-                found.append([dict(zip("etcab", row)) for row in surroundings(text, spans)] if spans else [])
+                es, c, terms = terms_beside(text, spans) if spans else ([], None, [])
+                entities.append(es)
+                around.append(c)
+                found.append([dict(zip("tab", row)) for row in terms])
                 counts.update(set(TERM.findall(text.lower())))
             empty = pa.nulls(len(base), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("tw_key"), pa.array(base, pa.string()), pa.array(found, FOUND), empty, empty],
+                [*batch.columns[:3], pa.array(base, pa.string()), pa.array(entities, pa.list_(pa.int64())),
+                 pa.array(around, pa.int64()), pa.array(found, TERMS), empty, empty],
                 names=names)
             if len(counts) > FLUSH:
                 yield flushed()
@@ -203,24 +195,41 @@ def scan(docs: DataFrame) -> DataFrame:
     return materialise(texts.mapInArrow(run, schema), "pii_scan")
 
 
+def row_key() -> Column:
+    """A 64-bit key of a row by doc_id and text."""
+    return F.xxhash64(F.lit(1), F.col("doc_id").isNull(), F.col("doc_id"), text_of())
+
+
 def revealing(scanned: DataFrame) -> DataFrame:
-    """(e, t, disclosure) for the terms whose disclosure of an entity reaches ``GENERALISE``."""
+    """(r, t, disclosure): the terms of each row whose disclosure of an entity of the row reaches ``GENERALISE``."""
     docs = scanned.filter("w IS NULL")
-    total = docs.count()
-    near = docs.select("doc_id", "tw_key", F.explode("found").alias("f")).select("doc_id", "tw_key", "f.e", "f.t", "f.c")
-    per_surrounding = (
-        near.distinct().groupBy("e", "t", "c").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("e", "t").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("contexts")))
-    per_entity = near.select("doc_id", "tw_key", "e", "c").distinct().groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
-    words = scanned.filter("w IS NOT NULL").groupBy(F.col("w").alias("t")).agg(F.sum("n").alias("n_t"))
-    n = F.lit(float(max(total, 1)))
+    n = float(max(docs.count(), 1))
+    held = docs.select("r", "c", F.explode("es").alias("e")).distinct()
+    entities = (
+        held.groupBy("e", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("e")
+        .agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= LEAST_CONTEXTS).drop("contexts"))
+    entities = materialise(entities, "pii_entities")
+    hottest = entities.agg(F.max("n_e")).first()[0] or 0
+    # A hair above the bound, so that rounding leaves out nothing.
+    words = (
+        scanned.filter("w IS NOT NULL").groupBy(F.col("w").alias("t")).agg(F.sum("n").alias("n_t"))
+        .filter(F.col("n_t").between(LEAST_CONTEXTS, math.sqrt(n * hottest) * 1.000001)))
+    kept = materialise(held.join(entities, "e"), "pii_held")
+    terms = (
+        docs.select("r", F.explode(F.array_distinct(F.transform("found", lambda x: x["t"]))).alias("t"))
+        .join(kept.select("r").distinct(), "r", "left_semi").distinct().join(words, "t"))
+    near = materialise(
+        kept.join(terms, "r").filter(F.col("n_t") <= F.sqrt(F.lit(n) * F.col("n_e")) * 1.000001)
+        .select("r", "e", "t", "c", "n_e", "n_t"), "pii_near")
     pmi = F.log(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
-    ic = F.log(n / F.col("n_e"))
-    return (
-        per_surrounding.filter(F.col("contexts") >= LEAST_CONTEXTS)
-        .join(words, "t").join(per_entity, "e")
+    ic = F.log(F.lit(n) / F.col("n_e"))
+    pairs = (
+        near.groupBy("e", "t", "c", "n_e", "n_t").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("e", "t", "n_e", "n_t").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("contexts"))
+        .filter(F.col("contexts") >= LEAST_CONTEXTS)
         .select("e", "t", F.when(ic > 0, F.least(F.lit(1.0), pmi / ic)).otherwise(F.lit(0.0)).alias("disclosure"))
         .filter(F.col("disclosure") >= GENERALISE))
+    return near.select("r", "e", "t").join(pairs, ["e", "t"]).groupBy("r", "t").agg(F.max("disclosure").alias("disclosure"))
 
 
 @F.pandas_udf(T.StringType())
@@ -239,14 +248,12 @@ def found_spans(docs: DataFrame) -> DataFrame:
     among them with their disclosure (array<struct<a, b, disclosure>>, null if none)."""
     scanned = scan(docs)
     rows = scanned.filter("w IS NULL")
-    near = rows.select("doc_id", "tw_key", F.explode("found").alias("f")).select("doc_id", "tw_key", "f.*")
+    places = rows.select("r", F.explode("found").alias("f")).select("r", "f.*").distinct()
     terms = (
-        near.join(revealing(scanned), ["e", "t"])
-        .groupBy("doc_id", "tw_key", "a", "b").agg(F.max("disclosure").alias("disclosure"))
-        .groupBy("doc_id", "tw_key").agg(F.sort_array(F.collect_list(F.struct("a", "b", "disclosure"))).alias("terms")))
+        places.join(revealing(scanned), ["r", "t"]).groupBy("r")
+        .agg(F.sort_array(F.collect_list(F.struct("a", "b", "disclosure"))).alias("terms")))
     return (
-        rows.alias("r").join(terms.alias("x"), F.expr("r.doc_id <=> x.doc_id AND r.tw_key = x.tw_key"), "left")
-        .select("r.doc_id", "r.tw_key", "r.base", "x.terms")
+        rows.select("doc_id", "tw_key", "r", "base").join(terms, "r", "left").drop("r")
         .withColumn("spans", _all_spans("base", "terms")))
 
 
