@@ -148,7 +148,7 @@ def test_a_hot_conversation(spark, monkeypatch):
     rows += [(7, 5, "user", "Copy.")] * 400 + random_rows(rng, 20, 5)
     monkeypatch.setattr(conversations.repair, "__defaults__", (64,))
     pieces = conversations.repair(conversations.damage(spark.createDataFrame(rows, SCHEMA)))
-    sizes = [r[0] for r in pieces.selectExpr("length(audit)").collect()]
+    sizes = [r[0] for r in pieces.pieces().selectExpr("length(audit)").collect()]
     assert max(sizes) <= 64 + 2 * 64 and sum(s > 30 for s in sizes) > 10
     assert run(spark, monkeypatch, rows) == expected(rows)
 

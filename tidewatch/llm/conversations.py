@@ -435,8 +435,18 @@ REPAIRED = (f"conv_id long, part int, segment int, whole boolean, blank long, du
             "audit string, turns array<struct<role:string,text:string>>")
 
 
-def repair(turns: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
-    """The repaired conversations of ``turns`` (conv_id, turn, role, text), cut in segments.
+class Repaired(NamedTuple):
+    """Repaired conversations: those that lie in one segment, and those that are cut in several."""
+
+    whole: DataFrame
+    cut: DataFrame
+
+    def pieces(self) -> DataFrame:
+        return self.whole.unionByName(self.cut)
+
+
+def repair(turns: DataFrame, segment_rows: int = SEGMENT_ROWS) -> Repaired:
+    """The repaired conversations of ``turns`` (conv_id, turn, role, text), a row for each segment.
 
     (conv_id, part, segment: the order of a conversation's segments, whole: whether there is only one, blank, duplicate,
     truncated, illegal, cost, audit: sums and edits of the segment, turns: the rows that the edits leave).
@@ -460,12 +470,12 @@ def repair(turns: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
             made = [{**{c: r[c] for c in names}, "turns": apply(r["rows"], r["entry"], r["audit"])} for r in batch.to_pylist()]
             yield pa.RecordBatch.from_pylist(made, schema=kind)
 
-    return only.unionByName(put_together).mapInArrow(run, REPAIRED)
+    return Repaired(only.mapInArrow(run, REPAIRED), put_together.mapInArrow(run, REPAIRED))
 
 
-def repaired_turns(pieces: DataFrame) -> DataFrame:
+def repaired_turns(found: Repaired) -> DataFrame:
     """(conv_id, part, segment, position, role, text): the repaired rows one by one, ordered by these columns."""
-    return pieces.select("conv_id", "part", "segment", F.posexplode("turns").alias("position", "t")).select(
+    return found.pieces().select("conv_id", "part", "segment", F.posexplode("turns").alias("position", "t")).select(
         "conv_id", "part", "segment", "position", "t.role", "t.text")
 
 
@@ -485,7 +495,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield [{"conv_id": conv[0], "repaired_sha256": made.hexdigest()}]
 
 
-def report(pieces: DataFrame) -> DataFrame:
+def report(found: Repaired) -> DataFrame:
     """(conv_id, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256) for each conversation.
 
     The digest of ``role:text`` lines takes a conversation's whole text in order, so that of a conversation in many
@@ -493,9 +503,8 @@ def report(pieces: DataFrame) -> DataFrame:
     """
     counts = ["blank", "duplicate", "truncated", "illegal", "cost"]
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit(":"), t.text)), "\n")
-    written = pieces.withColumn("lines", lines)
-    only = written.filter("whole").select("conv_id", *counts, "audit", F.sha2(F.col("lines").cast("binary"), 256).alias("repaired_sha256"))
-    cut = written.filter("NOT whole").select("conv_id", "part", "segment", F.size("turns").alias("n"), "lines", *counts, "audit")
+    only = found.whole.withColumn("lines", lines).select("conv_id", *counts, "audit", F.sha2(F.col("lines").cast("binary"), 256).alias("repaired_sha256"))
+    cut = found.cut.withColumn("lines", lines).select("conv_id", "part", "segment", F.size("turns").alias("n"), "lines", *counts, "audit")
     digests = _streamed(cut.select("conv_id", "part", "segment", "n", "lines"), _digests, "conv_id long, repaired_sha256 string")
     audits = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "segment", "audit"))), lambda x: x.audit), "")
     sums = cut.groupBy("conv_id").agg(*[F.sum(c).alias(c) for c in counts], audits.alias("audit"))
