@@ -6,6 +6,9 @@ array, the rank of every neighbouring pair is found by binary search over the so
 merges all places of its lowest-rank pair, and the rounds go on until no pair has a rank. Pieces that are
 finished leave the array, so one very long piece does not hold up the others.
 
+A worker reads texts in stretches of bounded size, cut at white space, and remembers the ids and the decoded
+form of pieces up to a bounded number of bytes; results do not depend on it.
+
 The vocabulary file is a parameter. Special tokens that occur in a text become their ids. Nulls: a null
 text encodes to no ids, and no ids decode to the empty text. All columns pass through; an input column
 with the name of the output is replaced. Texts of any length are encoded whole.
@@ -13,6 +16,7 @@ with the name of the output is replaced. Texts of any length are encoded whole.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -26,11 +30,15 @@ from pyspark.sql import types as T
 
 from tidewatch.llm.rows import small_batches
 
-#: Chunks whose ids a worker remembers; beyond that it starts afresh. Results do not depend on it.
-REMEMBERED = 200_000
-#: Separators that str.split() cuts at although they are not Unicode white space.
-ODD_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
-WHITE = regex.compile(r"[^\p{White_Space}]+")
+#: Bytes of pieces that a worker remembers; beyond that it starts afresh.
+REMEMBERED_BYTES = 80 << 20
+#: What an entry takes besides its strings.
+ENTRY_BYTES = 260
+#: Characters of a stretch of text, and bytes of new pieces that are merged at once.
+STRETCH = 1 << 19
+MERGED_BYTES = 1 << 17
+#: Where a long text may be cut.
+BLANK = regex.compile(r"[ \t\n\r]")
 
 
 class Vocabulary:
@@ -84,9 +92,11 @@ class Vocabulary:
             sizes = np.diff(np.append(starts, len(symbols)))
             done = lowest == none
             if done.any():
-                for piece, a, n in zip(owner[starts[done]].tolist(), starts[done].tolist(), sizes[done].tolist()):
-                    out[piece] = symbols[a : a + n].tolist()
                 active = np.repeat(~done, sizes)
+                finished = symbols[~active].tolist()
+                ends_at = np.cumsum(sizes[done]).tolist()
+                for piece, a, b in zip(owner[starts[done]].tolist(), [0, *ends_at], ends_at):
+                    out[piece] = finished[a:b]
                 symbols, owner, ranks = symbols[active], owner[active], ranks[active]
                 lowest, sizes = lowest[~done], sizes[~done]
                 if not len(symbols):
@@ -113,66 +123,151 @@ def byte_letters() -> list[str]:
 
 
 class Encoder:
-    """Encodes texts in one worker, remembering chunks it has met."""
+    """Encodes texts in one worker, remembering pieces it has met.
+
+    Ids are kept as text, joined by blanks, beside the decoded form; both are joined further without being taken apart.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.known: dict[str, tuple[int, ...]] = {}
         self.find = regex.compile(vocabulary.pattern).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")").split if vocabulary.special else None
         self.marks = [s[:2] for s in vocabulary.special]
+        self.names = [str(i) for i in range(len(vocabulary.tokens))]
+        self.forget()
+
+    def forget(self) -> None:
+        # Special tokens have a blank before their name, which no piece has.
+        self.ids = {" " + s: str(i) for s, i in self.vocabulary.special.items()}
+        self.texts = {" " + s: self.vocabulary.tokens[i] for s, i in self.vocabulary.special.items()}
+        self.held = 0
 
-    def chunks(self, text: str) -> list[str]:
-        if any(c in text for c in ODD_SEPARATORS):
-            return WHITE.findall(text)
-        return text.split()
+    def normal_pieces(self, text: str) -> list[str]:
+        return self.find(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
-    def parts(self, text: str) -> list[str | int]:
-        """White-space separated chunks, and the ids of special tokens between them."""
+    def pieces(self, text: str) -> list[str]:
+        """The pieces of a text, and the special tokens between them."""
         if not any(mark in text for mark in self.marks):
-            return self.chunks(text)
-        out: list[str | int] = []
+            return self.normal_pieces(text)
+        out: list[str] = []
         for i, part in enumerate(self.cut(text)):
-            out.extend([self.vocabulary.special[part]] if i % 2 else self.chunks(part))
+            out.extend([" " + part] if i % 2 else self.normal_pieces(part))
         return out
 
-    def learn(self, chunks: set[str]) -> None:
-        """Merge the pieces of new chunks, all in one batch."""
-        cut = {c: [p.encode() for p in self.find(unicodedata.normalize("NFC", c).replace("Σ", "σ").lower())] for c in chunks}
-        pieces = list({p for ps in cut.values() for p in ps})
-        ids = dict(zip(pieces, self.vocabulary.merge(pieces))) if pieces else {}
-        for chunk, ps in cut.items():
-            self.known[chunk] = tuple(chain.from_iterable(ids[p] for p in ps))
+    def learn(self, new: list[str]) -> None:
+        """Take in new pieces, merged in batches."""
+        names, tokens = self.names, self.vocabulary.tokens
+        for group in _batches_of(new):
+            for piece, ids in zip(group, self.vocabulary.merge([p.encode() for p in group])):
+                self.ids[piece] = ids_text = " ".join([names[i] for i in ids])
+                self.texts[piece] = text = " ".join([tokens[i] for i in ids])
+                self.held += len(piece) + len(ids_text) + len(text) + ENTRY_BYTES
+
+    def read(self, texts: list[str | None]) -> Iterator[list[tuple[int, str, str]]]:
+        """(row, ids, decoded form) of all stretches of the texts, some at a time. Stretches without ids are left out."""
+        for group in _groups(texts):
+            if self.held > REMEMBERED_BYTES:
+                self.forget()
+            cut = [(row, pieces) for row, stretch in group if (pieces := self.pieces(stretch))]
+            self.learn(list(set(chain.from_iterable(pieces for _, pieces in cut)).difference(self.ids)))
+            yield [(row, " ".join(map(self.ids.__getitem__, ps)), " ".join(map(self.texts.__getitem__, ps))) for row, ps in cut]
 
     def encode(self, texts: list[str | None]) -> pa.Array:
         """A list of ids for each text."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        cut = [self.parts(t or "") for t in texts]
-        known = self.known
-        self.learn({c for parts in cut for c in parts if c not in known and c.__class__ is str})
-        for i in self.vocabulary.special.values():
-            known[i] = (i,)
-        flat = [np.fromiter(chain.from_iterable(map(known.__getitem__, parts)), dtype="int32") for parts in cut]
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in flat])]).astype("int32")
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, "int32"), *flat])))
-
-
-def _with_column(df: DataFrame, source: str, name: str, kind: T.DataType, make) -> DataFrame:
-    """``df`` with a column made from another, batch by batch; ``make()`` gives a worker's function."""
-    df = df.drop(name) if name in df.columns and name != source else df
+        rows: list[list[np.ndarray]] = [[] for _ in texts]
+        for group in self.read(texts):
+            for row, ids, _ in group:
+                rows[row].append(_numbers(ids))
+        return _lists(rows)
+
+    def digests(self, texts: list[str | None], with_ids: bool) -> list[pa.Array]:
+        """Number of ids, SHA-256 of the ids joined by blanks, SHA-256 of the decoded text; the ids themselves on demand."""
+        count = [0] * len(texts)
+        made = [(hashlib.sha256(), hashlib.sha256()) for _ in texts]
+        rows: list[list[np.ndarray]] = [[] for _ in texts]
+        for group in self.read(texts):
+            for row, ids, text in group:
+                if count[row]:
+                    made[row][0].update(b" ")
+                    made[row][1].update(b" ")
+                count[row] += ids.count(" ") + 1
+                made[row][0].update(ids.encode())
+                made[row][1].update(text.encode())
+                if with_ids:
+                    rows[row].append(_numbers(ids))
+        out = [pa.array(count, pa.int64()), *[pa.array([m[k].hexdigest() for m in made], pa.string()) for k in (0, 1)]]
+        return [*out, _lists(rows)] if with_ids else out
+
+
+def _numbers(ids: str) -> np.ndarray:
+    return np.array(ids.split(" "), dtype="int32")
+
+
+def _lists(rows: list[list[np.ndarray]]) -> pa.Array:
+    ends = np.cumsum([0, *[sum(map(len, r)) for r in rows]])
+    flat = np.concatenate([np.zeros(0, "int32"), *chain.from_iterable(rows)])
+    return pa.ListArray.from_arrays(pa.array(ends.astype("int32")), pa.array(flat))
+
+
+def _batches_of(pieces: list[str]) -> Iterator[list[str]]:
+    """Pieces in batches of about ``MERGED_BYTES``."""
+    group: list[str] = []
+    size = 0
+    for piece in pieces:
+        group.append(piece)
+        size += len(piece)
+        if size >= MERGED_BYTES:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def _groups(texts: list[str | None]) -> Iterator[list[tuple[int, str]]]:
+    """(row, stretch of its text) in groups of about ``STRETCH`` characters; long texts are cut before white space."""
+    group: list[tuple[int, str]] = []
+    size = 0
+    for row, text in enumerate(texts):
+        at = 0
+        while text and at < len(text):
+            end = len(text)
+            if end - at > STRETCH:
+                space = BLANK.search(text, at + STRETCH)
+                end = space.start() if space else end
+            group.append((row, text[at:end]))
+            size += end - at
+            at = end
+            if size >= STRETCH:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
+def _worker_batches(df: DataFrame, schema: T.StructType, source: str, compute) -> DataFrame:
+    """``df`` with columns made from another, batch by batch; ``compute()`` gives a worker's function."""
     small_batches(df.sparkSession)
     at = df.columns.index(source)
-    schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compute = make()
+        make = compute()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, compute(batch.column(at))], names=[*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays(make(batch, at), names=names)
 
     return df.mapInArrow(run, schema)
 
 
+def _with_column(df: DataFrame, source: str, name: str, kind: T.DataType, compute) -> DataFrame:
+    df = df.drop(name) if name in df.columns and name != source else df
+
+    def worker():
+        make = compute()
+        return lambda batch, at: [*batch.columns, make(batch.column(at))]
+
+    return _worker_batches(df, T.StructType([*df.schema.fields, T.StructField(name, kind)]), source, worker)
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the ids of its texts, an array of int. ``path`` is read by the driver only."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))  # a vocabulary's size is fixed
@@ -184,6 +279,24 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     return _with_column(docs, text, ids, T.ArrayType(T.IntegerType()), worker)
 
 
+def digests(docs: DataFrame, path: str, ids: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the texts of ``docs`` (doc_id, text), and their ids on demand.
+
+    Encoding and decoding are one pass of one worker; neither the texts nor, unless they are asked for, the ids come back.
+    """
+    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
+    rows = docs.select("doc_id", "text")
+    schema = T.StructType([
+        rows.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
+        T.StructField("decoded_sha256", T.StringType()), *([T.StructField(ids, T.ArrayType(T.IntegerType()))] if ids else [])])
+
+    def worker():
+        encoder = Encoder(vocabulary.value)
+        return lambda batch, at: [batch.column(0), *encoder.digests(batch.column(at).to_pylist(), bool(ids))]
+
+    return _worker_batches(rows, schema, "text", worker)
+
+
 def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``rows`` with the texts of its ids: without a decoder in the file, tokens joined by one blank."""
     vocabulary = rows.sparkSession.sparkContext.broadcast(Vocabulary(path))

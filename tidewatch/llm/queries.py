@@ -103,18 +103,8 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("__tw_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def digests(coded: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Number of ids and digests of ids and decoded text, for rows with ``doc_id`` and ``ids``."""
-    decoded = bpe.decode(coded.select("doc_id", "ids"), vocabulary_path())
-    return decoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), *(keep or []))
-
-
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    return digests(bpe.encode(docs, vocabulary_path()))
+    return bpe.digests(table(spark, folder, "documents"), vocabulary_path())
 
 
 def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:

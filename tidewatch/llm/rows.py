@@ -11,8 +11,9 @@ from tidewatch.session import materialise
 
 # Words are the longest runs of characters other than blank, tab, line feed, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows in one Arrow batch. Texts can be very long, so batches hold few of them.
+#: Rows and bytes in one Arrow batch. Texts can be very long, so batches hold few of them.
 BATCH_ROWS = 500
+BATCH_BYTES = 8 << 20
 
 
 def text_of(name: str = "text") -> Column:
@@ -21,10 +22,9 @@ def text_of(name: str = "text") -> Column:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch, so that a batch of long texts fits a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) != rows:
-        spark.conf.set(key, str(rows))
+    """Bound the rows and bytes of an Arrow batch, so that a batch of long texts fits a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def text_key(name: str = "text") -> Column:
