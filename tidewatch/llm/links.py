@@ -20,16 +20,17 @@ from tidewatch.session import drop_table, store
 BLOCK_ROWS = 512
 
 
-def block_pairs(members: DataFrame, keys: list[str], node: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def block_pairs(members: DataFrame, keys: list[str], node: str, block_rows: int = BLOCK_ROWS, sorted_join: bool = False) -> DataFrame:
     """Members of buckets with two rows or more, once for each pair of blocks they take part in.
 
     Adds ``__tw_i``, ``__tw_j`` (the pair, i <= j) and ``__tw_b`` (the row's own block). Sizes are
-    pre-aggregated counts; the join with them may be skewed, which adaptive execution splits.
+    pre-aggregated counts; the join with them may be skewed, which adaptive execution splits. ``sorted_join`` asks
+    for a sort-merge join where the sizes grow with the members, so that small and large tables take one plan.
     """
     sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("__tw_n")).filter("__tw_n > 1")
     blocks = F.ceil(F.col("__tw_n") / F.lit(block_rows)).cast("int")
     return (
-        members.join(sizes, keys)
+        members.join(sizes.hint("merge") if sorted_join else sizes, keys)
         .withColumn("__tw_nb", blocks)
         .withColumn("__tw_b", F.pmod(F.xxhash64(node), F.col("__tw_nb")).cast("int"))
         .withColumn("__tw_o", F.explode(F.sequence(F.lit(0), F.col("__tw_nb") - 1)))

@@ -292,7 +292,7 @@ def _similar(group: dict[str, np.ndarray], least: Fraction) -> tuple[np.ndarray,
 def linked_sketches(nodes: DataFrame, least: Fraction) -> DataFrame:
     """Edges (a, b) that connect at least all nodes (node, size, sketch, prefix) with a Jaccard of ``least``."""
     members = nodes.select(F.explode("prefix").alias("key"), "node")
-    units = block_pairs(members, ["key"], "node").join(nodes.select("node", "size", "sketch"), "node")
+    units = block_pairs(members, ["key"], "node", sorted_join=True).join(nodes.select("node", "size", "sketch").hint("merge"), "node")
     return per_unit(units, ["key"], lambda group: _maybe_similar(group, least), "a long, b long")
 
 
