@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tests.llm import cases
 from tidewatch.llm import bpe, line_dedup, mixing, pii, sharding, simhash
 from tidewatch.llm.queries import vocabulary_path
+from tidewatch.llm.rows import possibly_in
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -244,6 +245,17 @@ def test_keep_one_awkward(spark):
     assert simhash.keep_one(cases.none(spark)).count() == 0
 
 
+def test_possibly_in_misses_no_member(spark):
+    rng = random.Random(8)
+    keys = [rng.getrandbits(64) - 2**63 for _ in range(4000)] + [0, -1, 2**63 - 1, -(2**63), 2**27 - 1, 2**27]
+    df = spark.createDataFrame([(k,) for k in keys], "h long")
+    members = df.filter("h % 2 = 0").union(df.filter("h = 0"))
+    got = {r.h: r.maybe for r in possibly_in(df, F.col("h"), members, "maybe").collect()}
+    assert len(got) == len(set(keys)) and all(got[k] for k in keys if k % 2 == 0)
+    assert sum(got[k] for k in keys if k % 2) <= 2
+    assert possibly_in(df, F.col("h"), members.limit(0), "maybe").filter("maybe").count() == 0
+
+
 # BPE
 
 def test_bpe_round_trip(spark):

@@ -55,6 +55,28 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return materialise(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
+#: Bits of the map that ``possibly_in`` broadcasts: 16 MB, however many keys there are.
+MAP_BITS = 1 << 27
+
+
+def possibly_in(df: DataFrame, key: Column, members: DataFrame, name: str) -> DataFrame:
+    """``df`` with a column ``name``, false only where the 64-bit ``key`` is in no row of ``members`` (one long column).
+
+    Members set bits of a map of fixed size, which is broadcast, so that wide rows need not be shuffled to learn that
+    they have no partner. With many members more rows are let through; a join that follows settles them.
+    """
+    member = (F.pmod(F.col(members.columns[0]), F.lit(MAP_BITS)) + 1).alias("__tw_x")
+    maps = (
+        members.select(member).groupBy(F.bitmap_bucket_number("__tw_x").alias("__tw_bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("__tw_x")).alias("__tw_bits")))
+    placed = df.withColumn("__tw_x", F.pmod(key, F.lit(MAP_BITS)) + 1).withColumn("__tw_bucket", F.bitmap_bucket_number("__tw_x"))
+    byte = F.conv(F.hex(F.expr("substring(__tw_bits, cast(bitmap_bit_position(__tw_x) div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    bit = F.expr("cast(bitmap_bit_position(__tw_x) % 8 as int)")
+    return (
+        placed.join(F.broadcast(maps), "__tw_bucket", "left")
+        .withColumn(name, F.coalesce(F.getbit(byte, bit) == 1, F.lit(False))).drop("__tw_x", "__tw_bucket", "__tw_bits"))
+
+
 def sum_vectors(df: DataFrame, partial_sums, length: int) -> np.ndarray:
     """Add up one vector per partition. ``partial_sums`` maps an iterator of Arrow batches to a vector.
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.llm.links import block_pairs, components, forest, per_unit, upper_pairs
-from tidewatch.llm.rows import small_batches, sum_vectors, text_of
+from tidewatch.llm.rows import possibly_in, small_batches, sum_vectors, text_of
 from tidewatch.session import materialise
 
 RADIUS = 3
@@ -329,17 +329,19 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     per_node = rows.groupBy("node").agg(F.min_by(F.struct("h1", "h2"), order).alias("row"), F.min(order).alias("order"))
     # Only texts in a group are read again for their sets.
     compared = materialise(per_node.join(groups, "node").select("row.h1", "row.h2", "node"), "compared")
-    texts = docs.select(*row_keys(), text_of().alias("text"))
+    texts = possibly_in(docs.select(*row_keys(), text_of().alias("text")), F.col("h1"), compared.select("h1"), "__tw_maybe").filter("__tw_maybe")
     sets = stored_sets(texts.join(compared, ["h1", "h2"]).select("node", "text"), words)
     roots = components(linked_sets(groups, sets, least))
     first = (
         per_node.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("group"))
         .agg(F.min_by("row", "order").alias("row")).select("row.h1", "row.h2", F.lit(True).alias("first")))
-    # What goes is usually little: the texts are joined with that alone, and shuffled only if it is large.
+    # What goes is usually little: only rows that may be among it are joined, the others are not shuffled.
     counted = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).join(first, ["h1", "h2"], "left")
     unusual = materialise(counted.filter("first IS NULL OR n > 1").select("h1", "h2", F.col("first").isNotNull().alias("stays")), "unusual")
     keyed = docs.select("*", *[k.alias(f"__tw_{n}") for k, n in zip(row_keys(), ("h1", "h2"))])
+    keyed = possibly_in(keyed, F.col("__tw_h1"), unusual.select("h1"), "__tw_maybe")
     same = (F.col("__tw_h1") == F.col("h1")) & (F.col("__tw_h2") == F.col("h2"))
-    once = keyed.join(unusual, same, "left_anti")
-    repeated = keyed.join(unusual.filter("stays"), same, "left_semi").dropDuplicates(["__tw_h1", "__tw_h2"])
-    return once.unionByName(repeated).drop("__tw_h1", "__tw_h2")
+    usual, maybe = keyed.filter("NOT __tw_maybe"), keyed.filter("__tw_maybe")
+    once = usual.unionByName(maybe.join(unusual, same, "left_anti"))
+    repeated = maybe.join(unusual.filter("stays"), same, "left_semi").dropDuplicates(["__tw_h1", "__tw_h2"])
+    return once.unionByName(repeated).drop("__tw_h1", "__tw_h2", "__tw_maybe")
