@@ -3,20 +3,16 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (
-    GBTClassificationModel,
-    GBTClassifier,
-    RandomForestClassificationModel,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.numbers import round_exact
+from tidewatch.operators import boosting
+from tidewatch.operators.boosting import BoostedModel
 from tidewatch.operators.split import class_weights
 from tidewatch.schema import KEY, LABEL
-from tidewatch.session import work_path
 from tidewatch.settings import BoostParams, ForestParams
 
 MODELS = ["random_forest", "boosted_trees"]
@@ -51,71 +47,22 @@ def fit_forest(train: DataFrame, params: ForestParams = ForestParams()) -> Rando
     return forest.fit(spread(weighted(train, train, "balanced"), params.partitions))
 
 
-def best_round(losses: list[float], patience: int) -> int | None:
-    """Rounds to keep: up to the lowest loss once ``patience`` rounds bring no better one.
-
-    None when the series ends before that.
-    """
-    best = 0
-    for i, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = i
-        if i - best >= patience:
-            return best + 1
-    return None
-
-
-def fit_boosted(
-    train: DataFrame, validation: DataFrame, params: BoostParams = BoostParams()
-) -> GBTClassificationModel:
-    """Boosted trees that stop after ``patience`` rounds without better validation log-loss.
-
-    Boosting is sequential and seeded, so the model that is kept consists of the first trees of a longer
-    run: a short run of ``5 * patience`` rounds, or, if the rule is not met within it, one of all rounds.
-    Differences from other boosting libraries: no L2 term, and columns are sampled per node instead of per
-    tree.
-    """
-    weighted_train = spread(weighted(train, train, "positive_weight"), params.partitions)
-    plain_validation = validation.withColumn("weight", F.lit(1.0))
-    for rounds in sorted({min(params.rounds, 5 * params.patience), params.rounds}):
-        model = GBTClassifier(
-            featuresCol="features", labelCol=LABEL, weightCol="weight", maxIter=rounds,
-            maxDepth=params.depth, stepSize=params.rate, subsamplingRate=params.row_sample,
-            featureSubsetStrategy=str(params.column_sample), seed=params.seed,
-        ).fit(weighted_train)
-        losses = model.evaluateEachIteration(plain_validation)
-        keep = best_round(losses, params.patience)
-        if keep is not None:
-            return first_trees(model, keep)
-    return first_trees(model, losses.index(min(losses)) + 1)
-
-
-def first_trees(model: GBTClassificationModel, keep: int) -> GBTClassificationModel:
-    """The model made of the first ``keep`` trees."""
-    if keep >= model.getNumTrees:
-        return model
-    spark = SparkSession.active()
-    path = work_path(spark, "all_trees")
-    save(model, path)
-    kept = work_path(spark, "first_trees")
-    for part in ("data", "treesMetadata"):
-        rows = spark.read.parquet(f"{path}/{part}")  # the tree's number comes first
-        rows.filter(F.col(rows.columns[0]) < keep).write.parquet(f"{kept}/{part}")
-    lines = spark.read.text(f"{path}/metadata").withColumn(
-        "value", F.regexp_replace("value", r'"numTrees":\d+', f'"numTrees":{keep}'))
-    lines.coalesce(1).write.text(f"{kept}/metadata")
-    return load("boosted_trees", kept)
+def fit_boosted(train: DataFrame, validation: DataFrame, params: BoostParams = BoostParams()) -> BoostedModel:
+    """Boosted trees that stop after ``patience`` rounds without better validation log-loss (see ``boosting``)."""
+    return boosting.fit(weighted(train, train, "positive_weight"), validation, params)
 
 
 _CLASSES = {
     "preparation": PipelineModel,
     "random_forest": RandomForestClassificationModel,
-    "boosted_trees": GBTClassificationModel,
+    "boosted_trees": BoostedModel,
 }
 
 
 def save(model, path: str) -> str:
     """Persist a fitted preparation or ensemble."""
+    if isinstance(model, BoostedModel):
+        return model.save(path)
     model.write().overwrite().save(path)
     return path
 

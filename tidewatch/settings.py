@@ -32,10 +32,16 @@ class BoostParams:
     depth: int = 6
     rate: float = 0.1
     row_sample: float = 0.8
+    # Columns drawn for each tree.
     column_sample: float = 0.8
     patience: int = 20
     seed: int = 42
-    partitions: int = 16
+    l2: float = 1.0
+    # Least sum of Hessians in a child.
+    least_hessian: float = 1.0
+    # Bins of a column, and trees after which margins are stored.
+    bins: int = 128
+    refresh: int = 10
 
 
 @dataclass(frozen=True)
@@ -62,7 +68,9 @@ class GenerationParams:
 
 @dataclass(frozen=True)
 class AttributionParams:
-    # Memory of the outcome tables a worker holds at once; larger models are worked through in groups of trees.
-    table_bytes: int = 1 << 30
-    # Rows explained at once.
-    chunk: int = 1000
+    # Memory of the paths a worker keeps between batches; those of further trees are made anew.
+    path_bytes: int = 256 << 20
+    # Rows x leaves x path features worked on at once.
+    cells: int = 2_000_000
+    # Nodes of all trees that may be broadcast.
+    most_nodes: int = 5_000_000
