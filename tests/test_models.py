@@ -61,12 +61,8 @@ def test_contributions_add_up_to_the_log_odds(fitted):
     assert gap < 1e-6
 
 
-def test_stopping_rule():
-    assert models.best_round([3.0, 2.0, 1.0, 1.5, 1.2], 2) == 3
-    assert models.best_round([3.0, 2.0, 1.0, 1.5], 2) is None
-
-
-def random_tree(rng, depth, n_features):
+def random_tree(rng, depth, n_features, categories=0):
+    """Feature 0 is categorical if there are categories."""
     rows, next_id = [], [1]
 
     def grow(node, level, count):
@@ -76,7 +72,12 @@ def random_tree(rng, depth, n_features):
         left, right = next_id[0], next_id[0] + 1
         next_id[0] += 2
         n_left = int(rng.integers(1, count))
-        rows.append((node, 0.0, count, left, right, int(rng.integers(n_features)), [float(rng.normal())], -1))
+        feature = int(rng.integers(n_features))
+        if categories and feature == 0:
+            chosen = rng.choice(categories, int(rng.integers(1, categories)), replace=False).astype(float).tolist()
+            rows.append((node, 0.0, count, left, right, feature, chosen, categories))
+        else:
+            rows.append((node, 0.0, count, left, right, feature, [float(rng.normal())], -1))
         grow(left, level + 1, n_left)
         grow(right, level + 1, count - n_left)
 
@@ -89,20 +90,24 @@ def expectation(nodes, x, known, node=0):
     if n.leftChild < 0:
         return n.prediction
     if n.feature in known:
-        return expectation(nodes, x, known, n.leftChild if x[n.feature] <= n.left[0] else n.rightChild)
+        goes_left = x[n.feature] <= n.left[0] if n.categories == -1 else x[n.feature] in n.left
+        return expectation(nodes, x, known, n.leftChild if goes_left else n.rightChild)
     share = nodes[n.leftChild].rawCount / n.rawCount
     return share * expectation(nodes, x, known, n.leftChild) + (1 - share) * expectation(nodes, x, known, n.rightChild)
 
 
-def test_attributions_equal_brute_force_shapley_values():
-    rng = np.random.default_rng(5)
-    n_features = 4
-    for _ in range(12):
-        frame = random_tree(rng, 4, n_features)
+@pytest.mark.parametrize("depth, categories", [(4, 0), (5, 5), (12, 3)])
+def test_attributions_equal_brute_force_shapley_values(depth, categories):
+    rng = np.random.default_rng(5 + depth)
+    n_features = 5
+    for _ in range(8):
+        frame = random_tree(rng, depth, n_features, categories)
         nodes = {r.id: r for r in frame.itertuples(index=False)}
         tree = A.tree_paths(frame, 1.0)
         x = rng.normal(size=(5, n_features))
-        got = A.contributions([tree], [A.outcome_table(tree)], x)
+        if categories:
+            x[:, 0] = rng.integers(0, categories, 5)
+        got = A.contributions(tree, x, cells=int(rng.integers(1, 5000)))
         for row, phi in zip(x, got):
             for i in range(n_features):
                 others = [j for j in range(n_features) if j != i]
@@ -114,6 +119,30 @@ def test_attributions_equal_brute_force_shapley_values():
             assert phi.sum() + A.expected_value([tree]) == pytest.approx(expectation(nodes, row, set(range(n_features))), abs=1e-12)
 
 
+def test_a_path_of_twenty_features():
+    """A chain twenty splits deep, each on a feature of its own: contributions add up to the prediction."""
+    rng = np.random.default_rng(1)
+    rows, count = [], 2**20
+    for level in range(20):
+        rows.append((2 * level, 0.0, count, 2 * level + 1, 2 * level + 2, level, [0.0], -1))
+        rows.append((2 * level + 1, rng.normal(), count // 2, -1, -1, -1, [], -1))
+        count -= count // 2
+    rows.append((40, 1.0, count, -1, -1, -1, [], -1))
+    frame = pd.DataFrame(rows, columns=["id", "prediction", "rawCount", "leftChild", "rightChild", "feature", "left", "categories"])
+    nodes = {r.id: r for r in frame.itertuples(index=False)}
+    tree, x = A.tree_paths(frame, 1.0), np.abs(rng.normal(size=(4, 20)))
+    x[0, 7] = -1.0
+    for row, phi in zip(x, A.contributions(tree, x)):
+        assert phi.sum() + A.expected_value([tree]) == pytest.approx(expectation(nodes, row, set(range(20))), abs=1e-10)
+
+
+def test_forest_contributions_add_up_to_its_probability(fitted):
+    model, table, path = fitted
+    scored = model["random_forest"].transform(A.tree_attributions(table, path["random_forest"]))
+    total = F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x) + F.col("base")
+    assert scored.agg(F.max(F.abs(total - vector_to_array("probability")[1]))).first()[0] < 1e-9
+
+
 def test_seeded_trees_do_not_depend_on_files_or_partitions(fitted):
     _, table, _ = fitted
     train = table.filter("customer_id < 400").select("customer_id", "Churned", "features")
@@ -124,19 +153,15 @@ def test_seeded_trees_do_not_depend_on_files_or_partitions(fitted):
     assert len(shapes) == 1
 
 
-def test_first_trees_of_a_longer_run_are_the_shorter_run(fitted):
-    _, table, _ = fitted
-    train = table.filter("customer_id < 400")
-    long, short = (models.fit_boosted(train, train, BoostParams(rounds=n, depth=3, patience=99)) for n in (6, 3))
-    kept = models.first_trees(long, 3)
-    assert kept.getNumTrees == 3 and kept.treeWeights == short.treeWeights
-    assert [t.toDebugString.split("\n", 1)[1] for t in kept.trees] == [t.toDebugString.split("\n", 1)[1] for t in short.trees]
-    assert kept.featureImportances.size == long.featureImportances.size
-
-
-def test_groups_of_trees_add_up(fitted):
+def test_paths_that_are_not_kept_give_the_same(fitted):
     _, table, path = fitted
     whole, parts = (
-        A.tree_attributions(table, path["boosted_trees"], AttributionParams(table_bytes=n)).select("customer_id", "contributions").collect()
-        for n in (1 << 30, 1))
+        A.tree_attributions(table, path["boosted_trees"], AttributionParams(path_bytes=n, cells=c)).select("customer_id", "contributions").collect()
+        for n, c in ((1 << 30, 2_000_000), (0, 50)))
     assert all(np.allclose(a.contributions, b.contributions) for a, b in zip(sorted(whole), sorted(parts)))
+
+
+def test_too_many_nodes_are_not_broadcast(fitted):
+    _, table, path = fitted
+    with pytest.raises(ValueError, match="too many to broadcast"):
+        A.tree_attributions(table, path["boosted_trees"], AttributionParams(most_nodes=3))

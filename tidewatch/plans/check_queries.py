@@ -186,6 +186,33 @@ def attribution_checks(spark, folder):
         F.count_if(F.abs(total - odds) > 1e-6).alias("not_additive"))
 
 
+@query("forest_attribution_checks", f"SELECT {_N_TEST} AS n, CAST(0 AS BIGINT) AS bad_width, CAST(0 AS BIGINT) AS not_additive")
+def forest_attribution_checks(spark, folder):
+    """The forest's contributions and base add up to its churn probability for every test customer."""
+    width = len(model_queries.names(spark, folder))
+    df = model_queries.attributed_test(spark, folder, "random_forest")
+    total = F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x) + F.col("base")
+    return df.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.size("contributions") != width).alias("bad_width"),
+        F.count_if(F.abs(total - F.col("y_proba")) > 1e-6).alias("not_additive"))
+
+
+@query("saved_ensembles", f"""
+SELECT unnest(['random_forest', 'boosted_trees']) AS model, {_N_TEST} AS n, CAST(0 AS BIGINT) AS differing
+""")
+def saved_ensembles(spark, folder):
+    """Test scores of both ensembles before and after they are saved and loaded again."""
+    test = model_queries.prepared(spark, folder).filter(F.col("split") == "test").select(KEY, "features")
+    tables = []
+    for kind in models.MODELS:
+        model = model_queries.fitted(spark, folder, kind)[1]
+        again = models.load(kind, models.save(model, work_path(spark, "saved")))
+        a, b = (models.score_customers(test, m).select(KEY, F.col("y_proba").alias(n)) for m, n in ((model, "a"), (again, "b")))
+        tables.append(a.join(b, KEY).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") != F.col("b")).alias("differing")).select(
+            F.lit(kind).alias("model"), "n", "differing"))
+    return tables[0].unionByName(tables[1])
+
+
 @query("enriched_checks", f"""
 SELECT customer_id, "Churned" AS y_true, true AS decided, true AS tiered, CAST(5 AS INTEGER) AS n_reasons FROM x_split WHERE split = 'test'
 """)

@@ -97,9 +97,9 @@ def feature_importance_top10(spark, folder):
     return models.feature_importances(spark, model, names(spark, folder))
 
 
-def attributed_test(spark, folder):
-    """Test customers with scores and contributions of the boosted model."""
-    path, model = fitted(spark, folder, "boosted_trees")
+def attributed_test(spark, folder, kind: str = "boosted_trees"):
+    """Test customers with scores and contributions of a model."""
+    path, model = fitted(spark, folder, kind)
     test = models.score_customers(prepared(spark, folder).filter(F.col("split") == "test"), model)
     return attribution.tree_attributions(test, path)
 
