@@ -1,7 +1,10 @@
 """Reply texts of every kind, resuming, generation."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from tidewatch.functions.replies import ERROR_MARK, FALLBACK_ADVICE, acceptable
 from tidewatch.operators.generate import generate_replies, requests
@@ -170,3 +173,59 @@ def test_two_streams_share_a_sink(spark):
             run_stream(spark, source, everything.schema, sink, f"{sink}_progress_{name}", PanelEcho, files_per_batch=1)
     got = read_answers(spark, sink)
     assert got.count() == 20 and got.select("customer_id", "model").distinct().count() == 20
+
+
+class Reads(StreamingQueryListener):
+    """Rows read from each source, one entry for each micro-batch."""
+
+    def __init__(self):
+        self.rows = []
+
+    def onQueryStarted(self, event):  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event):  # noqa: N802
+        self.rows.append((event.progress.batchId, [s.numInputRows for s in event.progress.sources]))
+
+    def onQueryIdle(self, event):  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event):  # noqa: N802
+        pass
+
+
+def test_a_micro_batch_does_not_read_the_sink(spark):
+    """Fifty micro-batches beside earlier answers: those are read once, then only each batch's own prompts."""
+    everything = prompts(spark, 120)
+    sink, source, progress = (work_path(spark, n) for n in ("answers", "arrivals", "progress"))
+    params = GenerationParams(models=("qwen",))
+    run_batch(everything.filter("customer_id < 30"), sink, PanelEcho, params)
+    everything.filter("customer_id >= 20").repartitionByRange(50, "customer_id").write.parquet(source)
+    reads = Reads()
+    spark.streams.addListener(reads)
+    try:
+        got = run_stream(spark, source, everything.schema, sink, progress, PanelEcho, params, files_per_batch=1)
+        for _ in range(50):
+            if len(reads.rows) >= 50:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(reads)
+    assert got.count() == 120 and got.select("customer_id").distinct().count() == 120
+    rows = [r for b, r in sorted(reads.rows) if sum(r)]
+    assert len(rows) == 50 and sum(a for a, _ in rows) == 100
+    assert rows[0][1] == 30 and all(b == 0 for _, b in rows[1:]) and max(a for a, _ in rows) <= 3
+
+
+def test_a_stream_goes_on_after_a_breakdown(spark):
+    everything = prompts(spark, 12)
+    sink, source, progress = (work_path(spark, n) for n in ("answers", "arrivals", "progress"))
+    everything.repartitionByRange(4, "customer_id").write.parquet(source)
+    params = GenerationParams(models=("qwen",), on_error="raise")
+    with pytest.raises(Exception, match="server is gone"):
+        run_stream(spark, source, everything.schema, sink, progress, BreaksDown, params, files_per_batch=1)
+    # Two customers are answered by somebody else before the stream goes on; one file is a repeated request.
+    run_batch(everything.filter("customer_id >= 10"), sink, PanelEcho, params)
+    everything.filter("customer_id < 3").write.mode("append").parquet(source)
+    got = run_stream(spark, source, everything.schema, sink, progress, PanelEcho, params, files_per_batch=1)
+    assert got.count() == 12 and got.select("customer_id").distinct().count() == 12

@@ -57,6 +57,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    """Create a folder where there is none, in whatever file system the path names."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop_path)
+
+
 def input_state(spark: SparkSession, folder: str) -> str:
     """A digest of the files below a folder: their paths, sizes and times."""
     root = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -1,25 +1,32 @@
 """Answering prompts bit by bit, and going on after an interruption.
 
 Replies are kept long, keyed by (customer, model), in folders ``bucket=…/batch=…``: the bucket is a hash
-of the customer, the batch names the run that wrote it. A run asks only for keys without an answer and
-looks for them in the buckets it touches; nothing already answered is rewritten. A batch run goes
-bucket by bucket and commits each one when it is finished, so an interruption loses one bucket's work.
+of the customer, the batch names the run that wrote it. A run asks only for keys without an answer; nothing already
+answered is rewritten. A batch run reads and stores its requests once, by bucket, then goes bucket by bucket and
+commits each one when it is finished, so an interruption loses one bucket's work.
+
+A stream keeps the keys that have been asked in its state store. Answers of other runs reach that state through a second
+source, the answer files themselves, of which each is read once: a micro-batch reads new prompts and the keys of new
+answer files, never the whole sink. With many keys, give the session the RocksDB state store.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidewatch.functions.clients import ClientFactory
 from tidewatch.operators.generate import generate_replies, requests
 from tidewatch.operators.replies import apply_fallback, not_yet_answered, parse_replies
 from tidewatch.schema import KEY
-from tidewatch.session import path_exists
+from tidewatch.session import drop_table, make_folder, path_exists, work_path
 from tidewatch.settings import GenerationParams
 
 ANSWER_SCHEMA = (
@@ -40,15 +47,13 @@ def read_answers(spark: SparkSession, sink: str) -> DataFrame:
     return spark.read.schema(schema).parquet(sink)
 
 
-def answer_missing(
-    wanted: DataFrame, earlier: DataFrame, sink: str, batch: str, client_factory: ClientFactory,
-    params: GenerationParams = GenerationParams(),
+def store_answers(
+    todo: DataFrame, sink: str, batch: str, client_factory: ClientFactory, params: GenerationParams = GenerationParams()
 ) -> None:
-    """Answer the requests that ``earlier`` holds no answer to and store them under the batch's name.
+    """Answer the requests and store them under the batch's name.
 
     Only the folders of this batch are replaced, so a repeated batch overwrites itself.
     """
-    todo = not_yet_answered(wanted, earlier, [KEY, "model"])
     answers = apply_fallback(parse_replies(generate_replies(todo, client_factory, params))).select(*_COLUMNS)
     (
         answers.withColumns({"bucket": bucket_of(params.buckets), "batch": F.lit(batch)})
@@ -57,21 +62,62 @@ def answer_missing(
     )
 
 
+def answer_missing(
+    wanted: DataFrame, earlier: DataFrame, sink: str, batch: str, client_factory: ClientFactory,
+    params: GenerationParams = GenerationParams(),
+) -> None:
+    """Answer and store the requests that ``earlier`` holds no answer to."""
+    store_answers(not_yet_answered(wanted, earlier, [KEY, "model"]), sink, batch, client_factory, params)
+
+
 def run_batch(
     prompts: DataFrame, sink: str, client_factory: ClientFactory,
     params: GenerationParams = GenerationParams(),
 ) -> DataFrame:
     """One batch run over stored prompts; call it again to go on after a failure.
 
-    ``limit`` counts customers once for the run. Buckets are answered and committed one by one.
+    ``limit`` counts customers once for the run. The prompts are read once and stored by bucket; buckets are answered
+    and committed one by one, each against the sink's own folder of that bucket.
     """
+    spark = prompts.sparkSession
     batch = f"run-{uuid.uuid4().hex}"
-    wanted = requests(prompts, params).withColumn("_bucket", bucket_of(params.buckets))
-    for bucket in range(params.buckets):
-        earlier = read_answers(prompts.sparkSession, sink).filter(F.col("bucket") == bucket)
-        part = wanted.filter(F.col("_bucket") == bucket).drop("_bucket")
-        answer_missing(part, earlier, sink, batch, client_factory, params)
-    return read_answers(prompts.sparkSession, sink)
+    stored = work_path(spark, "requests")
+    wanted = requests(prompts, params)
+    spread = wanted.withColumn("_bucket", bucket_of(params.buckets)).repartition(params.buckets * 4, "_bucket", KEY)
+    spread.write.partitionBy("_bucket").parquet(stored)
+    kept = StructType([*wanted.schema.fields, StructField("_bucket", IntegerType())])
+    try:
+        for bucket in range(params.buckets):
+            earlier = read_answers(spark, sink).filter(F.col("bucket") == bucket)
+            part = spark.read.schema(kept).parquet(stored).filter(F.col("_bucket") == bucket).drop("_bucket")
+            answer_missing(part, earlier, sink, batch, client_factory, params)
+    finally:
+        drop_table(spark, stored)
+    return read_answers(spark, sink)
+
+
+def first_requests(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The first request of a key that has neither been asked nor answered; the state remembers that it has been."""
+    chosen, answered = None, False
+    for frame in frames:
+        answered = answered or bool(frame["_answered"].any())
+        if chosen is None and len(frame):
+            chosen = frame.iloc[:1]
+    if state.exists:
+        return
+    state.update((True,))
+    if not answered and chosen is not None:
+        yield chosen.drop(columns="_answered")
+
+
+def unasked(wanted: DataFrame, answered: DataFrame) -> DataFrame:
+    """Of a stream of requests, those whose key is new to the stream and to the stream of answered keys."""
+    by = [KEY, "model"]
+    both = wanted.withColumn("_answered", F.lit(False)).unionByName(
+        # Not null like the models asked for: the state's key schema must not depend on whether there are answers.
+        answered.select(KEY, F.coalesce("model", F.lit("")).alias("model"), F.lit(True).alias("_answered")), allowMissingColumns=True)
+    return both.groupBy(*by).applyInPandasWithState(
+        first_requests, wanted.schema, "asked boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_stream(
@@ -92,15 +138,22 @@ def run_stream(
         spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(prompt_path)
     )
 
+    make_folder(spark, sink)
+    # Files that a repeated micro-batch replaces may be gone when they are listed; their keys are in the state already.
+    answers = spark.readStream.schema(ANSWER_SCHEMA).option("ignoreMissingFiles", "true").parquet(sink)
+
+    started_with: list[int] = []
+
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         own = f"stream-{stream}-{batch_id}"
-        wanted = requests(batch, params)
-        touched = [r[0] for r in batch.select(bucket_of(params.buckets)).distinct().collect()]  # at most `buckets`
-        earlier = read_answers(spark, sink).filter(F.col("bucket").isin(touched) & (F.col("batch") != own))
-        answer_missing(wanted, earlier, sink, own, client_factory, params)
+        if not started_with:
+            # The first batch may be one that broke down and was planned before others answered: it alone looks at the sink.
+            started_with.append(batch_id)
+            batch = not_yet_answered(batch, read_answers(spark, sink).filter(F.col("batch") != own), [KEY, "model"])
+        store_answers(batch, sink, own, client_factory, params)
 
     started = (
-        source.writeStream.foreachBatch(on_batch)
+        unasked(requests(source, params), answers).writeStream.foreachBatch(on_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
