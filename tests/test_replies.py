@@ -229,3 +229,19 @@ def test_a_stream_goes_on_after_a_breakdown(spark):
     everything.filter("customer_id < 3").write.mode("append").parquet(source)
     got = run_stream(spark, source, everything.schema, sink, progress, PanelEcho, params, files_per_batch=1)
     assert got.count() == 12 and got.select("customer_id").distinct().count() == 12
+
+
+def test_reply_metrics_compile(spark):
+    """Without the fallback to interpreted code, generated code that does not compile is an error."""
+    from tidewatch.operators.metrics import reply_metrics
+
+    df = spark.createDataFrame(
+        [("m", 1, "churn", "fine", 2.675), ("m", 0, " Churn ", "[parse_error] x", 0.0), ("m", 0, "retain", None, 1.0), ("n", 1, None, "x", 1.0)],
+        "model string, y_true int, decision string, explanation string, time_sec double")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        rows = [r.asDict() for r in reply_metrics(df).collect()]
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    assert rows == [{"model": "m", "n_evaluated": 3, "accuracy": 0.6667, "precision": 0.5, "recall": 1.0, "f1": 0.6667, "roc_auc": 0.75,
+                     "avg_time_sec": 1.22, "parse_failure_rate": 0.3333}]

@@ -151,26 +151,28 @@ def valid_reply(decision: Column) -> Column:
     return decision.isNotNull() & ~decision.startswith("[parse_error]")
 
 
+def _rounded(value: Column, digits: int) -> Column:
+    """``round_exact`` of a value that is bound once: the rule names it dozens of times, too often for generated code."""
+    return F.transform(F.array(value), lambda x: round_exact(x, digits))[0]
+
+
 def reply_metrics(replies: DataFrame) -> DataFrame:
     """Metrics per reply model over valid replies; mean seconds over all rows.
 
     A model without a valid reply gets no row. ``parse_failure_rate`` shows the share of rows
     that carry a fallback: those count as evaluated because their decision is filled in.
     """
-    seconds = replies.groupBy("model").agg(
-        round_exact(F.avg("time_sec"), 2).alias("avg_time_sec"),
-        round_exact(
-            F.avg(F.coalesce(F.col("explanation").startswith("[parse_error]"), F.lit(False)).cast("int")), 4
-        ).alias("parse_failure_rate"),
-    )
+    failed = F.coalesce(F.col("explanation").startswith("[parse_error]"), F.lit(False)).cast("int")
+    seconds = replies.groupBy("model").agg(F.avg("time_sec").alias("time"), F.avg(failed).alias("failed")).select(
+        "model", _rounded(F.col("time"), 2).alias("avg_time_sec"), _rounded(F.col("failed"), 4).alias("parse_failure_rate"))
     pairs = replies.filter(valid_reply(F.col("decision"))).select(
         "model", F.col("y_true").cast("int").alias("y_true"), reply_label(F.col("decision")).alias("y_pred")
     )
     counts = confusion_counts(pairs, ["model"])
+    names = {"accuracy": "accuracy", "precision": "precision", "recall": "recall", "f1": "f1", "hard_auc": "roc_auc"}
     metrics = from_counts(counts).select(
         "model",
         (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n_evaluated"),
-        *[round_exact(F.col(c), 4).alias(c) for c in ("accuracy", "precision", "recall", "f1")],
-        round_exact(F.col("hard_auc"), 4).alias("roc_auc"),
+        *[_rounded(F.col(c), 4).alias(out) for c, out in names.items()],
     )
     return metrics.join(seconds, "model")
