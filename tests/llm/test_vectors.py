@@ -127,3 +127,21 @@ def test_awkward_search(spark):
     assert {r.query_id for r in rows} == {20}
     assert [r.vec_id for r in sorted(rows, key=lambda r: r["rank"])] == [11, 9, 12, 7, 8, 9, 10, None]
     assert neighbours.nearest(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_neighbours_settle_ties_by_id(spark):
+    """Two hundred copies of each of three vectors, dealt over shards: equal scores must go to the smallest ids."""
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((3, 64)).astype("float32")
+    x = np.concatenate([np.repeat(base, 200, axis=0), rng.standard_normal((200, 64)).astype("float32")])
+    ids = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist(), 1) for i, v in zip(ids, x)], SCHEMA)
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 5 == 0, k=20, shard_rows=150).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    d = x.astype("float64")
+    by_id = np.argsort(ids)
+    for q in range(0, len(x), 5):
+        scores = np.cumsum(d[by_id] * d[by_id[q]], axis=1)[:, -1]
+        order = [i for i in np.lexsort((np.arange(len(x)), -scores)) if i != q][:20]
+        assert [(i, s) for _, i, s in sorted(got[q])] == [(i, scores[i]) for i in order]

@@ -35,6 +35,16 @@ FACTOR = 1.0
 LAST = np.iinfo("int64").max
 
 
+#: Far above the rounding error of an inner product, relative to the squared lengths.
+ROUNDING = 1e-12
+
+
+def ordered_products(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of rows ``i`` of ``q`` and ``j`` of ``x``, summed from the first component to the last."""
+    parts = [np.cumsum(q[i[a : a + 4096]] * x[j[a : a + 4096]], axis=1)[:, -1] for a in range(0, len(i), 4096)]
+    return np.concatenate([np.zeros(0), *parts])
+
+
 class Tree:
     """A vantage-point tree over one shard; nodes are ranges of a reordered matrix."""
 
@@ -71,18 +81,26 @@ class Tree:
         def reach(who: np.ndarray) -> np.ndarray:
             worst = score[who, -1]
             found = np.isfinite(worst)
-            return np.where(found, np.sqrt(np.maximum(0.0, square[who] + self.most - 2 * np.where(found, worst, 0.0))) * factor, np.inf)
+            whole = square[who] + self.most
+            # The difference may cancel: a little more than its rounding error is added before the root is taken.
+            rest = np.maximum(0.0, whole - 2 * np.where(found, worst, 0.0)) + ROUNDING * whole
+            return np.where(found, np.sqrt(rest) * factor, np.inf)
 
         def visit(at: int, who: np.ndarray) -> None:
             if not len(who):
                 return
             a, b, point, radius, inner, outer = self.nodes[at]
             if point < 0:
-                new = q[who] @ self.x[a:b].T
-                new[own[who][:, None] == self.row[None, a:b]] = -np.inf
-                better = (new >= score[who, -1][:, None]).any(axis=1)
-                who, new = who[better], new[better]
+                # The product only tells which scores may count: its last bits differ between equal vectors.
+                rough = q[who] @ self.x[a:b].T
+                rough[own[who][:, None] == self.row[None, a:b]] = -np.inf
+                enough = rough >= (score[who, -1] - ROUNDING * (square[who] + self.most))[:, None]
+                better = enough.any(axis=1) & np.isfinite(rough).any(axis=1)
+                who, enough = who[better], (enough & np.isfinite(rough))[better]
                 if len(who):
+                    new = np.full(enough.shape, -np.inf)
+                    i, j = np.nonzero(enough)
+                    new[i, j] = ordered_products(q, self.x, who[i], a + j)
                     both = np.concatenate([score[who], new], axis=1)
                     where = np.concatenate([place[who], np.broadcast_to(np.arange(a, b), new.shape)], axis=1)
                     names = np.where(where < 0, LAST, self.name[where])
@@ -139,15 +157,10 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, factor: float = FAC
         r = group.iloc[0]
         tree = Tree(*read(r, ""), most)
         q, own, name = read(r, "q_")
-        _, place = tree.search(q, own, k, factor)
+        score, place = tree.search(q, own, k, factor)
         at, _ = np.nonzero(place >= 0)
-        found = place[place >= 0]
-        # Scores as sums from the first component to the last, so that they do not depend on the matrix product.
-        exact = [
-            np.cumsum(q[at[a : a + 4096]] * tree.x[found[a : a + 4096]], axis=1)[:, -1] for a in range(0, len(at), 4096)]
         return pd.DataFrame({
-            "own": own[at], "query_id": name[at], "vec_id": tree.name[found],
-            "score": np.concatenate([np.zeros(0), *exact])})
+            "own": own[at], "query_id": name[at], "vec_id": tree.name[place[place >= 0]], "score": score[place >= 0]})
 
     index = materialise(pack(rows, shards), "shards")
     questions = pack(asked, blocks).select(
