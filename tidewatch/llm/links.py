@@ -20,7 +20,7 @@ from tidewatch.session import drop_table, store
 BLOCK_ROWS = 512
 
 
-def block_pairs(members: DataFrame, keys: list[str], node: str, block_rows: int = BLOCK_ROWS, sorted_join: bool = False) -> DataFrame:
+def block_pairs(members: DataFrame, keys: list[str], node: str, block_rows: int = BLOCK_ROWS, *, sorted_join: bool = False) -> DataFrame:
     """Members of buckets with two rows or more, once for each pair of blocks they take part in.
 
     Adds ``__tw_i``, ``__tw_j`` (the pair, i <= j) and ``__tw_b`` (the row's own block). Sizes are
