@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tests.llm import cases
 from tidewatch.llm import bpe, line_dedup, mixing, pii, sharding, simhash
 from tidewatch.llm.queries import vocabulary_path
-from tidewatch.llm.rows import possibly_in
+from tidewatch.llm.rows import possibly_in, spread_repeats
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -58,9 +58,9 @@ def test_settle_keeps_mass_and_expectation():
     p, mass = rng.random(12), rng.integers(1, 50, 12).astype(float)
     total = np.zeros(12)
     for _ in range(4000):
-        out, at = mixing.settle(p, mass, rng.random(12))
+        out, at = mixing.settle(p, np.sort(mass)[::-1], rng.random(12))
         assert sum(0 < x < 1 for x in out) <= 1 and (at < 0 or 0 < out[at] < 1)
-        assert out @ mass == pytest.approx(p @ mass)
+        assert out @ np.sort(mass)[::-1] == pytest.approx(p @ np.sort(mass)[::-1])
         total += out
     assert np.abs(total / 4000 - p).max() < 0.05
 
@@ -78,6 +78,38 @@ def test_mixing_reaches_targets_whatever_the_partitions(spark, documents):
         assert abs(sum(r.taken for r in rs) - rs[0].target) <= max(r["size"] for r in rs)
 
 
+def test_settle_misses_by_the_smallest_where_mass_allows():
+    """One text of 5,000 words among small ones is settled by the many, whichever way it goes."""
+    rng = np.random.default_rng(2)
+    mass = np.array([5000.0, 900.0, 400.0, *sorted(rng.integers(5, 120, 300), reverse=True)])
+    last, taken = Counter(), 0
+    for _ in range(500):
+        out, at = mixing.settle(np.full(len(mass), 0.4), mass, rng.random(len(mass)))
+        last[at] += 1
+        taken += out[0]
+    assert min(at for at in last if at >= 0) > 200 and abs(taken / 500 - 0.4) < 0.07
+
+
+def test_mixing_misses_no_target_by_much(spark):
+    """About 50 documents a source, the largest a third of the source's words."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source", mixing.word_count().alias("size"))
+    by = defaultdict(list)
+    for r in mixing.plan(rows).collect():
+        by[r.source].append(r)
+    for rs in by.values():
+        miss = abs(sum(r.taken for r in rs) - rs[0].target)
+        assert miss <= 0.01 * rs[0].target
+
+
+def test_repeats_with_one_key_are_spread(spark):
+    df = spark.range(1000).selectExpr("IF(id < 700, 5, id) k", "id % 3 v")
+    out = spread_repeats(df, "k", 100).collect()
+    again = spread_repeats(df.repartition(7), "k", 100).collect()
+    assert len({r.k for r in out}) == 1000 and {r.k for r in out} == {r.k for r in again}
+    assert Counter(r.v for r in out) == Counter(r.v for r in df.collect())
+    assert sorted(spread_repeats(df, "k", 700).collect()) == sorted(df.collect())
+
+
 def test_mixing_levels(spark):
     rows = spark.range(3000).selectExpr("id doc_id", "IF(id % 3 = 0, 'b', 'a') source", "1 + id % 90 size")
     by = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("__tw_count"))

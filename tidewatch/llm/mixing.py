@@ -1,10 +1,13 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Every document has an expected number of copies, its source's target over its source's size. The whole
-part is taken at once; the fraction is settled by dependent rounding: two documents of a source with open
-fractions exchange mass (words) in a random direction until one of them is taken or left, the other stays
-open and meets the next. A document keeps its probability, and the mass taken stays the same in every
-exchange, so a source misses its target by less than its last open document.
+part is taken at once; the fraction is settled by dependent rounding: the largest document with an open
+fraction exchanges mass (words) in a random direction with a partner made of the next largest ones, as
+many as can settle it, whose fractions move together, each by its room, until one of them or the large one
+is taken or left.
+A document keeps its probability, and the mass taken stays the same in every exchange. Large documents
+settle first, so a source misses its target by less than its last open document, which is its smallest
+unless the open mass around a larger one is less than that one's own.
 
 The exchanges form a reduction tree. Documents of a source are dealt to buckets of about ``FAN`` rows by a
 seeded hash, each bucket settles all but one, the open ones of up to ``FAN`` buckets meet on the next
@@ -13,7 +16,10 @@ stored in the shared folder. Draws come from hashes of the seed, the level and t
 
 Nulls: a null text has size 0, a null source is a source of its own (the last), a null doc_id is hashed
 like any other value. A document of size 0 takes part by an own draw, for it has no mass to exchange.
-Repeated rows are separate documents. An empty table gives an empty result.
+Repeated rows are separate documents; many of them with one id and size are spread over buckets by a
+number of their own. Ties in size go by that hash. An empty table gives an empty result. Columns of the
+input that are called like a column of the result (``copies``, ``taken``, ...) are replaced by ``plan``;
+``mix`` returns the input's columns alone.
 """
 
 from __future__ import annotations
@@ -23,11 +29,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.rows import WORD, numbered, text_of
+from tidewatch.llm.rows import WORD, numbered, spread_repeats, text_of
 from tidewatch.session import materialise
 
 #: Rows of one bucket, and open rows that meet on the next level.
 FAN = 1024
+#: A fraction this close to 0 or 1 is settled; rounding of the steps is far below it.
+TINY = 1e-9
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
@@ -58,34 +66,32 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 
 
 def settle(open_p: np.ndarray, mass: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, int]:
-    """Settle all fractions but one. Returns the fractions, 0 or 1 where settled, and the open place or -1."""
-    p, a, u = open_p.tolist(), mass.tolist(), draws.tolist()
-    at = -1
-    for j in range(len(p)):
-        if not 0.0 < p[j] < 1.0:
-            continue
-        if at < 0:
-            at = j
-            continue
-        # Mass that can go from j to `at`, and from `at` to j; the odds keep both expectations.
-        room, stock = (1.0 - p[at]) * a[at], p[at] * a[at]
-        room_j, stock_j = (1.0 - p[j]) * a[j], p[j] * a[j]
-        into, out = min(room, stock_j), min(stock, room_j)
-        if u[j] * (into + out) < out:
-            if room <= stock_j:
-                p[at], p[j] = 1.0, p[j] - room / a[j]
-            else:
-                p[at], p[j] = p[at] + stock_j / a[at], 0.0
-        elif stock <= room_j:
-            p[at], p[j] = 0.0, p[j] + stock / a[j]
-        else:
-            p[at], p[j] = p[at] - room_j / a[at], 1.0
-        still = [k for k in (at, j) if 1e-12 < p[k] < 1.0 - 1e-12]
-        for k in (at, j):
-            if k not in still:
-                p[k] = float(p[k] > 0.5)
-        at = still[0] if still else -1
-    return np.array(p), at
+    """Settle all fractions but one, the rows sorted from the largest mass down.
+
+    Returns the fractions, 0 or 1 where settled, and the open place or -1. ``draws`` has one number per row;
+    an exchange settles at least one row, so they suffice.
+    """
+    p = open_p.astype("float64", copy=True)
+    open_rows = np.flatnonzero((p > 0.0) & (p < 1.0))
+    used = 0
+    while len(open_rows) > 1:
+        first, rest = open_rows[0], open_rows[1:]
+        # As many of the next largest as can take or give what settles the first one; all where none suffice.
+        held = np.cumsum(mass[rest] * np.minimum(p[rest], 1.0 - p[rest]))
+        rest = rest[: int(np.searchsorted(held, mass[first] * max(p[first], 1.0 - p[first]))) + 1]
+        # Their fractions move by their room, against the first one's: mass times change is what is exchanged.
+        room = np.minimum(p[rest], 1.0 - p[rest])
+        pace = room * (mass[first] / (mass[rest] @ room))
+        up = min(1.0 - p[first], float((p[rest] / pace).min()))
+        down = min(p[first], float(((1.0 - p[rest]) / pace).min()))
+        step = up if draws[used] * (up + down) < down else -down
+        used += 1
+        p[first] += step
+        p[rest] -= step * pace
+        near = open_rows[(p[open_rows] < TINY) | (p[open_rows] > 1.0 - TINY)]
+        p[near] = np.rint(p[near])
+        open_rows = open_rows[(p[open_rows] > 0.0) & (p[open_rows] < 1.0)]
+    return p, int(open_rows[0]) if len(open_rows) else -1
 
 
 def with_copies(rows: DataFrame, seed: int = 11, fan: int = FAN) -> DataFrame:
@@ -93,7 +99,7 @@ def with_copies(rows: DataFrame, seed: int = 11, fan: int = FAN) -> DataFrame:
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     identity = F.xxhash64(F.lit(seed), "doc_id", "size", "source")
     first = (
-        rows.withColumn("__tw_id", identity)
+        spread_repeats(rows.withColumn("__tw_id", identity), "__tw_id", fan)
         .withColumn("__tw_base", F.floor(ratio).cast("long"))
         .withColumn("__tw_p", ratio - F.floor(ratio))
         .withColumn("__tw_groups", F.ceil(F.col("__tw_count") / F.lit(fan)).cast("long"))
@@ -102,7 +108,6 @@ def with_copies(rows: DataFrame, seed: int = 11, fan: int = FAN) -> DataFrame:
 
     def level_of(level: int):
         def work(group: pd.DataFrame) -> pd.DataFrame:
-            # From the largest down: documents of like size settle each other, and the last one open is small.
             group = group.sort_values(
                 ["size", "__tw_id", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)
             rng = np.random.default_rng([seed, level, int(group["__tw_id"].iat[0]) & 0xFFFFFFFF, len(group)])

@@ -55,6 +55,27 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return materialise(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
+def spread_repeats(df: DataFrame, key: str, most: int) -> DataFrame:
+    """``df`` with the 64-bit ``key`` of rows made distinct where more than ``most`` rows share one.
+
+    Such rows are numbered: within each partition, then by the partitions' offsets. Rows of one key are
+    interchangeable, so the result is the same set of rows however they are partitioned. Other rows pass as
+    they are; without a hot key this costs one count per key.
+    """
+    hot = df.groupBy(key).agg(F.count(F.lit(1)).alias("__tw_n")).filter(F.col("__tw_n") > most).select(key)
+    hot = materialise(hot, "hot_keys")
+    if hot.isEmpty():
+        return df
+    stored = materialise(df.withColumn("__tw_part", F.spark_partition_id()), "with_parts")
+    often = stored.join(hot, key, "left_semi")
+    offsets = often.groupBy(key, "__tw_part").agg(F.count(F.lit(1)).alias("__tw_n")).selectExpr(
+        key, "__tw_part", f"sum(__tw_n) OVER (PARTITION BY {key} ORDER BY __tw_part) - __tw_n AS __tw_from")
+    numbers = often.selectExpr("*", f"row_number() OVER (PARTITION BY {key}, __tw_part ORDER BY {key}) AS __tw_n")
+    told = numbers.join(offsets, [key, "__tw_part"]).withColumn(
+        key, F.xxhash64(key, F.col("__tw_from") + F.col("__tw_n"))).select(*df.columns)
+    return stored.join(hot, key, "left_anti").select(*df.columns).unionByName(told)
+
+
 #: Bits of the map that ``possibly_in`` broadcasts: 16 MB, however many keys there are.
 MAP_BITS = 1 << 27
 
