@@ -156,6 +156,27 @@ def test_written_shards_keep_texts(spark):
     assert sharding.sharded(cases.none(spark)).count() == 0
 
 
+def test_files_of_shards_are_in_shuffled_order(spark, documents):
+    path = sharding.write_shards(documents, shards=5, bucket_bytes=40_000)
+    rows = spark.read.parquet(path).select("shard", "slot", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("n")).collect()
+    files = defaultdict(list)
+    for r in sorted(rows, key=lambda r: r.n):
+        files[r.shard, r.f].append(r.slot)
+    assert len(rows) == documents.count() and all(s == sorted(s) for s in files.values())
+    # The order of slots is a shuffled one, not that of the ids.
+    ids = [r.doc_id for r in spark.read.parquet(path).filter("shard = 0").orderBy("slot").collect()]
+    assert ids != sorted(ids)
+
+
+def test_shards_with_fewer_rows_than_shards_and_repeats(spark, monkeypatch):
+    few = spark.range(3).selectExpr("id doc_id", "'x' text")
+    assert sorted((r.shard, r.slot) for r in sharding.sharded(few, shards=7).collect()) == [(0, 0), (1, 0), (2, 0)]
+    monkeypatch.setattr(sharding, "REPEATS", 50)
+    same = spark.range(900).selectExpr("CAST(NULL AS LONG) doc_id", "'one text' text")
+    placed = sharding.shuffled(same, bucket_bytes=2400).select("__tw_place", F.spark_partition_id().alias("p")).collect()
+    assert sorted(r.__tw_place for r in placed) == list(range(900)) and len({r.p for r in placed}) > 1
+
+
 # Line dedup
 
 def plain_dedup(docs):
