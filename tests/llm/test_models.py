@@ -79,9 +79,65 @@ def test_grammar_weighs_clauses():
     assert total("they said he is a fool") == pytest.approx(2.8)
     assert total("loweischaft") == 3.0 and total("lowe foolish") == 0.0
     assert total("kill it") == 0.0 and total("i will kill you") == toxicity.THREAT_WEIGHT
+    assert total("you kill time") == total("i will not kill you") == toxicity.THREAT_WEIGHT / 2 == 2 * total("never kill you")
+    assert total("they will go. kill you") == total("you kill, kill") / 2 == toxicity.THREAT_WEIGHT / 2
     assert g.evidence(None) == (0.0, 0.0) and list(g.clauses("")) == []
 
 
+def chained(symbols, weights):
+    """The parts one after the other, each over the whole text, then clause by clause."""
+    states, put = {}, [*symbols, toxicity.STOP]
+    for name, part in toxicity.CASCADE.items():
+        put, states[name] = part.run(put)
+    insult = threats = 0.0
+    for at, symbol in enumerate(put):
+        if symbol == toxicity.STOP:
+            ends = toxicity.closing({n: s[at - 1] if at else 0 for n, s in states.items()})
+            if insult * ends[0] + threats * ends[1]:
+                yield insult * ends[0] + threats * ends[1]
+            insult = threats = 0.0
+            continue
+        factors = toxicity.FACTORS.get(toxicity.SYMBOLS[symbol], (0.0, 0.0))
+        insult, threats = insult + weights[at] * factors[0], threats + weights[at] * factors[1]
+
+
+def by_rule(symbols, weights):
+    """The rules of the docstring read word by word, without any table."""
+    ends = [i for i, s in enumerate([*symbols, toxicity.STOP]) if s == toxicity.STOP]
+    for begin, end in zip([0, *[e + 1 for e in ends]], ends):
+        clause = symbols[begin:end]
+        aimed, told = toxicity.TARGET in clause, toxicity.REPORT in clause
+        total = 0.0
+        for i, s in enumerate(clause):
+            near = toxicity.NEGATION in clause[max(0, i - toxicity.REACH) : i]
+            value = weights[begin + i] * (toxicity.NEGATED if near else 1.0)
+            if s == toxicity.INSULT:
+                total += value * (toxicity.AIMED if aimed else 1.0)
+            elif s == toxicity.THREAT and aimed:
+                total += value * (1.0 if toxicity.INTENT in clause[:i] else toxicity.BARE)
+        if total:
+            yield total * (toxicity.REPORTED if told else 1.0)
+
+
+def test_composed_transducers_equal_chained_ones_and_the_rules():
+    rng = random.Random(4)
+    for _ in range(3000):
+        n = rng.randint(0, 25)
+        symbols = [rng.choice(range(toxicity.READ)) if rng.random() < 0.8 else toxicity.NOTHING for _ in range(n)]
+        weights = [float(rng.randint(1, 9)) if s >= toxicity.THREAT else 0.0 for s in symbols]
+        got = list(toxicity.GRAMMAR.clauses(symbols, weights))
+        assert got == pytest.approx(list(chained(symbols, weights)))
+        assert got == pytest.approx(list(by_rule(symbols, weights)))
+
+
+def test_composition_reaches_every_state_it_needs():
+    sizes = [len(t.step) for t in toxicity.CASCADE.values()]
+    reached = toxicity.GRAMMAR.step
+    assert 1 < len(reached) <= np.prod(sizes)
+    assert all(0 <= cell[0] < len(reached) for row in reached for cell in row)
+    assert all(row[toxicity.STOP][0] == 0 for row in reached)
+
+
 def test_learned_insults_are_those_that_explain(spark):
     """Words that only share toxic texts with an insult do not become insults."""
     rng = random.Random(1)

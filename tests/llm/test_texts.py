@@ -174,7 +174,7 @@ def test_shards_with_fewer_rows_than_shards_and_repeats(spark, monkeypatch):
     monkeypatch.setattr(sharding, "REPEATS", 50)
     same = spark.range(900).selectExpr("CAST(NULL AS LONG) doc_id", "'one text' text")
     placed = sharding.shuffled(same, bucket_bytes=2400).select("__tw_place", F.spark_partition_id().alias("p")).collect()
-    assert sorted(r.__tw_place for r in placed) == list(range(900)) and len({r.p for r in placed}) > 1
+    assert sorted(r["__tw_place"] for r in placed) == list(range(900)) and len({r.p for r in placed}) > 1
 
 
 # Line dedup

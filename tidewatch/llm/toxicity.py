@@ -1,30 +1,41 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words are read in lower case and cut into clauses at sentence signs and line ends. A lexicon gives words their
-classes: insults and insult stems (a stem accepts every word that starts with it), threats, targets,
-negations and words of reporting. One transducer per class turns words into weighted events; composed, they
-score a clause as one automaton that reads its words from left to right:
-
-- an insult adds its weight; a negation at most ``REACH`` words before it turns it down by ``NEGATED``,
-- a threat adds its weight only in a clause that has a target,
-- a clause with an insult and a target counts ``AIMED`` times,
+Words are read in lower case and cut into clauses at sentence signs and line ends. A lexicon gives every word a
+symbol: insult (also by stems, which accept every word that starts with them), threat verb, intent, target,
+negation, reporting word, or nothing. Five transducers read symbols, each a table of states with an output
+symbol per transition:
+
+- ``negation`` turns insults and threat verbs at most ``REACH`` words after a negation into negated ones,
+- ``threat`` turns a threat verb into a threat: a stated one after an intent ("will ... kill"), else a bare one,
+- ``target`` and ``report`` pass everything on and remember whether the clause has a target or reported speech,
+- ``insult`` passes everything on and remembers whether the clause has an insult.
+
+They are composed, the output of one being the input of the next, into one automaton over the words' symbols
+(``compose``: the product of the states that can be reached). Its transitions carry the factor by which a word's
+weight counts, its states the factors by which the clause's sums of insults and of threats count at its end:
+
+- a negated insult or threat counts ``NEGATED`` times, a bare threat ``BARE`` times a stated one,
+- threats count only in a clause that has a target; insults then count ``AIMED`` times,
 - a clause with reported speech counts ``REPORTED`` times.
 
 A document's evidence is the sum over its clauses; a logistic curve turns it into a score. Insults, their
 weights and the curve are learned from labels: a word or stem is an insult if the lower confidence bound of
-its log-odds between toxic and other learning documents is high, in texts that stronger ones do not explain. The lexicon's size is a model parameter
-(``LEXICON`` entries, the strongest first) and is all the driver and the workers hold.
+its log-odds between toxic and other learning documents is high, in texts that stronger ones do not explain.
+The lexicon holds all of them. It is learned from at most ``LEARNING_ROWS`` labelled ids and each entry occurs
+in ``LEAST_DOCS`` or more of their toxic texts, so it does not grow with the corpus.
 
 Nulls: a null text is scored like the empty text, which has no evidence. A null doc_id has no label and is
 not held out. Repeated rows count as often as they occur. Without labels of both kinds the score of a text
-without evidence is low and evidence of the fixed words alone counts. Texts are read whole.
+without evidence is low and evidence of the fixed words alone counts. Texts are read whole. An empty table gives
+an empty result and, as labels, the model without labels. Words equal in their bound are all taken, so ties
+decide nothing. Only ``doc_id`` and the text are read: other columns may have any names.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -38,13 +49,14 @@ from tidewatch.session import materialise
 
 # Fixed words of the grammar, in the languages of the corpus.
 THREATS = frozenset("kill murder strangle stab shoot destroy umbringen erschlagen töten tuer assassiner matar asesinar".split())
+INTENTS = frozenset(
+    "will shall gonna i'll we'll they'll he'll she'll going werde werden wird vais va allons vont voy vamos van".split())
 TARGETS = frozenset(
     "you your yours yourself u ur du dich dir dein deine ihr euch euer tu toi te vous ton ta tes votre tú ti usted ustedes vosotros".split())
 NEGATIONS = frozenset("not never no nor isn't aren't don't nicht kein keine keinen nie pas jamais ne nunca jamás ni".split())
 REPORTS = frozenset(
     "said says wrote called quoted reported claimed sagte sagt schrieb nannte dit disait écrit écrivait dijo dice escribió llamó".split())
 
-LEXICON = 20_000
 #: Labelled ids that are learned from at most, the first by a hash; a bounded sample once there are more.
 LEARNING_ROWS = 200_000
 #: Least lower bound of the log-odds for an insult, round by round, and least toxic learning documents.
@@ -56,6 +68,7 @@ STEM_LENGTHS = (4, 5, 6)
 THREAT_WEIGHT = 4.0
 REACH = 3
 NEGATED = 0.5
+BARE = 0.5
 AIMED = 1.5
 REPORTED = 0.7
 #: Words whose class a worker remembers; results do not depend on it.
@@ -64,12 +77,133 @@ REMEMBERED = 300_000
 TOKENS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]")
 WORDS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 STOPS = frozenset(".!?;:\n")
-NOTHING, STOP, TARGET, NEGATION, REPORT, THREAT, INSULT = range(7)
+#: Symbols: the first seven are read from words, the others are put out by transducers.
+SYMBOLS = (
+    "nothing", "stop", "target", "negation", "report", "intent", "threat", "insult",
+    "negated_threat", "negated_insult", "stated", "bare", "negated_stated", "negated_bare")
+NOTHING, STOP, TARGET, NEGATION, REPORT, INTENT, THREAT, INSULT = range(8)
+READ = 8
+OF = {name: i for i, name in enumerate(SYMBOLS)}
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """A deterministic transducer: ``step[state][symbol]`` is (next state, symbol put out); state 0 starts."""
+
+    step: tuple[tuple[tuple[int, int], ...], ...]
+
+    def run(self, symbols: Iterable[int]) -> tuple[list[int], list[int]]:
+        """What it puts out, and the state after each symbol."""
+        state, out, states = 0, [], []
+        for symbol in symbols:
+            state, put = self.step[state][symbol]
+            out.append(put)
+            states.append(state)
+        return out, states
+
+
+def transducer(states: int, rule: Callable[[int, str], tuple[int, str]]) -> Transducer:
+    """The table of ``rule`` (state, symbol) -> (state, symbol); the end of a clause always leads to the start."""
+    def cell(state: int, symbol: str) -> tuple[int, int]:
+        after, put = rule(state, symbol)
+        return (0 if symbol == "stop" else after), OF[put]
+
+    return Transducer(tuple(tuple(cell(q, s) for s in SYMBOLS) for q in range(states)))
+
+
+def negation(reach: int = REACH) -> Transducer:
+    """State: for how many words a negation still holds."""
+    def rule(left: int, symbol: str) -> tuple[int, str]:
+        if symbol == "negation":
+            return reach, symbol
+        turned = left > 0 and symbol in ("threat", "insult")
+        return max(left - 1, 0), "negated_" + symbol if turned else symbol
+
+    return transducer(reach + 1, rule)
+
+
+def threat() -> Transducer:
+    """State 1 after an intent: threat verbs become stated threats, in state 0 bare ones."""
+    def rule(intent: int, symbol: str) -> tuple[int, str]:
+        if symbol == "intent":
+            return 1, symbol
+        return intent, symbol.replace("threat", "stated" if intent else "bare")
+
+    return transducer(2, rule)
+
+
+def seen(*symbols: str) -> Transducer:
+    """Passes everything on; state 1 from the first of ``symbols`` to the end of the clause."""
+    return transducer(2, lambda state, symbol: (1 if symbol in symbols else state, symbol))
+
+
+#: In the order in which each reads what the one before puts out.
+CASCADE = {
+    "negation": negation(), "threat": threat(), "target": seen("target"), "report": seen("report"),
+    "insult": seen("insult", "negated_insult")}
+#: What a word's weight counts, by the symbol that the last transducer puts out: as insult, as threat.
+FACTORS = {
+    "insult": (1.0, 0.0), "negated_insult": (NEGATED, 0.0), "stated": (0.0, 1.0), "bare": (0.0, BARE),
+    "negated_stated": (0.0, NEGATED), "negated_bare": (0.0, NEGATED * BARE)}
+
+
+def closing(states: dict[str, int]) -> tuple[float, float]:
+    """What a clause's insults and threats count, by the transducers' states at its end."""
+    told = REPORTED if states["report"] else 1.0
+    aimed = bool(states["target"])
+    return (AIMED if aimed else 1.0) * told * states["insult"], told * aimed
+
+
+@dataclass(frozen=True)
+class Automaton:
+    """Composed transducers: per state and word symbol the next state and two factors; two factors per state at the end."""
+
+    step: tuple[tuple[tuple[int, float, float], ...], ...]
+    end: tuple[tuple[float, float], ...]
+
+    def clauses(self, symbols: list[int], weights: list[float]) -> Iterator[float]:
+        """Weights of the clauses that match. The last one needs no stop."""
+        state, insult, threats = 0, 0.0, 0.0
+        for symbol, weight in zip([*symbols, STOP], [*weights, 0.0]):
+            if symbol == STOP:
+                by_insult, by_threat = self.end[state]
+                total = insult * by_insult + threats * by_threat
+                if total:
+                    yield total
+                insult = threats = 0.0
+            state, as_insult, as_threat = self.step[state][symbol]
+            insult += weight * as_insult
+            threats += weight * as_threat
+
+
+def compose(cascade: dict[str, Transducer]) -> Automaton:
+    """One automaton for a cascade: its states are the tuples of states that can be reached from the start."""
+    numbers: dict[tuple[int, ...], int] = {(0,) * len(cascade): 0}
+    table: list[list[tuple[int, float, float]]] = []
+    waiting = list(numbers)
+    for states in waiting:  # grows while it is read
+        row = []
+        for symbol in range(READ):
+            after, put = [], symbol
+            for part, state in zip(cascade.values(), states):
+                state, put = part.step[state][put]
+                after.append(state)
+            goal = tuple(after)
+            if goal not in numbers:
+                numbers[goal] = len(numbers)
+                waiting.append(goal)
+            row.append((numbers[goal], *FACTORS.get(SYMBOLS[put], (0.0, 0.0))))
+        table.append(row)
+    ends = tuple(closing(dict(zip(cascade, states))) for states in numbers)
+    return Automaton(tuple(map(tuple, table)), ends)
+
+
+GRAMMAR = compose(CASCADE)
 
 
 @dataclass
 class Grammar:
-    """The lexicon; ``event`` is the composed word-level transducer."""
+    """The lexicon: which symbol and weight a word has. ``GRAMMAR`` reads the symbols."""
 
     insults: dict[str, float]
     stems: dict[str, float]
@@ -85,7 +219,7 @@ class Grammar:
                 return INSULT, self.stems[word[:n]]
         if word in THREATS:
             return THREAT, THREAT_WEIGHT
-        for kind, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
+        for kind, words in ((INTENT, INTENTS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
             if word in words:
                 return kind, 0.0
         return NOTHING, 0.0
@@ -103,28 +237,10 @@ class Grammar:
     def clauses(self, text: str) -> Iterator[float]:
         """Weights of the clauses that match."""
         events = self.events(text)
-        if not any(kind >= THREAT for kind, _ in events):
-            return
-        insult = threat = 0.0
-        aimed = reported = False
-        since = REACH + 1  # words since the last negation
-        for kind, weight in [*events, (STOP, 0.0)]:
-            since += 1
-            if kind == STOP:
-                total = (insult * AIMED if aimed else insult) + (threat if aimed else 0.0)
-                if total:
-                    yield total * (REPORTED if reported else 1.0)
-                insult, threat, aimed, reported, since = 0.0, 0.0, False, False, REACH + 1
-            elif kind == TARGET:
-                aimed = True
-            elif kind == NEGATION:
-                since = 0
-            elif kind == REPORT:
-                reported = True
-            elif kind == THREAT:
-                threat += weight * (NEGATED if since <= REACH else 1.0)
-            elif kind == INSULT:
-                insult += weight * (NEGATED if since <= REACH else 1.0)
+        # Only threat verbs and insults have a weight.
+        if any(kind >= THREAT for kind, _ in events):
+            symbols, weights = zip(*events)
+            yield from GRAMMAR.clauses(list(symbols), list(weights))
 
     def evidence(self, text: str | None) -> tuple[float, float]:
         """What a document's clauses come to, saturating and growing."""
@@ -197,14 +313,13 @@ def learn_grammar(docs: DataFrame) -> Grammar:
         spread = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("other") + 0.5))
         found = (
             counts.filter(F.col("toxic") >= LEAST_DOCS).withColumn("bound", odds - 1.96 * spread)
-            .filter(F.col("bound") >= bound).orderBy(F.desc("bound"), "word").limit(LEXICON))
+            .filter(F.col("bound") >= bound))
         lexicon |= {row.word: float(row.bound) for row in found.select("word", "bound").collect() if row.word not in lexicon}
         if bound != BOUNDS[-1]:
             rest = pattern_counts(docs.filter("label = 1"), frozenset(lexicon)).select("word", "toxic")
             counts = rest.join(others, "word")
-    strongest = dict(sorted(lexicon.items(), key=lambda x: (-x[1], x[0]))[:LEXICON])
     return Grammar(
-        {w: b for w, b in strongest.items() if w[-1] != "*"}, {w[:-1]: b for w, b in strongest.items() if w[-1] == "*"})
+        {w: b for w, b in lexicon.items() if w[-1] != "*"}, {w[:-1]: b for w, b in lexicon.items() if w[-1] == "*"})
 
 
 def learn(docs: DataFrame, labels: DataFrame, learns: Column, steps: int = 20) -> Model:
