@@ -50,6 +50,27 @@ def test_median_of_a_skewed_column_matches_the_full_sort(spark):
     assert (got["x"], got["y"]) == tuple(want)
 
 
+def test_medians_by_repeated_histograms(spark, monkeypatch):
+    """Brackets that miss, few bins, ties, even and odd counts, wide ranges and infinite ends."""
+    rng = random.Random(3)
+    rows = [(
+        rng.lognormvariate(0, 40), rng.randint(0, 3) * 1.0, rng.choice([-1e308, 1e308, 0.5, 5e-324]),
+        rng.choice([float("-inf"), float("inf"), -2.5, 2.0, 3.0]), None if rng.random() < 0.4 else rng.gauss(1e9, 1e-3), None)
+        for _ in range(2001)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, f double")
+    monkeypatch.setattr(prepare, "BINS", 8)
+
+    def plain(i):
+        values = sorted(r[i] for r in rows if r[i] is not None)
+        n = len(values)
+        return (values[(n - 1) // 2] + values[n // 2]) / 2 if n else None
+
+    # A sketch of accuracy 2 and no margin: brackets miss the middle, and the whole range is taken.
+    for margin, accuracy in ((2e-4, 20000), (0.0, 2)):
+        got = {r[0]: r[1] for r in prepare.exact_medians(df, list("abcdef"), margin, accuracy).collect()}
+        assert got == {c: plain(i) for i, c in enumerate("abcdef")}
+
+
 def test_unseen_category_is_all_zero(spark):
     schema = "customer_id bigint, Gender string, Country string, Signup_Quarter string"
     train = spark.createDataFrame([(1, "m", "x", "Q1"), (2, "f", "y", "Q1"), (3, "f", None, None)], schema)

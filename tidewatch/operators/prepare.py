@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tidewatch.schema import CATEGORICAL_NAMES, KEY, NUMERIC_NAMES
@@ -20,66 +21,81 @@ class NumericFit:
     stds: dict[str, float]
 
 
+#: Equal parts into which a pass divides the interval that holds a column's median.
+BINS = 1024
+
+
+def _bin(value: Column, low: float, high: float) -> Column:
+    """Which part of [low, high] a value lies in. Both ends are parts of their own, so that every pass narrows."""
+    width = high / 2 - low / 2
+    part = F.floor((value / 2 - F.lit(low / 2)) * F.lit(BINS / width if width else 0.0))
+    return (
+        F.when(value == F.lit(low), F.lit(-1)).when(value == F.lit(high), F.lit(BINS))
+        .otherwise(F.least(F.greatest(part, F.lit(0)), F.lit(BINS - 1))).cast("int")
+    )
+
+
+def _histograms(df: DataFrame, spans: dict[str, tuple[float, float, int]]) -> dict[str, list[Row]]:
+    """Per column the occupied parts of its interval in order: number of rows, least and largest value."""
+    inside = []
+    for c, (low, high, _) in spans.items():
+        value = F.col(c).cast("double")
+        cell = F.struct(F.lit(c).alias("feature"), _bin(value, low, high).alias("bin"), value.alias("value"))
+        inside.append(F.when(value.between(F.lit(low), F.lit(high)), cell))
+    rows = (
+        df.select(F.explode(F.array_compact(F.array(*inside))).alias("v"))
+        .groupBy("v.feature", "v.bin")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("v.value").alias("low"), F.max("v.value").alias("high"))
+        .collect()  # BINS + 2 rows per column at most
+    )
+    found: dict[str, list[Row]] = {c: [] for c in spans}
+    for r in sorted(rows, key=lambda r: (r["feature"], r["bin"])):
+        found[r["feature"]].append(r)
+    return found
+
+
 def exact_medians(
     df: DataFrame, columns: list[str], margin: float = 2e-4, accuracy: int = 20000
 ) -> DataFrame:
     """Exact median per column (mean of the middle two), nulls skipped: (feature, median).
 
-    A sketch gives a narrow bracket around each median, one wide aggregate counts the rows below
-    it, and only values inside a bracket are grouped and ranked. No column is collected or
-    sorted whole. ``margin`` exceeds the sketch's rank error of 1/accuracy, so a bracket always
-    holds the middle. ``df`` is read three times: give it a stored table.
+    A sketch gives a narrow bracket around each median and one wide aggregate counts the rows below it; where a
+    bracket misses the middle, the column's whole range takes its place. Then each pass counts the values of every
+    column's interval in ``BINS`` equal parts and goes on with the part that holds the middle, until that is one
+    value. No column is collected, sorted or ranked, and no key stands for a whole column. ``df`` is read three
+    times and once more for every further pass: give it a stored table.
     """
     ends = F.array(F.lit(0.5 - margin), F.lit(0.5 + margin))
-    bracket = df.agg(*[F.percentile_approx(c, ends, accuracy).alias(c) for c in columns]).first()
+    values = {c: F.col(c).cast("double") for c in columns}
+    bracket = df.agg(*[F.percentile_approx(v, ends, accuracy).alias(c) for c, v in values.items()]).first()
     known = [c for c in columns if bracket[c] is not None]
-    spark = df.sparkSession
-    schema = "feature string, median double"
-    empty = [(c, None) for c in columns if c not in known]
-    if not known:
-        return spark.createDataFrame(empty, schema)
-    counts = df.agg(
-        *[F.count(c).alias(f"n_{c}") for c in known],
-        *[F.count_if(F.col(c) < F.lit(bracket[c][0])).alias(f"b_{c}") for c in known],
-    ).first()
-    inside = F.array(
-        *[
-            F.when(
-                F.col(c).between(F.lit(bracket[c][0]), F.lit(bracket[c][1])),
-                F.struct(
-                    F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"),
-                    F.lit(counts[f"b_{c}"]).alias("below"), F.lit(counts[f"n_{c}"]).alias("n"),
-                ),
-            )
-            for c in known
-        ]
-    )
-    # The values of a bracket are few; a hash of the value would not keep their order, so one window per column.
-    order = Window.partitionBy("feature").orderBy("value")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (
-        df.select(F.explode(F.array_compact(inside)).alias("v"))
-        .groupBy("v.feature", "v.value", "v.below", "v.n")
-        .agg(F.count(F.lit(1)).alias("same"))
-        .withColumn("last", F.col("below") + F.sum("same").over(upto))
-        .withColumn("first", F.col("last") - F.col("same") + 1)
-    )
-    low_rank, high_rank = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
-    holds = lambda r: (F.col("first") <= r) & (r <= F.col("last"))
-    rows = (
-        ranked.groupBy("feature")
-        .agg(
-            F.max(F.when(holds(low_rank), F.col("value"))).alias("low"),
-            F.max(F.when(holds(high_rank), F.col("value"))).alias("high"),
-        )
-        .select("feature", ((F.col("low") + F.col("high")) / 2).alias("median"))
-        .collect()  # one row per column
-    )
-    medians = {r["feature"]: r["median"] for r in rows}
-    missed = [c for c in known if medians.get(c) is None]
-    if missed:
-        raise RuntimeError(f"median outside its bracket, raise the margin: {missed}")
-    return spark.createDataFrame([(c, medians[c]) for c in known] + empty, schema)
+    medians: dict[str, float | None] = {c: None for c in columns}
+    spans: dict[str, tuple[float, float, int]] = {}
+    middle: dict[str, tuple[int, int]] = {}
+    if known:
+        counts = df.agg(
+            *[F.count(values[c]).alias(f"n_{c}") for c in known],
+            *[F.count_if(values[c] < F.lit(bracket[c][0])).alias(f"b_{c}") for c in known],
+            *[F.count_if(values[c] <= F.lit(bracket[c][1])).alias(f"u_{c}") for c in known],
+            *[F.min(values[c]).alias(f"l_{c}") for c in known],
+            *[F.max(values[c]).alias(f"h_{c}") for c in known],
+        ).first()
+        for c in known:
+            n, below, upto = (counts[f"{k}_{c}"] for k in "nbu")
+            middle[c] = ((n + 1) // 2, n // 2 + 1)
+            holds = below < middle[c][0] and middle[c][1] <= upto
+            spans[c] = (*bracket[c], below) if holds else (counts[f"l_{c}"], counts[f"h_{c}"], 0)
+    while spans:
+        narrowed = {}
+        for c, parts in _histograms(df, spans).items():
+            upto = [*accumulate((r["n"] for r in parts), initial=spans[c][2])]
+            low, high = (next(i for i in range(len(parts)) if rank <= upto[i + 1]) for rank in middle[c])
+            if low == high and parts[low]["low"] < parts[low]["high"]:
+                narrowed[c] = (parts[low]["low"], parts[low]["high"], upto[low])
+            else:  # one value, or the last of a part and the first of the next
+                medians[c] = (parts[low]["high"] + parts[high]["low"]) / 2
+        spans = narrowed
+    return df.sparkSession.createDataFrame(list(medians.items()), "feature string, median double")
 
 
 def modes(df: DataFrame, columns: list[str]) -> DataFrame:
