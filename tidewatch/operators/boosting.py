@@ -35,6 +35,7 @@ LEAST_GAIN = 1e-6
 ROWS_PER_TASK = 20_000
 ROWS = "h long, y double, w double, held boolean, margin double, codes binary"
 NODES = "tree int, node int, feature int, threshold double, left int, right int, value double, cover double, gain double"
+MODEL = "n_features int, losses array<double>, tree_weight double"
 
 
 @dataclass
@@ -69,10 +70,15 @@ class Tree:
             goes = x[rows, np.maximum(feature[node], 0)] <= bound[node]
             node = np.where(inner, np.where(goes, left[node], right[node]), node)
 
+    def gains(self, n_features: int) -> np.ndarray:
+        """Gain by column."""
+        inner = np.array(self.feature) >= 0
+        return np.bincount(np.array(self.feature)[inner], weights=np.array(self.gain)[inner], minlength=n_features)
+
 
 @dataclass
-class BoostedModel:
-    """Trees whose leaf values add up to the log-odds."""
+class TreeModel:
+    """Trees over binned columns; what they say of a row are sums over their leaves."""
 
     trees: list[Tree]
     n_features: int
@@ -82,21 +88,25 @@ class BoostedModel:
     def getNumTrees(self) -> int:  # noqa: N802 - the name used by Spark's ensembles
         return len(self.trees)
 
+    @property
+    def tree_weight(self) -> float:
+        """What a tree's leaf values are multiplied by."""
+        return 1.0
+
     @property
     def featureImportances(self) -> DenseVector:  # noqa: N802
         """Share of each column in the total gain."""
         total = np.zeros(self.n_features)
         for tree in self.trees:
-            for feature, gain in zip(tree.feature, tree.gain):
-                if feature >= 0:
-                    total[feature] += gain
+            total += tree.gains(self.n_features)
         return Vectors.dense(total / (total.sum() or 1.0))
 
     def margins(self, x: np.ndarray) -> np.ndarray:
-        return sum((np.array(t.value)[t.walk(x, t.threshold)] for t in self.trees), np.zeros(len(x)))
+        total = sum((np.array(t.value)[t.walk(x, t.threshold)] for t in self.trees), np.zeros(len(x)))
+        return total * self.tree_weight
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Add ``prediction`` and ``probability`` (of both classes). Only the feature array passes through Python."""
+    def with_margins(self, df: DataFrame, name: str) -> DataFrame:
+        """Add the sum over all trees. Only the feature array passes through Python."""
         shared = df.sparkSession.sparkContext.broadcast(self)  # trees times nodes
 
         @F.pandas_udf("double")
@@ -105,11 +115,7 @@ class BoostedModel:
                 x = np.stack(batch.to_numpy()) if len(batch) else np.zeros((0, 1))
                 yield pd.Series(shared.value.margins(x), index=batch.index)
 
-        p = 1 / (1 + F.exp(-F.col("__tw_margin")))
-        return (
-            df.withColumn("__tw_margin", margin(vector_to_array("features")))
-            .withColumn("probability", array_to_vector(F.array(1 - p, p)))
-            .withColumn("prediction", (F.col("__tw_margin") > 0).cast("double")).drop("__tw_margin"))
+        return df.withColumn(name, margin(vector_to_array("features")))
 
     def save(self, path: str) -> str:
         """Write the nodes of all trees as a table; one row for a model without splits as well."""
@@ -119,12 +125,12 @@ class BoostedModel:
             for t, tree in enumerate(self.trees) for n in range(len(tree.feature))]
         spark = SparkSession.active()
         spark.createDataFrame(rows, NODES).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
-        spark.createDataFrame([(self.n_features, self.losses)], "n_features int, losses array<double>").coalesce(1).write.mode(
+        spark.createDataFrame([(self.n_features, self.losses, self.tree_weight)], MODEL).coalesce(1).write.mode(
             "overwrite").parquet(f"{path}/model")
         return path
 
-    @staticmethod
-    def load(path: str) -> BoostedModel:
+    @classmethod
+    def load(cls, path: str) -> TreeModel:
         spark = SparkSession.active()
         told = spark.read.parquet(f"{path}/model").first()
         trees: dict[int, Tree] = {}
@@ -132,7 +138,19 @@ class BoostedModel:
             tree = trees.setdefault(r.tree, Tree())
             n = tree.add(r.value, r.cover)
             tree.feature[n], tree.threshold[n], tree.left[n], tree.right[n], tree.gain[n] = r.feature, r.threshold, r.left, r.right, r.gain
-        return BoostedModel([trees[t] for t in sorted(trees)], told.n_features, list(told.losses))
+        return cls([trees[t] for t in sorted(trees)], told.n_features, list(told.losses))
+
+
+class BoostedModel(TreeModel):
+    """Trees whose leaf values add up to the log-odds."""
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Add ``prediction`` and ``probability`` (of both classes)."""
+        p = 1 / (1 + F.exp(-F.col("__tw_margin")))
+        return (
+            self.with_margins(df, "__tw_margin")
+            .withColumn("probability", array_to_vector(F.array(1 - p, p)))
+            .withColumn("prediction", (F.col("__tw_margin") > 0).cast("double")).drop("__tw_margin"))
 
 
 def bin_edges(train: DataFrame, n_features: int, bins: int) -> list[list[float]]:
@@ -163,12 +181,17 @@ def binned(rows: DataFrame, edges: list[list[float]]) -> DataFrame:
         vector_to_array("features").alias("a")).mapInArrow(run, ROWS)
 
 
-def sampled(h: np.ndarray, seed: int, tree: int, share: float) -> np.ndarray:
-    """Whether a row takes part in a tree: a mixed hash of (seed, tree, key) below the share."""
+def mixed(h: np.ndarray, seed: int, tree: int) -> np.ndarray:
+    """A number in [0, 1] for each key hash, from a mixed hash of (seed, tree, key)."""
     z = h.view("uint64") ^ np.uint64((seed * 0x9E3779B97F4A7C15 + tree * 0xC2B2AE3D27D4EB4F) % 2**64)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
-    return (z ^ (z >> np.uint64(31))).astype("float64") < share * 2.0**64
+    return (z ^ (z >> np.uint64(31))).astype("float64") / 2.0**64
+
+
+def sampled(h: np.ndarray, seed: int, tree: int, share: float) -> np.ndarray:
+    """Whether a row takes part in a tree."""
+    return mixed(h, seed, tree) < share
 
 
 @dataclass(frozen=True)

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.numbers import round_exact
-from tidewatch.operators import boosting
-from tidewatch.operators.boosting import BoostedModel
+from tidewatch.operators import boosting, forest
+from tidewatch.operators.boosting import BoostedModel, TreeModel
+from tidewatch.operators.forest import ForestModel
 from tidewatch.operators.split import class_weights
 from tidewatch.schema import KEY, LABEL
 from tidewatch.settings import BoostParams, ForestParams
@@ -27,24 +27,9 @@ def weighted(df: DataFrame, train: DataFrame, kind: str) -> DataFrame:
     return df.withColumn("weight", out)
 
 
-def spread(train: DataFrame, partitions: int) -> DataFrame:
-    """Deal the rows to a fixed number of partitions, ordered by key.
-
-    The tree learners seed their row sampling per partition, so this number is part of the seed: the same
-    rows give the same trees whatever the files, the cores or the size. Set it to a few times the cores.
-    """
-    return train.repartition(partitions, KEY).sortWithinPartitions(KEY)
-
-
-def fit_forest(train: DataFrame, params: ForestParams = ForestParams()) -> RandomForestClassificationModel:
-    """Random forest with balanced class weights on a prepared, stored training table."""
-    forest = RandomForestClassifier(
-        featuresCol="features", labelCol=LABEL, weightCol="weight", numTrees=params.trees,
-        maxDepth=params.depth, minInstancesPerNode=params.min_leaf,
-        featureSubsetStrategy=params.feature_subset, seed=params.seed,
-        maxMemoryInMB=params.max_memory_mb,
-    )
-    return forest.fit(spread(weighted(train, train, "balanced"), params.partitions))
+def fit_forest(train: DataFrame, params: ForestParams = ForestParams()) -> ForestModel:
+    """Random forest with balanced class weights on a prepared, stored training table (see ``forest``)."""
+    return forest.fit(weighted(train, train, "balanced"), params)
 
 
 def fit_boosted(train: DataFrame, validation: DataFrame, params: BoostParams = BoostParams()) -> BoostedModel:
@@ -54,14 +39,14 @@ def fit_boosted(train: DataFrame, validation: DataFrame, params: BoostParams = B
 
 _CLASSES = {
     "preparation": PipelineModel,
-    "random_forest": RandomForestClassificationModel,
+    "random_forest": ForestModel,
     "boosted_trees": BoostedModel,
 }
 
 
 def save(model, path: str) -> str:
     """Persist a fitted preparation or ensemble."""
-    if isinstance(model, BoostedModel):
+    if isinstance(model, TreeModel):
         return model.save(path)
     model.write().overwrite().save(path)
     return path

@@ -21,9 +21,9 @@ class ForestParams:
     min_leaf: int = 5
     feature_subset: str = "sqrt"
     seed: int = 42
-    max_memory_mb: int = 1024
-    # Partitions of the training rows; part of the seed.
-    partitions: int = 16
+    # Bins of a column, and cells (node, column, bin) that a task adds up at once.
+    bins: int = 64
+    cells: int = 4_000_000
 
 
 @dataclass(frozen=True)
