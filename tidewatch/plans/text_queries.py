@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import patterns as T
 from tidewatch.operators import replies
+from tidewatch.operators.dictionary import dictionary_rates
 from tidewatch.plans.registry import block, query
 from tidewatch.plans.reply_queries import MODELS, answered
 from tidewatch.schema import KEY
@@ -193,3 +194,15 @@ def deep_read_sample(spark, folder):
     split = replies.disagreements(replies.wide_replies(df, MODELS), *MODELS)
     split = T.seeded_sample(split.withColumn("part", F.lit("disagreement")), ["part"], 5)
     return full.unionByName(split.select("part", KEY, "rank"))
+
+
+@query("theme_dictionary", """
+SELECT lang, 'benchmark' AS theme, word AS label, count(*) FILTER (WHERE contains(lower(text), word)) AS hits, count(*) AS n,
+       CAST(round_even(100.0::DOUBLE * count(*) FILTER (WHERE contains(lower(text), word)) / count(*), 0) AS INTEGER) AS pct
+FROM documents, (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS word FROM benchmark) GROUP BY lang, word""")
+def theme_dictionary(spark, folder):
+    """How many documents of each language hold each longer word of the benchmark items: a dictionary taken from a table."""
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0)))
+    words = read_table(spark, folder, "benchmark").select(word.alias("regex")).distinct()
+    known = words.select(F.lit("benchmark").alias("theme"), F.col("regex").alias("label"), "regex")
+    return dictionary_rates(read_table(spark, folder, "documents").select("lang", "text"), "text", "benchmark", ["lang"], dictionary=known)
