@@ -135,3 +135,21 @@ def test_odd_inputs(rows):
     with pytest.raises(ValueError, match="no training rows"):
         B.fit(df.limit(0), df)
     assert B.fit(df.limit(0).unionByName(df), df.limit(0), BoostParams(rounds=1)).transform(df.limit(0)).count() == 0
+
+
+def test_rows_are_kept_and_only_lighter_siblings_are_added_up(rows, monkeypatch):
+    """A level adds up at most half of the rows of its open nodes' parents, on arrays that the executors keep."""
+    df, x, _ = rows
+    seen = []
+    plain = B.level_sums
+
+    def spy(kept, step):
+        total, loss = plain(kept, step)
+        seen.append((kept.is_cached, len(step.tree.feature), total[1, :, 0].sum()))
+        return total, loss
+
+    monkeypatch.setattr(B, "level_sums", spy)
+    B.fit(df, df, BoostParams(rounds=3, depth=4, bins=16, refresh=2))
+    roots = [weight for _, nodes, weight in seen if nodes == 1]
+    assert all(cached for cached, _, _ in seen) and len(roots) == 4 and len(seen) > 8
+    assert all(weight <= max(roots) / 2 for _, nodes, weight in seen if nodes > 1)
