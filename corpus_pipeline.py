@@ -31,8 +31,12 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies stays, the one with the smallest doc_id.
+
+    Fingerprints that meet in the middle link documents first; of what they leave, documents with similar sets of
+    shingles are found, which may be further apart than a few bits.
+    """
+    return simhash.keep_one(simhash.first_of_components(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

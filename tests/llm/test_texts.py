@@ -503,3 +503,27 @@ def test_terms_far_from_an_entity_are_marked(spark):
     for i, text in docs[100:]:
         assert [x for x in found[i].spans.split(",") if x.startswith("term")] == ["term:0:9", f"term:{len(text) - 9}:{len(text)}"]
     assert all("term" not in found[i].spans for i in range(100))
+
+
+def test_pipeline_links_documents_by_their_fingerprints(spark):
+    """Two texts of one long repeated phrase have near fingerprints, though few of their distinct shingles agree."""
+    import corpus_pipeline
+
+    phrase = " ".join(f"p{i}" for i in range(11))
+    texts = [f"{phrase} " * 100 + " ".join(f"{own}{i}" for i in range(30)) for own in "uv"] + ["something else altogether here"]
+    docs = spark.createDataFrame([(i + 3, t) for i, t in enumerate(texts)] + [(None, texts[0])], "doc_id long, text string")
+    prints = [plain_fingerprint(t, 3) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= 3
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == {3, 4, 5}  # by sets of shingles alone
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()) == [3, 5]
+
+
+def test_first_of_components_awkward(spark):
+    docs = cases.awkward(spark)
+    got = simhash.first_of_components(docs)
+    near = {(r.doc_id, r["__tw_fp"]): r.component_id for r in simhash.near_copies(docs).collect()}
+    want = sum(r.component_id is None or r.doc_id == r.component_id for r in simhash.near_copies(docs).collect())
+    kept = got.collect()
+    assert got.columns == docs.columns and len(kept) == want < docs.count()
+    assert all(r.doc_id in near.values() for r in kept) and {c for c in near.values()} == {r.doc_id for r in kept}
+    assert simhash.first_of_components(cases.none(spark)).count() == 0

@@ -133,6 +133,22 @@ def near_copies(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFr
     return rows.join(classes, "__tw_fp").select("doc_id", "__tw_fp", "component_id")
 
 
+def first_of_components(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with the rows whose doc_id names their component of near copies (all rows, if it holds null ids alone).
+
+    Which row of several with one doc_id stays is left to the caller: a row is known by doc_id and fingerprint here.
+    """
+    goes = materialise(
+        near_copies(docs, words, radius).filter("component_id IS NOT NULL AND NOT doc_id <=> component_id")
+        .select(F.col("doc_id").alias("__tw_id"), F.col("__tw_fp").alias("__tw_gone")).distinct(), "goes")
+    known = lambda c: F.xxhash64(F.col(c).isNull(), F.col(c))
+    # What goes is usually little: only rows that may be among it get their fingerprint again and are joined.
+    told = possibly_in(docs, known("doc_id"), goes.select(known("__tw_id").alias("h")), "__tw_maybe")
+    maybe = fingerprints(told.filter("__tw_maybe").select(*docs.columns), words)
+    stay = maybe.join(goes, F.expr("doc_id <=> __tw_id AND __tw_fp = __tw_gone"), "left_anti")
+    return told.filter("NOT __tw_maybe").select(*docs.columns).unionByName(stay.select(*docs.columns))
+
+
 # Documents similar in their shingles, beyond a few bits. Candidates come from prefixes of the shingle sets: sets with
 # a Jaccard of ``least`` share a shingle among the first of either in any common order, so no pair is missed. Rare
 # shingles come first. A sketch of many SimHash words tells which of them may be similar; groups of those are compared
