@@ -153,3 +153,27 @@ def test_rows_are_kept_and_only_lighter_siblings_are_added_up(rows, monkeypatch)
     roots = [weight for _, nodes, weight in seen if nodes == 1]
     assert all(cached for cached, _, _ in seen) and len(roots) == 4 and len(seen) > 8
     assert all(weight <= max(roots) / 2 for _, nodes, weight in seen if nodes > 1)
+
+
+def test_trees_are_compact(spark, monkeypatch):
+    """Millions of nodes fit the driver: no objects by the node, and files of some trees when a model is saved."""
+    import random
+    import tracemalloc
+
+    rng = random.Random(2)
+    tracemalloc.start()
+    trees = []
+    for size in (3, 20_000, 1, 7):
+        tree = B.Tree()
+        tree.add(rng.random(), float(size))
+        for n in range(size // 2):
+            tree.feature[n], tree.threshold[n], tree.gain[n] = n % 300, rng.random(), rng.random()
+            tree.left[n], tree.right[n] = tree.add(rng.random(), 1.0 + n), tree.add(rng.random(), 2.0 + n)
+        trees.append(tree)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 80 * sum(len(t.feature) for t in trees)
+    monkeypatch.setattr(B, "NODES_A_FILE", 12)
+    model = B.BoostedModel(trees, 300, [0.5])
+    again = B.BoostedModel.load(model.save(work_path(spark, "compact")))
+    assert again.trees == model.trees and again.losses == [0.5] and again.n_features == 300
