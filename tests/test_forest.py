@@ -135,3 +135,12 @@ def test_odd_inputs(rows):
         R.fit(df.limit(0))
     with pytest.raises(ValueError, match="feature_subset"):
         R.fit(df, ForestParams(feature_subset="half"))
+
+
+def test_attributions_are_spread_over_tasks(spark, rows):
+    """Rows of one small file are explained by as many tasks as run at once."""
+    df = rows[0]
+    path = R.fit(df, ForestParams(trees=2, depth=2)).save(work_path(spark, "spread"))
+    parts = A.tree_attributions(df.coalesce(1), path).withColumn("part", F.spark_partition_id())
+    sizes = [r["count"] for r in parts.groupBy("part").count().collect()]
+    assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) < 2 * 600 / len(sizes)
