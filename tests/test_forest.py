@@ -3,12 +3,14 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tidewatch.operators import attribution as A
 from tidewatch.operators import forest as R
+from tidewatch.operators.boosting import Tree
 from tidewatch.session import checkpoint_root, work_path
 from tidewatch.settings import ForestParams
 
@@ -87,6 +89,36 @@ def test_partitions_and_passes_change_nothing(rows):
     assert all(m.trees == models[0].trees for m in models[1:])
 
 
+@pytest.mark.parametrize("group, sent", [(0, 10**6), (150, 10**6), (10**6, 700)])
+def test_rows_and_sums_give_the_same_trees(rows, monkeypatch, group, sent):
+    """Nodes that are added up where their rows lie, nodes whose rows are sent, and rows sent in several passes."""
+    want = R.fit(rows[0], SMALL)
+    monkeypatch.setattr(R, "ROWS_PER_GROUP", group)
+    monkeypatch.setattr(R, "ROWS_PER_PASS", sent)
+    assert R.fit(rows[0].repartition(5), SMALL).trees == want.trees
+
+
+def test_rows_of_small_nodes_are_sent_packed():
+    """One record a group of nodes and a few bytes a row, instead of one record a (node, column, bin)."""
+    h = np.arange(3000, dtype="int64") * 0x9E3779B97F4A7C
+    codes = np.random.default_rng(1).integers(0, 16, (3000, 4)).astype("uint8")
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(h), pa.array(np.zeros(3000)), pa.array(np.ones(3000)), pa.array(np.zeros(3000, bool)), pa.array(np.zeros(3000)),
+         pa.array([c.tobytes() for c in codes])], names=list("abcdef"))
+    trees = {}
+    for number in range(40):
+        tree = Tree()
+        tree.add(0.5, 0.0)
+        trees[number] = R.outline(tree)
+    columns = np.tile([[0, 2]], (40, 1))
+    level = R.Level(trees, np.array([(t, 0) for t in range(40)]), columns, 16, 42, np.arange(40) // 20)
+    sent = pa.Table.from_batches(level.rows(iter([batch])))
+    n = sum(int((R.drawn(h, 42, t) > 0).sum()) for t in range(40))
+    assert sent.column("bucket").to_pylist() == [0, 1] and sum(map(len, sent.column("rows").to_pylist())) == n * R.row_type(2).itemsize
+    by_rows = pa.Table.from_batches(R.Search(2, 16, 5).row_splits(iter(sent.to_batches())))
+    assert by_rows.num_rows == 40 and sum(by_rows.column("n").to_pylist()) == sum(int(R.drawn(h, 42, t).sum()) for t in range(40))
+
+
 def test_edges_are_near_the_quantiles(spark):
     """At most ``bins`` bins; none holds much more than its share; signs, huge and tiny values keep their order."""
     rng = np.random.default_rng(3)
