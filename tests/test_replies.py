@@ -12,6 +12,7 @@ from tidewatch.operators.replies import apply_fallback, not_yet_answered, parse_
 from tidewatch.plans.echo_client import BreaksDown, PanelEcho
 from tidewatch.session import work_path
 from tidewatch.settings import GenerationParams
+from tidewatch.streaming import incremental
 from tidewatch.streaming.incremental import answer_missing, read_answers, run_batch, run_stream
 
 E20, R10 = "This explanation is long enough", "Call them today"
@@ -175,6 +176,23 @@ def test_two_streams_share_a_sink(spark):
     assert got.count() == 20 and got.select("customer_id", "model").distinct().count() == 20
 
 
+def test_a_stream_hands_few_prompts_to_python_at_once(spark, monkeypatch):
+    """A micro-batch may hold many prompts; the session's own setting is as before once the stream has run."""
+    setting, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, real = spark.conf.get(setting), incremental.store_answers
+
+    def seeing(todo, *rest):
+        seen.append(int(todo.sparkSession.conf.get(setting)))
+        real(todo, *rest)
+
+    monkeypatch.setattr(incremental, "store_answers", seeing)
+    sink, source, progress = (work_path(spark, n) for n in ("answers", "arrivals", "progress"))
+    everything = prompts(spark, 6)
+    everything.coalesce(1).write.parquet(source)
+    assert run_stream(spark, source, everything.schema, sink, progress, PanelEcho).count() == 12
+    assert set(seen) == {incremental.ROWS_AT_ONCE} and spark.conf.get(setting) == before
+
+
 class Reads(StreamingQueryListener):
     """Rows read from each source, one entry for each micro-batch."""
 

@@ -33,6 +33,9 @@ ANSWER_SCHEMA = (
     f"{KEY} bigint, y_true int, model string, decision string, explanation string, "
     "recommendation string, time_sec double, attempts int, status string"
 )
+#: Requests that pass through a Python worker at once: what it holds does not grow with the prompts of a micro-batch.
+ROWS_AT_ONCE = 500
+_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _COLUMNS = [c.split()[0] for c in ANSWER_SCHEMA.split(", ")]
 
 
@@ -152,11 +155,17 @@ def run_stream(
             batch = not_yet_answered(batch, read_answers(spark, sink).filter(F.col("batch") != own), [KEY, "model"])
         store_answers(batch, sink, own, client_factory, params)
 
-    started = (
-        unasked(requests(source, params), answers).writeStream.foreachBatch(on_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    before = int(spark.conf.get(_ROWS_SETTING))
+    # A stream keeps the settings it starts with. Zero or less means no bound.
+    spark.conf.set(_ROWS_SETTING, str(min(before, ROWS_AT_ONCE) if before > 0 else ROWS_AT_ONCE))
+    try:
+        started = (
+            unasked(requests(source, params), answers).writeStream.foreachBatch(on_batch)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        spark.conf.set(_ROWS_SETTING, str(before))
     started.awaitTermination()
     return read_answers(spark, sink)
