@@ -76,13 +76,20 @@ def match_benchmarks(df: DataFrame, mode: str = "substring", out: str = "matched
     ).drop("_found")
 
 
-def benchmark_lines(matched: Column, values: Column) -> Column:
-    """``feature: customer=… | avg churner=… | avg retained=…`` per matched benchmark."""
-    line = lambda b: F.concat(
-        F.lit("  "), b["feature"], F.lit(": customer="), F.get(values, b["position"]),
-        F.lit(" | avg churner="), b["churned"], F.lit(" | avg retained="), b["retained"],
+def benchmark_lines(matched: Column, numbers: Column) -> Column:
+    """``feature: customer=… | avg churner=… | avg retained=…`` per matched benchmark.
+
+    Only the numbers of matched benchmarks are written out. A benchmark without a number has no line.
+    """
+    own = F.transform(F.transform(matched, lambda b: F.get(numbers, b["position"])), lambda x: fmt_number(x))
+    line = lambda b, text: F.when(
+        b["position"] < F.size(numbers),
+        F.concat(
+            F.lit("  "), b["feature"], F.lit(": customer="), text,
+            F.lit(" | avg churner="), b["churned"], F.lit(" | avg retained="), b["retained"],
+        ),
     )
-    return F.array_join(F.transform(matched, line), "\n")
+    return F.array_join(F.zip_with(matched, own, line), "\n")
 
 
 def with_benchmarks(df: DataFrame, benchmarks: DataFrame) -> DataFrame:
@@ -92,11 +99,11 @@ def with_benchmarks(df: DataFrame, benchmarks: DataFrame) -> DataFrame:
 
 def benchmark_texts(df: DataFrame, benchmarks: DataFrame, mode: str = "substring") -> DataFrame:
     """Add ``matched`` and ``benchmark_lines``."""
-    values = each_number([F.col(c) for c in NUMERIC_NAMES], lambda x: fmt_number(x, "double", 2))
+    numbers = F.array(*[F.col(c).cast("double") for c in NUMERIC_NAMES])
     matched = match_benchmarks(with_benchmarks(df, benchmarks), mode)
-    return matched.withColumn("_values", values).withColumn(
-        "benchmark_lines", benchmark_lines(F.col("matched"), F.col("_values"))
-    ).drop("_values", "_benchmarks")
+    return matched.withColumn("_numbers", numbers).withColumn(
+        "benchmark_lines", benchmark_lines(F.col("matched"), F.col("_numbers"))
+    ).drop("_numbers", "_benchmarks")
 
 
 def build_prompts(
@@ -108,9 +115,11 @@ def build_prompts(
     Empty side tables leave the benchmark section out and print ``N/A`` for the importances.
     """
     out = benchmark_texts(df, benchmarks, mode)
-    shown = P.PROMPT_NUMBERS
-    whole = each_number([F.col(c) for c in shown], lambda x: fmt_number(x, "double", 0))
-    cents = each_number([F.col(c) for c in shown], lambda x: fmt_number(x, "double", 2))
+    # Every number is written out once, in the decimals it is shown with.
+    in_whole = [c for c in P.PROMPT_NUMBERS if c in P.WHOLE_NUMBERS]
+    in_cents = [c for c in P.PROMPT_NUMBERS if c not in P.WHOLE_NUMBERS]
+    whole = each_number([F.col(c) for c in in_whole], lambda x: fmt_number(x, "double", 0))
+    cents = each_number([F.col(c) for c in in_cents], lambda x: fmt_number(x, "double", 2))
     shares = each_number(
         [F.col("y_proba") * 100, F.col("rf_proba") * 100],
         lambda x: fmt_number(x, "double", 1),
@@ -123,9 +132,8 @@ def build_prompts(
             "_importances": F.coalesce(importance_text(importances).scalar(), F.lit("N/A")),
         }
     )
-    values = {
-        c: F.get("_whole" if c in P.WHOLE_NUMBERS else "_cents", i) for i, c in enumerate(shown)
-    }
+    values = {c: F.get("_whole", i) for i, c in enumerate(in_whole)}
+    values |= {c: F.get("_cents", i) for i, c in enumerate(in_cents)}
     values |= {c: F.coalesce(F.col(c), F.lit("nan")) for c in CATEGORICAL_NAMES}
     lines = F.col("benchmark_lines")
     values |= {

@@ -18,10 +18,12 @@ from tidewatch.sources.guards import violations
 
 
 def benchmarks(spark, folder):
-    """Class means of the training rows, as a stored stage of 20 rows: prompts read it more than once."""
+    """Class means of the training rows, as a stored stage of 20 rows: prompts read it more than once.
+
+    Prompts need the stored customers too, so the means are taken from them and no source table is read again.
+    """
     return data.stage(
-        spark, folder, "benchmarks",
-        lambda: population_benchmarks(data.with_split(spark, folder, NUMERIC_NAMES).filter(F.col("split") == "train")),
+        spark, folder, "benchmarks", lambda: population_benchmarks(data.training(spark, folder))
     )
 
 
