@@ -263,3 +263,51 @@ def test_reply_metrics_compile(spark):
         spark.conf.unset("spark.sql.codegen.fallback")
     assert rows == [{"model": "m", "n_evaluated": 3, "accuracy": 0.6667, "precision": 0.5, "recall": 1.0, "f1": 0.6667, "roc_auc": 0.75,
                      "avg_time_sec": 1.22, "parse_failure_rate": 0.3333}]
+
+
+def test_benchmarks_read_the_stored_customers(spark, monkeypatch):
+    from tidewatch.plans import data, prompt_queries
+
+    folder = "/root/testdata/sf0.001"
+    data.forget_stages()
+    data.customers(spark, folder)
+
+    def again(*_):
+        raise AssertionError("the source tables are read again")
+
+    monkeypatch.setattr(data, "customer_features", again)
+    assert prompt_queries.benchmarks(spark, folder).count() == 20
+    data.forget_stages()
+
+
+def test_explained_customers_are_stored_without_copies(spark):
+    from tidewatch.plans import data, reason_queries
+
+    folder = "/root/testdata/sf0.001"
+    data.forget_stages()
+    table = reason_queries.explained(spark, folder)
+    stored = spark.read.parquet(*table.inputFiles()).columns
+    assert not {"contributions", "rolled", "reason_1", "top_5_reasons"} & set(stored)
+    one = table.select("reasons", "top_5_reasons", "reason_1", "reason_5").first()
+    texts = [r.reason_with_magnitude for r in one.reasons]
+    assert (one.top_5_reasons, one.reason_1, one.reason_5) == (" | ".join(texts), texts[0], texts[4])
+    data.forget_stages()
+
+
+def test_reasons_are_ranked_by_plain_comparison(spark):
+    """No lambda for each pair of features; ties keep column order, a missing category and number read alike."""
+    from tidewatch.operators.reasons import top_reasons
+
+    df = spark.sql("SELECT CAST(NULL AS DOUBLE) AS Age, 'x' AS Gender, CAST(NULL AS STRING) AS Country, array(-1D, 1D, 2D) AS rolled")
+    out = top_reasons(df, ["Age", "Gender", "Country"], top=3)
+    assert "array_sort" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.feature, r.shap_value, r.feature_value) for r in out.first().reasons] == [
+        ("Country", 2.0, "missing"), ("Age", -1.0, "missing"), ("Gender", 1.0, "x")]
+
+
+def test_prompts_write_out_shown_numbers_only(spark):
+    from tidewatch.plans import data, prompt_queries
+
+    plan = prompt_queries.prompts_for(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array(Age") <= 2  # the array of all numbers for benchmarks, and whole numbers
+    data.forget_stages()
