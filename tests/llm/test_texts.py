@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tests.llm import cases
 from tidewatch.llm import bpe, line_dedup, mixing, pii, sharding, simhash
 from tidewatch.llm.queries import vocabulary_path
-from tidewatch.llm.rows import possibly_in, spread_repeats
+from tidewatch.llm.rows import possibly_in, spread_repeats, sum_vectors
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -271,6 +272,14 @@ def test_simhash_search_finds_all_links(spark):
     assert groups(got) == [g for g in groups(roots) if len(g) > 1]
 
 
+def test_keys_of_fingerprints_are_not_broadcast(spark, tmp_path):
+    nodes = [((k * 0x9E3779B97F4A7C15) % 2**64 - 2**63,) for k in range(2000)]
+    spark.createDataFrame(nodes, "node long").write.parquet(path := str(tmp_path / "nodes"))
+    edges = simhash.linked_fingerprints(spark.read.parquet(path))
+    assert "Broadcast" not in edges._jdf.queryExecution().executedPlan().toString()
+    assert edges.count() == 0
+
+
 def test_components_of_paths_and_stars(spark):
     path = [(i, i + 1) for i in range(200)]
     star = [(1000, i) for i in range(1001, 1300)]
@@ -314,6 +323,18 @@ def test_possibly_in_misses_no_member(spark):
     assert possibly_in(df, F.col("h"), members.limit(0), "maybe").filter("maybe").count() == 0
 
 
+def test_long_vectors_reach_the_driver_without_an_object_for_each_number(spark):
+    length = 1 << 17
+    vector = np.arange(length) / 8
+    rows = spark.range(0, 40, 1, 4)
+    tracemalloc.start()
+    total = sum_vectors(rows, lambda batches: vector * sum(b.num_rows for b in batches), length)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (total == vector * 40).all()
+    assert peak < 16 * 2**20
+
+
 # BPE
 
 def test_bpe_round_trip(spark):

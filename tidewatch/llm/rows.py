@@ -102,16 +102,15 @@ def sum_vectors(df: DataFrame, partial_sums, length: int) -> np.ndarray:
     """Add up one vector per partition. ``partial_sums`` maps an iterator of Arrow batches to a vector.
 
     The vectors are added element by element in a Spark aggregate, so that the driver receives
-    ``length`` numbers however many partitions there are.
+    ``length`` numbers however many partitions there are; as Arrow columns, not as an object for each.
     """
     def emit(batches, partial_sums=partial_sums):
         vector = np.asarray(partial_sums(batches), dtype="float64")
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(len(vector), dtype="int32")), pa.array(vector)], names=["i", "v"])
 
-    rows = df.mapInArrow(emit, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    total = df.mapInArrow(emit, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
     out = np.zeros(length)
-    for row in rows:
-        out[row.i] = row.v
+    out[total.column("i").to_numpy()] = total.column("v").to_numpy()
     return out
 

@@ -118,7 +118,8 @@ def linked_fingerprints(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (a, b) that connect all fingerprints (column node, distinct) at most ``radius`` bits apart."""
     if not 0 <= radius <= 3:
         raise ValueError("halves with one differing bit cover a radius of at most 3")
-    units = block_pairs(ball_keys(nodes), ["key"], "node")
+    # Spark's size of the nodes knows nothing of their 34 keys each: without the hint it broadcasts all keys of a small table.
+    units = block_pairs(ball_keys(nodes), ["key"], "node", sorted_join=True)
     return per_unit(units, ["key"], lambda group: _close(group, radius), "a long, b long")
 
 
