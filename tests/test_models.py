@@ -1,5 +1,6 @@
 """Small ensembles: persistence, additivity, attributions against brute force."""
 
+import time
 from itertools import combinations
 from math import factorial
 
@@ -162,3 +163,28 @@ def test_too_many_nodes_are_not_broadcast(fitted):
     _, table, path = fitted
     with pytest.raises(ValueError, match="too many to broadcast"):
         A.tree_attributions(table, path["boosted_trees"], AttributionParams(most_nodes=3))
+
+
+def test_rows_with_the_same_turns_are_explained_once():
+    """A tree of the forest's size on a block of rows: a split costs a look-up a row, not all features of all leaves."""
+    rng = np.random.default_rng(4)
+    n_features, rows, next_id = 30, [], 1
+    stack = [(0, 0, 6000)]
+    while stack:
+        node, level, count = stack.pop()
+        if level == 20 or count < 10:
+            rows.append((node, rng.normal(), count, -1, -1, -1, [], -1))
+            continue
+        n_left = int(rng.integers(count // 4, 3 * count // 4) + 1)
+        rows.append((node, 0.0, count, next_id, next_id + 1, int(rng.integers(n_features)), [float(rng.normal())], -1))
+        stack += [(next_id, level + 1, n_left), (next_id + 1, level + 1, count - n_left)]
+        next_id += 2
+    frame = pd.DataFrame(rows, columns=["id", "prediction", "rawCount", "leftChild", "rightChild", "feature", "left", "categories"])
+    tree, x = A.tree_paths(frame, 1.0), rng.normal(size=(2000, n_features))
+    start = time.process_time()
+    phi = A.contributions(tree, x)
+    assert len(frame) > 1500 and time.process_time() - start < 3  # 6 s and more with a table of rows, leaves and path features
+    nodes = {r.id: r for r in frame.itertuples(index=False)}
+    want = [expectation(nodes, row, set(range(n_features))) for row in x]
+    assert np.allclose(phi.sum(axis=1) + A.expected_value([tree]), want, atol=1e-12)
+    assert np.allclose(phi[:40], A.contributions(tree, x[:40], cells=1), atol=1e-12)
