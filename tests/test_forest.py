@@ -98,6 +98,33 @@ def test_rows_and_sums_give_the_same_trees(rows, monkeypatch, group, sent):
     assert R.fit(rows[0].repartition(5), SMALL).trees == want.trees
 
 
+def test_whole_trees_grow_in_tasks(spark, rows, monkeypatch):
+    """Trees whose samples fit a task: the same ones as level by level, in a number of jobs that does not depend on depth."""
+    deep = ForestParams(trees=6, depth=12, min_leaf=1, bins=16)
+    spark.sparkContext.setJobGroup("whole", "")
+    model = R.fit(rows[0], deep)
+    spark.sparkContext.setJobGroup("other", "")
+    assert max(len(t.feature) for t in model.trees) > 60
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("whole")) < 16
+    monkeypatch.setattr(R, "ROWS_AT_ONCE", 7)
+    monkeypatch.setattr(R, "CELLS_PER_TASK", 40)
+    assert R.fit(rows[0].repartition(3), deep).trees == model.trees
+    monkeypatch.setattr(R, "GROUPS_PER_TREE", 0)
+    assert R.fit(rows[0], deep).trees == model.trees
+
+
+def test_weights_of_many_kinds(spark, rows):
+    """Rows that differ in weight are not counted by kind; trees still equal a plain search."""
+    df, x, y = rows
+    df = df.withColumn("weight", 0.5 + (F.col("customer_id") % 8) / 8)
+    hashes = np.array([r[0] for r in spark.range(600).select("id", F.xxhash64("id").alias("h")).orderBy("id").select("h").collect()])
+    edges, weights = R.bin_edges(df, 4, SMALL.bins), 0.5 + (np.arange(600) % 8) / 8
+    for number, tree in enumerate(R.fit(df, SMALL).trees):
+        nodes, shares = plain_tree(x, y, weights, R.drawn(hashes, SMALL.seed, number), edges, SMALL, number)
+        assert [w and w[1:] for w in nodes] == [(f, t) if f >= 0 else None for f, t in zip(tree.feature, tree.threshold)]
+        assert tree.value.tolist() == pytest.approx(shares, abs=1e-12)
+
+
 def test_rows_of_small_nodes_are_sent_packed():
     """One record a group of nodes and a few bytes a row, instead of one record a (node, column, bin)."""
     h = np.arange(3000, dtype="int64") * 0x9E3779B97F4A7C
