@@ -177,3 +177,48 @@ def test_trees_are_compact(spark, monkeypatch):
     model = B.BoostedModel(trees, 300, [0.5])
     again = B.BoostedModel.load(model.save(work_path(spark, "compact")))
     assert again.trees == model.trees and again.losses == [0.5] and again.n_features == 300
+
+
+def test_categories_are_kept_as_one_column(spark, rows, monkeypatch):
+    """Columns of which at most one is 1 share a byte, a task's sums hold only bins there are; the trees are the plain ones."""
+    df, x, y = rows
+    extra = np.column_stack([np.arange(500) % 3 == k for k in range(3)] + [np.arange(500) % 2 == 0]).astype(float)
+    wide = np.column_stack([x[:, :2], extra])
+    table = spark.createDataFrame([(i, int(y[i]), float(1 + y[i]), wide[i].tolist()) for i in range(500)], "customer_id long, Churned int, weight double, a array<double>")
+    table = table.withColumn("features", array_to_vector("a"))
+    params = BoostParams(rounds=5, depth=3, bins=16, refresh=3, patience=99)
+    plain, widths = B.level_sums, set()
+
+    def spy(kept, step):
+        assert step.form.bundles == [[2, 3, 4], [5]]
+        widths.add(kept.mapPartitions(step.sums).first()[0].shape[2])
+        return plain(kept, step)
+
+    monkeypatch.setattr(B, "level_sums", spy)
+    monkeypatch.setattr(B, "PARTS_AT_ONCE", 0)  # many tasks are added up in executors
+    model = B.fit(table, table.limit(0), params)
+    assert max(widths) <= 16 + 3 + 4 + 2  # not 16 for each of six columns
+    trees, margin = plain_fit(wide, y, 1.0 + y, key_hashes(spark, 500), B.bin_edges(table, 6, 16), params)
+    assert np.allclose(model.margins(wide), margin, atol=1e-6)
+    for tree, want in zip(model.trees, trees):
+        assert (tree.feature[0], tree.threshold[0]) == want["split"]
+
+
+def test_walks_of_packed_rows():
+    """Packed rows end where whole rows end."""
+    rng = np.random.default_rng(8)
+    codes = np.column_stack([rng.integers(0, 256, 400), rng.integers(0, 7, 400), *(np.arange(400) % 5 == k for k in range(3)), rng.integers(0, 2, 400)]).astype("uint8")
+    form = B.Layout([0, 1], [[2, 3, 4], [5]], [256, 7, 4, 2])
+    tree = B.Tree()
+    tree.add(0.0, 1.0)
+    for node in range(40):
+        tree.feature[node] = int(rng.integers(6))
+        tree.bin[node] = int(rng.integers([255, 6, 1, 1, 1, 1][tree.feature[node]]))
+        tree.left[node], tree.right[node] = tree.add(0.0, 1.0), tree.add(0.0, 1.0)
+    want = tree.walk(codes, tree.bin)
+    assert len(set(want.tolist())) > 8 and np.array_equal(form.walk(tree, form.packed(codes)), want)
+    for row, end in zip(codes, want):
+        node = 0
+        while tree.feature[node] >= 0:
+            node = tree.left[node] if row[tree.feature[node]] <= tree.bin[node] else tree.right[node]
+        assert node == end
