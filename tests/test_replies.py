@@ -311,3 +311,39 @@ def test_prompts_write_out_shown_numbers_only(spark):
     plan = prompt_queries.prompts_for(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array(Age") <= 2  # the array of all numbers for benchmarks, and whole numbers
     data.forget_stages()
+
+
+def test_a_streams_state_needs_no_python(spark):
+    """Keys that have been asked are kept by the JVM's removal of duplicates: no call of Python for each key."""
+    source, sink = (work_path(spark, n) for n in ("arrivals", "answers"))
+    everything = prompts(spark, 4)
+    everything.write.parquet(source)
+    spark.range(0).write.parquet(sink)
+    wanted, answered = (spark.readStream.schema(s).parquet(p) for s, p in ((everything.schema, source), (incremental.ANSWER_SCHEMA, sink)))
+    plan = incremental.unasked(incremental.requests(wanted), answered)._jdf.queryExecution().analyzed().toString()
+    assert "Deduplicate" in plan and "Pandas" not in plan
+
+
+def test_answers_of_others_that_come_with_new_prompts(spark):
+    """They are not asked again, in the first micro-batch of a start or in the one after a batch that broke down."""
+    everything = prompts(spark, 40)
+    sink, source, progress = (work_path(spark, n) for n in ("answers", "arrivals", "progress"))
+    params = GenerationParams(models=("qwen",), on_error="raise")
+
+    def arrive(first, last):
+        everything.filter(f"customer_id BETWEEN {first} AND {last}").coalesce(1).write.mode("append").parquet(source)
+
+    def answer(client, at_once):
+        return run_stream(spark, source, everything.schema, sink, progress, client, params, files_per_batch=at_once)
+
+    arrive(0, 9)
+    run_batch(everything.filter("customer_id BETWEEN 5 AND 6"), sink, PanelEcho, params)
+    assert answer(PanelEcho, 1).count() == 10
+    arrive(10, 29)
+    with pytest.raises(Exception, match="server is gone"):
+        answer(BreaksDown, 1)
+    run_batch(everything.filter("customer_id BETWEEN 28 AND 31"), sink, PanelEcho, params)
+    arrive(30, 39)
+    got = answer(PanelEcho, 1)
+    assert got.count() == 40 and got.select("customer_id").distinct().count() == 40
+    assert got.filter("batch LIKE 'run-%'").count() == 6 and incremental.last_planned(spark, progress) >= 2
