@@ -188,3 +188,13 @@ def test_rows_with_the_same_turns_are_explained_once():
     want = [expectation(nodes, row, set(range(n_features))) for row in x]
     assert np.allclose(phi.sum(axis=1) + A.expected_value([tree]), want, atol=1e-12)
     assert np.allclose(phi[:40], A.contributions(tree, x[:40], cells=1), atol=1e-12)
+
+
+def test_scores_are_stored(spark):
+    """Metrics read scores several times; the trees are walked once."""
+    from tidewatch.plans import data, model_queries
+
+    folder = "/root/testdata/sf0.001"
+    for table in (model_queries.predictions(spark, folder, "random_forest"), model_queries.training_scores(spark, folder, "random_forest")):
+        assert "Python" not in table._jdf.queryExecution().executedPlan().toString() and table.count() > 0
+    data.forget_stages()
